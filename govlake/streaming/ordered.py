@@ -1,0 +1,67 @@
+"""Keyed state that must see events in time order, on streams that do not deliver them so.
+
+Events are cut into time slots and summed per key and slot, first inside each task and
+then in state. A slot is handed on once the watermark has passed it, so the step function
+sees the slots of a key in order, each exactly once and complete. Events that arrive later
+than the delay are dropped here and left to the batch replay.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator, Sequence
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+# (key, memory, slots in micros, amounts) -> (memory, rows or None, when to forget in ms)
+Step = Callable[[tuple, tuple, list[int], list[int]], tuple[tuple, "pd.DataFrame | None", int]]
+
+
+def slot_sums(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Partial sums per key and slot, batch by batch."""
+    names = [*keys, "slot"]
+    for batch in batches:
+        summed = pa.Table.from_batches([batch]).group_by(names).aggregate([("amount", "sum")])
+        yield from summed.select([*names, "amount_sum"]).rename_columns([*names, "amount"]).to_batches()
+
+
+def fold_in_order(events: DataFrame, keys: Sequence[str], slot: Column, amount: Column, delay: str,
+                  step: Step, output: str, memory: str, start: tuple) -> DataFrame:
+    """Run ``step`` over the slots of every key in time order.
+
+    ``slot`` is the start of an event's slot, ``memory`` the schema of what a key
+    remembers besides slots still waiting, ``start`` its first value.
+    """
+    keys = list(keys)
+    narrow = events.select(*keys, slot.cast("timestamp").alias("slot"), amount.cast("bigint").alias("amount"))
+    combined = narrow.mapInArrow(lambda batches: slot_sums(batches, keys), narrow.schema).withWatermark("slot", delay)
+    width = len(start)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = state.get if state.exists else (*start, [], [])
+        remembered = tuple(kept[:width])
+        waiting = dict(zip(kept[width], kept[width + 1]))
+        if not state.hasTimedOut:
+            for rows in batches:
+                stamps = rows["slot"].astype("datetime64[us]").astype("int64").tolist()
+                for stamp, n in zip(stamps, rows["amount"].tolist()):
+                    waiting[stamp] = waiting.get(stamp, 0) + n
+        watermark = state.getCurrentWatermarkMs()
+        due = sorted(s for s in waiting if s // 1000 < watermark)
+        forget = 0
+        if due:
+            remembered, rows, forget = step(key, remembered, due, [waiting.pop(s) for s in due])
+            if rows is not None:
+                yield rows
+        elif not waiting:
+            state.remove()
+            return
+        left = sorted(waiting)
+        state.update((*remembered, left, [waiting[s] for s in left]))
+        state.setTimeoutTimestamp(max(left[0] // 1000 if left else forget, watermark + 1))
+
+    return combined.groupBy(*keys).applyInPandasWithState(
+        run, output, f"{memory}, slots ARRAY<BIGINT>, amounts ARRAY<BIGINT>", "append", GroupStateTimeout.EventTimeTimeout
+    )
