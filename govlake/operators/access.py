@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from govlake.functions import requests as rq
 from govlake.functions.text import feature_key
 from govlake.operators.sizing import small_side
+from govlake.sources.tables import local_rows
 
 MODEL_KEYS = ("capability", "provider", "model")
 
@@ -35,8 +36,7 @@ def role_gate(checks: DataFrame, role_map: DataFrame) -> DataFrame:
 
 def enabled_features(features: DataFrame, disabled: Sequence[str]) -> DataFrame:
     """Rows whose ``feature_id`` is not switched off; ids are compared in key form."""
-    spark = features.sparkSession
-    off = spark.createDataFrame([(d,) for d in disabled], "feature STRING").select(
+    off = local_rows(features.sparkSession, [(d,) for d in disabled], "feature STRING").select(
         feature_key(F.col("feature")).alias("_key")
     )
     return (

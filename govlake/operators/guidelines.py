@@ -76,20 +76,29 @@ def guideline_dim(current: DataFrame, meta: DataFrame, revisions: DataFrame, ena
     """One row per site: category texts, ordered rules, post and revision id."""
     if not enabled:
         current = current.where(F.lit(False))
-    rules = guideline_block_rules(current, meta, by).groupBy("post_id").agg(
+    keys = [*by, "post_id"]
+    is_rule = F.col("meta_key").startswith(gl.BLOCK_META_PREFIX)
+    wanted = meta.where(is_rule | F.col("meta_key").isin(*[gl.META_PREFIX + c for c in gl.CATEGORIES]))
+    name = F.when(is_rule, block_of_meta_key(F.col("meta_key"), gl.BLOCK_META_PREFIX))
+    named = _first_values(current, wanted, by).withColumn("name", name).where("name is null or value != ''")
+    # Two meta keys can name the same block: the first gives the place, the last the text.
+    entries = named.groupBy(*keys, "name", F.when(F.col("name").isNull(), F.col("meta_key")).alias("category")).agg(
+        F.min("meta_id").alias("pos"), F.max_by("value", "meta_id").alias("value")
+    )
+    rule = F.when(F.col("name").isNotNull(), F.struct("pos", "name", F.col("value").alias("rule")))
+    packed = entries.groupBy(*keys).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "name", "rule"))),
+            F.array_sort(F.collect_list(rule)),
             lambda r: F.struct(r["name"].alias("name"), r["rule"].alias("rule")),
-        ).alias("rules")
+        ).alias("rules"),
+        *[F.max(F.when(F.col("category") == gl.META_PREFIX + c, F.col("value"))).alias(c) for c in gl.CATEGORIES],
     )
+    revised = latest_revision(revisions.join(small_side(current.select("post_id")), "post_id", "left_semi"))
     return (
-        guideline_categories(current, meta, by)
-        .join(rules, "post_id", "left")
-        .join(latest_revision(revisions.join(small_side(current.select("post_id")), "post_id", "left_semi")),
-              "post_id", "left")
+        current.select(keys).join(packed, keys, "left").join(revised, "post_id", "left")
         .select(*by, F.col("post_id").alias("guideline_post_id"),
                 F.coalesce("guideline_revision_id", F.lit(0).cast("bigint")).alias("guideline_revision_id"),
-                *gl.CATEGORIES,
+                *[F.coalesce(c, F.lit("")).alias(c) for c in gl.CATEGORIES],
                 F.coalesce("rules", F.array().cast("array<struct<name:string,rule:string>>")).alias("rules"))
     )
 

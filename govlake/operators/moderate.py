@@ -46,20 +46,23 @@ def phrase_matches(docs: DataFrame, doc_id: str, text: str, phrases: DataFrame)
     are compared in full.
     """
     folded = phrases.select("pos", ascii_fold(F.col("phrase")).alias("phrase")).where("phrase != ''")
-    anchored = folded.select("pos", "phrase", _anchor(F.col("phrase")).alias("_a")).select(
+    worded_phrases = folded.withColumn("_words", _words(F.col("phrase")))
+    anchored = worded_phrases.select("pos", "phrase", _anchor(F.col("phrase"), F.col("_words")).alias("_a")).select(
         "pos", "phrase", "_a.kind", "_a.anchor"
     )
     kinds = {row["kind"] for row in anchored.select("kind").distinct().collect()}
     if not kinds:
         return docs.sparkSession.createDataFrame([], f"{doc_id} BIGINT, first_pos BIGINT, phrases_hit BIGINT")
 
+    # The words are a column of their own: inside a lambda they would be split again per word.
     texts = docs.select(doc_id, ascii_fold(F.col(text)).alias("_text"))
-    anchors = _anchors_in(F.col("_text"), kinds)
+    worded = texts.withColumn("_words", _words(F.col("_text")))
+    anchors = _anchors_in(F.col("_text"), F.col("_words"), kinds)
     if is_small(anchored):
-        pairs = texts.withColumn("anchor", F.explode(anchors)).join(F.broadcast(anchored), "anchor")
+        pairs = worded.select(doc_id, "_text", F.explode(anchors).alias("anchor")).join(F.broadcast(anchored), "anchor")
     else:
         # Only hashes are shuffled; texts come back in for the pairs that met.
-        met = texts.select(doc_id, F.explode(anchors).alias("anchor")).join(anchored, "anchor")
+        met = worded.select(doc_id, F.explode(anchors).alias("anchor")).join(anchored, "anchor")
         pairs = met.join(texts, doc_id)
     found = pairs.where(F.contains("_text", "phrase"))
     return found.groupBy(doc_id).agg(
@@ -75,10 +78,9 @@ def _hash(kind: int, run: Column) -> Column:
     return F.xxhash64(F.lit(kind), run)
 
 
-def _anchor(phrase: Column) -> Column:
+def _anchor(phrase: Column, words: Column) -> Column:
     """Struct (kind, anchor hash). The kind says what the anchor is: a run of 3 words, 1
     word, 0 for the first three characters, -n for a whole phrase of only n characters."""
-    words = _words(phrase)
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
 
     def chosen(kind: int, run: Column) -> Column:
@@ -99,11 +101,11 @@ def _runs(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)]))
 
 
-def _anchors_in(text: Column, kinds: set[int]) -> Column:
+def _anchors_in(text: Column, words: Column, kinds: set[int]) -> Column:
     """Distinct anchor hashes of the given kinds that a text contains."""
     def hashed(kind: int) -> Column:
         if kind > 0:
-            found = _words(text) if kind == 1 else _runs(_words(text), kind)
+            found = words if kind == 1 else _runs(words, kind)
         else:
             width = _RUN if kind == 0 else -kind
             found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))

@@ -138,9 +138,11 @@ def render_prompts(
         F.lit("site_url"), empty if site_url is None else site_url,
         F.lit("current_date"), F.date_format("ts", "yyyy-MM-dd"),
     )
-    sources = [guideline_vars, F.col("payload"), post_vars, built_in]
-    if extra is not None:
-        sources.insert(0, extra)
+    # Bound as columns, so that no placeholder builds them again.
+    maps = {"_extra": extra, "_guideline": guideline_vars, "_post": post_vars, "_built_in": built_in}
+    prepared = prepared.withColumns({name: m for name, m in maps.items() if m is not None})
+    order = ("_extra", "_guideline", "payload", "_post", "_built_in")
+    sources = [F.col(name) for name in order if name in prepared.columns]
     filled = tp.interpolate(F.col("template"), *sources)
     with_override = tp.combine(F.col("mode"), F.col("instruction"), filled)
     with_preamble = with_override if preamble is None else tp.with_preamble(preamble, with_override)

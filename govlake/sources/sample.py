@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from govlake.functions.guidelines import META_PREFIX
 from govlake.policy import ABILITIES, DEFAULT_ROLE_MAP, POLICY_DEFAULTS, RateWindow
-from govlake.sources.tables import sample_table
+from govlake.sources.tables import local_rows, sample_table
 
 SITES = 40
 CAP_USD = "0.10"
@@ -211,27 +211,23 @@ def registered_abilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).groupBy("site_id", "ability_id", "label").agg(F.min("event_id").alias("pos"))
 
 
-def _rows(spark: SparkSession, rows, schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
-
-
 def role_map(spark: SparkSession) -> DataFrame:
-    return _rows(spark, ROLE_MAP.items(), "ability_id STRING, roles ARRAY<STRING>")
+    return local_rows(spark, ROLE_MAP.items(), "ability_id STRING, roles ARRAY<STRING>")
 
 
 def allowlist(spark: SparkSession) -> DataFrame:
-    return _rows(spark, ALLOWLIST, "capability STRING, provider STRING, model STRING")
+    return local_rows(spark, ALLOWLIST, "capability STRING, provider STRING, model STRING")
 
 
 def prices(spark: SparkSession) -> DataFrame:
-    raw = _rows(spark, PRICES, "provider STRING, model STRING, rate_in STRING, rate_out STRING")
+    raw = local_rows(spark, PRICES, "provider STRING, model STRING, rate_in STRING, rate_out STRING")
     return raw.select("provider", "model", F.col("rate_in").cast("decimal(12,9)").alias("rate_in"),
                       F.col("rate_out").cast("decimal(12,9)").alias("rate_out"))
 
 
 def abilities(spark: SparkSession) -> DataFrame:
     rows = [(i, a, label) for i, (a, label) in enumerate(ABILITIES.items())]
-    return _rows(spark, rows, "pos INT, ability_id STRING, label STRING")
+    return local_rows(spark, rows, "pos INT, ability_id STRING, label STRING")
 
 
 def capability_kind(ability: Column) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from govlake import schemas
 
@@ -18,6 +23,16 @@ def stream_table(spark: SparkSession, path: str, schema: str, fmt: str = "parque
     return _instants(spark.readStream.format(fmt).schema(schema).options(**options).load(path))
 
 
+def local_rows(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A small policy table from driver values, whose size the optimizer knows."""
+    parsed = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) or [()] * len(parsed.fields)
+    table = pa.table(
+        {f.name: pa.array(list(c), to_arrow_type(f.dataType)) for f, c in zip(parsed.fields, columns)}
+    )
+    return spark.createDataFrame(table, schema=parsed)
+
+
 def sample_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet", schemas.SAMPLE_TABLES[name])
 
