@@ -9,6 +9,13 @@ Every operator takes and returns DataFrames or Columns; see the sub-packages:
 * ``streaming``  the same rules on Structured Streaming sources
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from govlake.policy import Policy, RateWindow
 
+# Functions that run in Python workers travel with the job, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["Policy", "RateWindow"]

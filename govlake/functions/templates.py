@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,29 +20,40 @@ def known_mode(mode: Column) -> Column:
     return F.when(mode.isin(*MODES), mode).otherwise(F.lit(MODES[0]))
 
 
-def payload_value(payload: Column, key: Column) -> Column:
-    """Value of a payload key, case ignored; the last of several spellings wins."""
-    same = F.filter(F.map_entries(payload), lambda entry: ascii_fold(entry["key"]) == key)
-    return F.try_element_at(same, F.lit(-1))["value"]
+def parse(template: Column) -> Column:
+    """Struct (literals, names) of a template: the text around its placeholders, and the
+    placeholders as struct (key, written). Parse once per template, fill once per call."""
+    names = F.regexp_extract_all(template, F.lit(PLACEHOLDER), F.lit(1))
+    return F.struct(
+        F.split(template, PLACEHOLDER, -1).alias("literals"),
+        F.transform(names, lambda n: F.struct(
+            ascii_fold(n).alias("key"), F.concat(F.lit("{"), n, F.lit("}")).alias("written"))).alias("names"),
+    )
 
 
-def interpolate(template: Column, *sources: Column) -> Column:
-    """Fill ``{name}`` from the first map that knows the lower-cased name.
+def folded_entries(payload: Column) -> Column:
+    """Entries of a payload map with lower-cased keys, for lookups that ignore case."""
+    return F.transform(
+        F.map_entries(payload), lambda e: F.struct(ascii_fold(e["key"]).alias("key"), e["value"].alias("value"))
+    )
+
+
+def entry_value(entries: Column, key: Column) -> Column:
+    """Value of a key among entries; the last one wins."""
+    return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"]
 
-    One pass: filled-in text is not scanned again, unknown names stay as written.
-    """
-    names = F.regexp_extract_all(template, F.lit(PLACEHOLDER), F.lit(1))
-    literals = F.split(template, PLACEHOLDER, -1)
 
-    def filled(name: Column, following: Column) -> Column:
-        key = ascii_fold(name)
-        known = [payload_value(source, key) for source in sources]
-        as_written = F.concat(F.lit("{"), name, F.lit("}"))
-        return F.concat(F.coalesce(*known, as_written), following)
+def fill(parsed: Column, lookup: Callable[[Column], Column]) -> Column:
+    """Fill a parsed template with ``lookup(key)``.
 
-    pieces = F.zip_with(names, F.slice(literals, F.lit(2), F.size(literals)), filled)
-    whole = F.concat(F.get(literals, F.lit(0)), F.array_join(pieces, ""))
-    return F.when(F.size(names) > 0, whole).otherwise(template)
+    One pass: filled-in text is not scanned again, unknown names stay as written.
+    """
+    literals = parsed["literals"]
+    following = F.slice(literals, F.lit(2), F.size(literals))
+    pieces = F.zip_with(
+        parsed["names"], following, lambda n, rest: F.concat(F.coalesce(lookup(n["key"]), n["written"]), rest)
+    )
+    return F.concat(F.get(literals, F.lit(0)), F.array_join(pieces, ""))
 
 
 def combine(mode: Column, instruction: Column, filled: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from govlake.functions import outputs
 from govlake.functions.text import ascii_fold
-from govlake.operators.sizing import is_small
+from govlake.operators.sizing import is_small, spread
 
 _SPACE = "[ \\t\\n\\r\\f\\x0B]"
 _RUN = 3  # words (or characters) an anchor spans at most
@@ -55,7 +55,7 @@ def phrase_matches(docs: DataFrame, doc_id: str, text: str, phrases: DataFrame)
         return docs.sparkSession.createDataFrame([], f"{doc_id} BIGINT, first_pos BIGINT, phrases_hit BIGINT")
 
     # The words are a column of their own: inside a lambda they would be split again per word.
-    texts = docs.select(doc_id, ascii_fold(F.col(text)).alias("_text"))
+    texts = spread(docs.select(doc_id, text), doc_id).select(doc_id, ascii_fold(F.col(text)).alias("_text"))
     worded = texts.withColumn("_words", _words(F.col("_text")))
     anchors = _anchors_in(F.col("_text"), F.col("_words"), kinds)
     if is_small(anchored):

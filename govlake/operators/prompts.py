@@ -106,26 +106,33 @@ def render_prompts(
     calls = calls.withColumn("post_id", lenient_bigint(F.try_element_at("payload", F.lit("post_id"))))
     post_side = posts.where("post_id > 0").select("post_id", "post_title", "post_type", "post_status", "blocks")
     user_side = users.select("user_id", "user_login", F.get("roles", F.lit(0)).alias("user_role"))
-    override_side = overrides.select("ability_id", "mode", "template")
+    parsed = overrides.select(
+        "ability_id", "mode", tp.parse(F.col("template")).alias("_parsed"),
+        F.contains(F.col("template"), F.lit("{guidelines")).alias("_placed"),
+    ).withColumn("_asks", F.exists("_parsed.names", lambda n: n["key"].startswith("guidelines")))
     joined = (
-        calls.join(small_side(override_side), "ability_id", "left")
+        calls.join(small_side(parsed), "ability_id", "left")
         .join(small_side(guidelines), "site_id", "left")
         .join(user_side, "user_id", "left")
         .join(post_side, "post_id", "left")
     )
 
-    rules = gl.relevant_rules(F.col("rules"), F.col("blocks"))
+    # The section is composed only where the prompt or its template asks for it.
+    placed = F.coalesce(F.col("_placed"), F.lit(False))
+    listed = F.col("ability_id").isin(*abilities)
+    lines = F.coalesce(gl.rule_lines(gl.relevant_rules(F.col("rules"), F.col("blocks"))), empty)
     section = gl.section(F.struct(*gl.CATEGORIES), F.col("_lines"))
     if guideline_text is not None:
         section = F.when(section != "", guideline_text(section)).otherwise(section)
-    prepared = joined.withColumn("_lines", F.coalesce(gl.rule_lines(rules), empty)).withColumn("_section", section)
-
-    site_values = [F.lit(f"guidelines_{c}") for c in gl.CATEGORIES]
-    guideline_vars = F.create_map(
-        F.lit("guidelines"), F.col("_section"),
-        F.lit("guidelines_blocks"), F.col("_lines"),
-        *[x for name, c in zip(site_values, gl.CATEGORIES) for x in (name, F.coalesce(F.col(c), empty))],
+    wanted = listed | placed | F.coalesce(F.col("_asks"), F.lit(False))
+    prepared = joined.withColumn("_lines", F.when(wanted, lines)).withColumn(
+        "_section", F.when(wanted, section).otherwise(empty)
     )
+
+    guideline_vars = F.when(F.col("_asks"), F.create_map(
+        F.lit("guidelines"), F.col("_section"), F.lit("guidelines_blocks"), F.col("_lines"),
+        *[x for c in gl.CATEGORIES for x in (F.lit(f"guidelines_{c}"), F.coalesce(F.col(c), empty))],
+    ))
     post_vars = F.when(F.col("post_title").isNotNull(), F.create_map(
         F.lit("post_title"), F.col("post_title"), F.lit("post_type"), F.col("post_type"),
         F.lit("post_status"), F.col("post_status"),
@@ -139,26 +146,33 @@ def render_prompts(
         F.lit("current_date"), F.date_format("ts", "yyyy-MM-dd"),
     )
     # Bound as columns, so that no placeholder builds them again.
-    maps = {"_extra": extra, "_guideline": guideline_vars, "_post": post_vars, "_built_in": built_in}
-    prepared = prepared.withColumns({name: m for name, m in maps.items() if m is not None})
-    order = ("_extra", "_guideline", "payload", "_post", "_built_in")
-    sources = [F.col(name) for name in order if name in prepared.columns]
-    filled = tp.interpolate(F.col("template"), *sources)
-    with_override = tp.combine(F.col("mode"), F.col("instruction"), filled)
-    with_preamble = with_override if preamble is None else tp.with_preamble(preamble, with_override)
-
-    placed = F.coalesce(F.contains(F.col("template"), F.lit("{guidelines")), F.lit(False))
-    applied = (placed | F.col("ability_id").isin(*abilities)) & (F.col("_section") != "")
+    has_template = F.col("_parsed").isNotNull()
+    prepared = prepared.withColumns({
+        "_guideline": guideline_vars, "_post": post_vars, "_built_in": F.when(has_template, built_in),
+        "_entries": F.when(has_template, tp.folded_entries(F.col("payload"))),
+        **({} if extra is None else {"_extra": extra}),
+    })
+
+    def lookup(key: Column) -> Column:
+        known = [F.try_element_at("_guideline", key), tp.entry_value(F.col("_entries"), key),
+                 F.try_element_at("_post", key), F.try_element_at("_built_in", key)]
+        return F.coalesce(*([] if extra is None else [F.try_element_at("_extra", key)]), *known)
+
+    filled = F.when(has_template, tp.fill(F.col("_parsed"), lookup))
+    with_override = prepared.withColumn("_filled", filled).withColumn(
+        "_prompt", tp.combine(F.col("mode"), F.col("instruction"), F.col("_filled"))
+    )
+    if preamble is not None:
+        with_override = with_override.withColumn("_prompt", tp.with_preamble(preamble, F.col("_prompt")))
+
+    applied = (placed | listed) & (F.col("_section") != "")
     appended = F.concat(rtrim(F.col("_prompt")), F.lit(tp.GAP), F.col("_section"))
-    return (
-        prepared.withColumn("_prompt", with_preamble)
-        .select(
-            "request_id", "ability_id", "site_id",
-            F.when(applied & ~placed, appended).otherwise(F.col("_prompt")).alias("prompt"),
-            applied.alias("guidelines_applied"),
-            F.when(applied, F.col("guideline_post_id")).alias("guideline_post_id"),
-            F.when(applied, F.col("guideline_revision_id")).alias("guideline_revision_id"),
-        )
+    return with_override.select(
+        "request_id", "ability_id", "site_id",
+        F.when(applied & ~placed, appended).otherwise(F.col("_prompt")).alias("prompt"),
+        applied.alias("guidelines_applied"),
+        F.when(applied, F.col("guideline_post_id")).alias("guideline_post_id"),
+        F.when(applied, F.col("guideline_revision_id")).alias("guideline_revision_id"),
     )
 
 

@@ -31,3 +31,13 @@ def small_side(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame
 
 def is_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     return planned_bytes(df) <= max_bytes or measured_bytes(df) <= max_bytes
+
+
+def spread(df: DataFrame, key: str, bytes_per_core: int = 32 << 20) -> DataFrame:
+    """Give every core a share of an input too small to come in that many splits.
+
+    For stages whose work per row is heavy. Inputs of real size are read in enough splits
+    and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if planned_bytes(df) < cores * bytes_per_core else df

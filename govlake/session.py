@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
+# Settings fixed when a session starts: no call-site capture per Column while plans are built.
+STARTUP_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def apply_runtime_conf(spark: SparkSession) -> SparkSession:
     """Set the runtime SQL settings on a session somebody else created."""
@@ -30,7 +33,7 @@ def build_session(app_name: str = "govlake", master: str | None = None, **conf:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **STARTUP_CONF, **conf}.items():
         builder = builder.config(key, value)
     return apply_runtime_conf(builder.getOrCreate())
 

@@ -24,8 +24,9 @@ PRICES = (("openai", "m-1", "0.0025", "0.010"), ("anthropic", "m-0", "0.00075",
 
 
 def pick(index: Column, values) -> Column:
-    """The value at a 0-based index."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    """The text at a 0-based index."""
+    quoted = ", ".join(f"'{v}'" for v in values)
+    return F.get(F.expr(f"array({quoted})"), index.cast("int"))
 
 
 def _prop_k() -> Column:

@@ -45,7 +45,7 @@ def fold_in_order(events: DataFrame, keys: Sequence[str], slot: Column, amount:
         waiting = dict(zip(kept[width], kept[width + 1]))
         if not state.hasTimedOut:
             for rows in batches:
-                stamps = rows["slot"].astype("datetime64[us]").astype("int64").tolist()
+                stamps = rows["slot"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
                 for stamp, n in zip(stamps, rows["amount"].tolist()):
                     waiting[stamp] = waiting.get(stamp, 0) + n
         watermark = state.getCurrentWatermarkMs()
