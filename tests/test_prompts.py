@@ -1,0 +1,240 @@
+import random
+
+from pyspark.sql import functions as F
+
+from govlake.operators import guidelines, policies, prompts
+from govlake.policy import ABILITIES, POLICY_DEFAULTS, Policy
+from govlake.sources.tables import local_rows
+
+EDITS = "edit_id BIGINT, ability_id STRING, action STRING, mode STRING, template STRING, updated_by BIGINT, minute BIGINT"
+
+
+def edits(spark, rows):
+    frame = local_rows(spark, rows, EDITS)
+    return frame.withColumn("updated_at", F.timestamp_seconds(F.col("minute") * 60)).drop("minute")
+
+
+def random_edits(spark, n=600, seed=7):
+    rng = random.Random(seed)
+    return [(i, "ai/hot" if rng.random() < 0.6 else rng.choice(["ai/x", "ai/y"]), rng.choice(["put", "put", "delete"]),
+             rng.choice(["append", "odd"]), f"T{i}", rng.randint(0, 3), i // 3) for i in range(n)]
+
+
+def test_current_override(spark):
+    log = edits(spark, [(1, "a", "put", "append", "one", 1, 0), (2, "a", "put", "bogus", "two", 2, 1),
+                        (3, "b", "put", "replace", "x", 1, 2), (4, "b", "delete", "", "", 1, 3), (5, "c", "delete", "", "", 1, 4)])
+    assert [(r["ability_id"], r["mode"], r["template"]) for r in prompts.prompt_current(log).collect()] == [("a", "prepend", "two")]
+
+
+def replayed_history(rows):
+    """The edit log as the library would have recorded it, edit after edit."""
+    live, history = {}, {}
+    for i, ability, action, mode, template, user, _ in rows:
+        if action == "put":
+            live[ability] = ("append" if mode == "append" else "prepend", template)
+            history[i] = (ability, "put", *live[ability], user)
+        elif ability in live:
+            history[i] = (ability, "delete", *live.pop(ability), user)
+    return history
+
+
+def test_audit_equals_replay_in_any_bucketing(spark):
+    rows = random_edits(spark)
+    for size in (7, 100_000):
+        audit = prompts.prompt_audit(edits(spark, rows), edits_per_bucket=size).collect()
+        got = {r["edit_id"]: (r["ability_id"], r["action"], r["mode"], r["template"], r["updated_by"]) for r in audit}
+        assert got == replayed_history(rows)
+
+
+def test_history_is_newest_first_and_limited(spark):
+    audit = prompts.prompt_audit(edits(spark, random_edits(spark)))
+    newest = prompts.prompt_history(audit, only=F.col("ability_id") == "ai/hot").orderBy("rank").collect()
+    ids = [r["edit_id"] for r in newest]
+    assert len(ids) == 50 and ids == sorted(ids, reverse=True)
+    assert len(prompts.prompt_history(audit, limit=3).collect()) == 9
+
+
+def test_asof_equals_scan(spark):
+    rows = random_edits(spark)
+    rng = random.Random(1)
+    calls = [(i, rng.choice(["ai/hot", "ai/x", "ai/none"]), rng.randint(-5, 230) * 60 + rng.choice([0, 30])) for i in range(800)]
+    frame = local_rows(spark, calls, "request_id BIGINT, ability_id STRING, s BIGINT").select(
+        "request_id", "ability_id", F.timestamp_seconds("s").alias("ts"))
+    wanted = {}
+    for i, ability, seconds in calls:
+        before = [r for r in rows if r[1] == ability and r[6] * 60 <= seconds]
+        wanted[i] = before[-1][0] if before and before[-1][2] == "put" else None
+    got = prompts.prompt_asof(frame, edits(spark, rows))
+    assert {r["request_id"]: r["edit_id"] for r in got.collect()} == wanted
+
+
+def test_catalog_and_lookup(spark):
+    catalogue = local_rows(spark, [(0, "ai/x", "X"), (1, "ai/y", "Y")], "pos INT, ability_id STRING, label STRING")
+    current = prompts.prompt_current(edits(spark, [(1, "ai/y", "put", "append", "t", 1, 0), (2, "ai/zz", "put", "append", "u", 1, 0)]))
+    listed = prompts.prompt_catalog(catalogue, current).orderBy("pos").collect()
+    assert [(r["ability_id"], r["override"] and r["override"]["template"]) for r in listed] == [("ai/x", None), ("ai/y", "t")]
+    wanted = local_rows(spark, [("ai/x",), ("ai/y",), ("ai/zz",)], "ability_id STRING")
+    found = {r["ability_id"]: (r["unknown_ability"], r["template"]) for r in prompts.prompt_lookup(wanted, catalogue, current).collect()}
+    assert found == {"ai/x": (False, None), "ai/y": (False, "t"), "ai/zz": (True, None)}
+
+
+# -- guidelines --------------------------------------------------------------------------
+
+POSTS = "post_id BIGINT, site_id BIGINT, post_type STRING, post_status STRING, day INT, terms ARRAY<STRING>"
+META = "meta_id BIGINT, post_id BIGINT, meta_key STRING, meta_value STRING"
+
+
+def guideline_posts(spark, rows):
+    return local_rows(spark, rows, POSTS).withColumn("post_date", F.timestamp_seconds(F.col("day") * 86_400)).drop("day")
+
+
+def current_id(spark, rows, types, **options):
+    found = guidelines.guideline_current(guideline_posts(spark, rows), types, **options).collect()
+    return [r["post_id"] for r in found]
+
+
+def test_current_guideline(spark):
+    rows = [(1, 1, "wp_guideline", "publish", 1, ["content"]), (2, 1, "wp_guideline", "draft", 2, ["content"]),
+            (3, 1, "wp_guideline", "trash", 9, ["content"]), (4, 1, "wp_guideline", "publish", 8, []),
+            (5, 1, "wp_content_guideline", "publish", 7, [])]
+    both = ["wp_content_guideline", "wp_guideline"]
+    assert current_id(spark, rows, both) == [2]
+    assert current_id(spark, rows, both, statuses=["publish"]) == [1]
+    assert current_id(spark, rows, both, tagged_types=()) == [4]
+    assert current_id(spark, rows, ["wp_content_guideline"]) == [5]
+    assert current_id(spark, rows, []) == []
+    assert current_id(spark, rows[4:], both) == []  # the first registered type is empty
+    assert current_id(spark, rows, both, by=()) == [2]
+
+
+def dim(spark, meta, revisions=(), enabled=True, types=("wp_guideline",)):
+    current = guidelines.guideline_current(guideline_posts(spark, [(7, 1, "wp_guideline", "publish", 1, ["content"])]), types)
+    attributes = local_rows(spark, [(i, 7, k, v) for i, (k, v) in enumerate(meta)], META)
+    history = local_rows(spark, list(revisions), "revision_id BIGINT, post_id BIGINT, s BIGINT").select(
+        "revision_id", "post_id", F.timestamp_seconds("s").alias("post_modified"))
+    return guidelines.guideline_dim(current, attributes, history, enabled)
+
+
+def test_guideline_dim(spark):
+    row = dim(spark, [
+        ("_guideline_copy", " Tone: warm.\n"), ("_guideline_copy", "second"), ("_guideline_images", " "),
+        ("_guideline_block_core_image", "Alt."), ("_guideline_block_core_paragraph", " "), ("_guideline_block_acme_a_b", "C"),
+        ("_guideline_block_acme/a_b", "D"), ("other", "x"),
+    ], [(70, 7, 5), (71, 7, 5), (69, 7, 4)]).first()
+    assert (row["site"], row["copy"], row["images"], row["additional"]) == ("", "Tone: warm.", "", "")
+    assert [tuple(r) for r in row["rules"]] == [("core/image", "Alt."), ("acme/a_b", "C"), ("acme/a/b", "D")]
+    assert (row["guideline_post_id"], row["guideline_revision_id"]) == (7, 71)
+    assert dim(spark, []).first()["guideline_revision_id"] == 0
+    assert dim(spark, [], enabled=False).count() == 0
+    assert guidelines.guideline_sections(dim(spark, [])).count() == 0
+
+
+CALL = "request_id BIGINT, site_id BIGINT, user_id BIGINT, ability_id STRING, instruction STRING, payload MAP<STRING,STRING>"
+
+
+def render(spark, ability="ai/editorial-notes", payload=None, overrides=(), guide=None, **options):
+    calls = spark.createDataFrame([(1, 1, 3, ability, "default instruction", payload or {})], CALL).withColumn(
+        "ts", F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    users = local_rows(spark, [(3, "ann", ["editor", "author"])], "user_id BIGINT, user_login STRING, roles ARRAY<STRING>")
+    posts = guidelines.post_blocks(local_rows(
+        spark, [(42, "Title", "post", "draft", "<!-- wp:paragraph -->\n<p>x</p>\n<!-- /wp:paragraph -->")],
+        "post_id BIGINT, post_title STRING, post_type STRING, post_status STRING, post_content STRING"))
+    current = local_rows(spark, list(overrides), "ability_id STRING, mode STRING, template STRING")
+    guide = dim(spark, [], enabled=False) if guide is None else guide
+    return prompts.render_prompts(calls, current, users, posts, guide, **options).first()
+
+
+def test_prompt_without_guidelines_is_unchanged(spark):
+    row = render(spark)
+    assert (row["prompt"], row["guidelines_applied"]) == ("default instruction", False)
+
+
+def test_guidelines_reach_editorial_prompts_only(spark):
+    guide = dim(spark, [("_guideline_site", "A bakery."), ("_guideline_copy", "Tone: warm.")], [(70, 7, 5)])
+    row = render(spark, guide=guide)
+    assert row["prompt"].startswith("default instruction\n\n## Site guidelines\n\nThe site has defined")
+    assert row["prompt"].endswith("### Site context\nA bakery.\n\n### Copy & editorial style\nTone: warm.")
+    assert (row["guideline_post_id"], row["guideline_revision_id"]) == (7, 70)
+    assert render(spark, "ai/title-generation", guide=guide)["prompt"] == "default instruction"
+    assert "Tone" in render(spark, "ai/title-generation", guide=guide, abilities=["ai/title-generation"])["prompt"]
+    changed = render(spark, guide=guide, guideline_text=lambda t: F.concat(t, F.lit("!")))
+    assert changed["prompt"].endswith("Tone: warm.!")
+
+
+def test_block_rules_follow_the_post(spark):
+    guide = dim(spark, [("_guideline_block_core_paragraph", "Short."), ("_guideline_block_core_image", "Alt.")])
+    scoped = render(spark, payload={"post_id": "42"}, guide=guide)["prompt"]
+    assert scoped.endswith("### Block-specific rules\n- core/paragraph: Short.")
+    for payload in ({}, {"post_id": "999"}, {"post_id": "x"}):
+        assert render(spark, payload=payload, guide=guide)["prompt"].endswith("- core/paragraph: Short.\n- core/image: Alt.")
+
+
+def test_variable_in_template_suppresses_the_append(spark):
+    guide = dim(spark, [("_guideline_copy", "Tone: warm.")])
+    row = render(spark, overrides=[("ai/editorial-notes", "prepend", "House: {guidelines_copy}")], guide=guide)
+    assert row["prompt"] == "House: Tone: warm.\n\ndefault instruction"
+    assert row["guidelines_applied"] is True
+    # the test for the variable minds the case, filling it in does not
+    twice = render(spark, overrides=[("ai/editorial-notes", "prepend", "{GUIDELINES_COPY}")], guide=guide)
+    assert twice["prompt"].count("Tone: warm.") == 2
+    other = render(spark, "ai/summarization", overrides=[("ai/summarization", "replace", "{guidelines}")], guide=guide)
+    assert other["prompt"].startswith("## Site guidelines") and other["guidelines_applied"]
+
+
+def test_guideline_variables_never_leak(spark):
+    row = render(spark, overrides=[("ai/editorial-notes", "prepend", "{guidelines_copy}|{guidelines}|{guidelines_blocks}")])
+    assert row["prompt"] == "||\n\ndefault instruction"
+    assert row["guidelines_applied"] is False
+
+
+def test_variable_precedence(spark):
+    template = "{user_login} {user_role} {current_date} {ability} {post_title} {site_name} {guidelines_copy} {late}"
+    overrides = [("ai/x", "replace", template)]
+    row = render(spark, "ai/x", {"post_id": "42"}, overrides, site_name=F.lit("S"))
+    assert row["prompt"] == "ann editor 2024-05-06 ai/x Title S  {late}"
+    payload = {"post_id": "42", "Post_Title": "mine", "USER_LOGIN": "bob", "guidelines_copy": "no"}
+    extra = F.create_map(F.lit("late"), F.lit("{ability}"), F.lit("site_name"), F.lit("E"))
+    row = render(spark, "ai/x", payload, overrides, site_name=F.lit("S"), extra=extra)
+    assert row["prompt"] == "bob editor 2024-05-06 ai/x mine E  {ability}"
+
+
+def test_preamble_survives_replace(spark):
+    row = render(spark, "ai/x", {}, [("ai/x", "replace", "T")], preamble=F.lit("P"))
+    assert row["prompt"] == "P\n\nT"
+
+
+def test_relevant_rules_table(spark):
+    guide = dim(spark, [])
+    rules = local_rows(spark, [(1, "core/image", 0, "Alt."), (1, "core/quote", 1, "Q")], "site_id BIGINT, name STRING, pos BIGINT, rule STRING")
+    posts = spark.createDataFrame([(1, 1, ["core/image"]), (1, 2, None), (2, 3, None)], "site_id BIGINT, post_id BIGINT, blocks ARRAY<STRING>")
+    got = guidelines.relevant_block_rules(posts, rules).collect()
+    assert sorted((r["post_id"], r["name"]) for r in got) == [(1, "core/image"), (2, "core/image"), (2, "core/quote")]
+    assert guide.count() == 1
+
+
+# -- catalogue and options -----------------------------------------------------------------
+
+def test_ability_catalog(spark):
+    registered = local_rows(spark, [(1, 5, "ai/own", "Own"), (1, 6, "core/x", "X"), (2, 7, "core/y", "Y")],
+                            "site_id BIGINT, pos INT, ability_id STRING, label STRING")
+    rows = policies.ability_catalog(registered).collect()
+    assert [r["ability_id"] for r in rows if r["site_id"] == 1] == ["ai/own"]
+    assert [r["ability_id"] for r in sorted(rows, key=lambda r: r["pos"]) if r["site_id"] == 2] == list(ABILITIES)
+
+
+def test_policy_options(spark):
+    stored = local_rows(spark, [(1, "preamble", '"old"', 1), (1, "preamble", '"new"', 2), (1, "unknown", "1", 3)],
+                        "site_id BIGINT, key STRING, value STRING, version BIGINT")
+    row = policies.policy_snapshot(stored).first()
+    assert row["preamble"] == '"new"' and row["log_retention_days"] == "90"
+    assert [row[k] for k in POLICY_DEFAULTS if k != "preamble"] == [v for k, v in POLICY_DEFAULTS.items() if k != "preamble"]
+    current = local_rows(spark, [(1, "preamble", "a"), (1, "role_map", "{}")], "site_id BIGINT, key STRING, value STRING")
+    update = local_rows(spark, [(1, "preamble", None), (1, "redact_pii", "false"), (1, "role_map", "x")], "site_id BIGINT, key STRING, value STRING")
+    merged = {r["key"]: r["value"] for r in policies.policy_merge(current, update).collect()}
+    assert merged == {"preamble": "a", "role_map": "{}", "redact_pii": "false"}
+
+
+def test_policy_switches():
+    assert Policy().guidelines_on() is True
+    assert Policy(use_guidelines=False).guidelines_on() is False
+    assert Policy(guidelines_override=lambda on: False).guidelines_on() is False
