@@ -13,16 +13,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(value: Column, step: int) -> Column:
+    """Largest multiple of ``step`` not above a whole number."""
+    return value - F.pmod(value, F.lit(step).cast("bigint"))
+
+
 def time_bucket(ts: Column, seconds: int) -> Column:
-    """Number of the time bucket a timestamp falls in."""
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+    """Start, in micros, of the time bucket a timestamp falls in."""
+    return cut(F.unix_micros(ts), seconds * 1_000_000)
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str,
                   rows_per_bucket: int = 100_000) -> DataFrame:
     """Add the ``value`` of the row before, per key in the order of an integer column."""
     keys = list(keys)
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(rows_per_bucket)).cast("bigint"))
+    bucketed = df.withColumn("_bucket", cut(F.col(order), rows_per_bucket))
     ends = bucketed.groupBy(*keys, "_bucket").agg(F.max_by(value, F.col(order)).alias("_end"))
     inherited = ends.select(
         *keys, "_bucket",
@@ -55,9 +60,14 @@ def with_latest(left: DataFrame, versions: DataFrame, keys: Sequence[str], left_
         allowMissingColumns=True,
     ).withColumn("_bucket", time_bucket(F.col("_ts"), bucket_seconds))
 
-    ends = rows.groupBy(*keys, "_bucket").agg(F.max_by("_version", "_order").alias("_end"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    inherited = ends.select(*keys, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_inherited"))
+    ends = rows.where("_kind = 0").groupBy(*keys, "_bucket").agg(F.max_by("_version", "_order").alias("_end"))
+    asked = rows.where("_kind = 1").groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_asked"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rangeBetween(Window.unboundedPreceding, -1)
+    inherited = (
+        asked.unionByName(ends, allowMissingColumns=True)
+        .withColumn("_inherited", F.last("_end", ignorenulls=True).over(earlier))
+        .where("_asked is not null").select(*keys, "_bucket", "_inherited")
+    )
 
     so_far = (
         Window.partitionBy(*keys, "_bucket").orderBy("_ts", "_kind", "_order")

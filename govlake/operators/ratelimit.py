@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from govlake.functions.limiter import MICROS, fold_sorted
+from govlake.operators.ordered import time_bucket
 from govlake.policy import DEFAULT_RATE_WINDOWS, RateWindow
 
 KEYS = ("user_id", "ability_id")
@@ -24,8 +25,7 @@ def enabled(windows: Sequence[RateWindow]) -> list[RateWindow]:
 
 def tick_of(ts: Column, tick_seconds: int = 1) -> Column:
     """Clock reading in micros, cut to whole ticks (the limiter's clock counts seconds)."""
-    size = F.lit(tick_seconds * MICROS)
-    return (F.floor(F.unix_micros(ts) / size) * size).cast("bigint")
+    return time_bucket(ts, tick_seconds)
 
 
 def tick_counts(requests: DataFrame, tick_seconds: int = 1) -> DataFrame:

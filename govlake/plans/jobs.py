@@ -15,8 +15,10 @@ from govlake.session import scratch_path
 
 
 def monthly_usage(exchange: DataFrame, month: str, prices: DataFrame | None = None) -> DataFrame:
-    """Spend report of a month straight from the raw log."""
-    events = requests.shape_requests(exchange)
+    """Spend report of a month straight from the raw log; the scan reads that month only."""
+    start = F.lit(f"{month}-01").cast("date")
+    in_month = (F.col("ts") >= start.cast("timestamp")) & (F.col("ts") < F.add_months(start, 1).cast("timestamp"))
+    events = requests.shape_requests(exchange.where(in_month))
     return usage.usage_by_user(usage.usage_rollup(usage.request_cost(events, prices)), month)
 
 

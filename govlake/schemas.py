@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 SAMPLE_TABLES = {
-    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
     "benchmark": "item_id BIGINT, text STRING",
     "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",

@@ -56,8 +56,7 @@ def spend_alerts(costed: DataFrame, cap_usd: str | float, delay: str = "1 minute
         month_over = (pd.Period(key[1], "M") + 2).start_time
         return (spent,), row, int(month_over.timestamp() * 1000)
 
-    size = slot_seconds * 1_000_000
-    slot = F.timestamp_micros(time_bucket(F.col("ts"), slot_seconds) * size)
+    slot = F.timestamp_micros(time_bucket(F.col("ts"), slot_seconds))
     return fold_in_order(
         costed.where("usd_micros > 0"), ("user_id", "period"), slot, F.col("usd_micros"), delay, step,
         "user_id BIGINT, period STRING, slot BIGINT, spent_micros BIGINT", "spent BIGINT", (0,),
