@@ -12,6 +12,7 @@ from govlake.operators import (
     access, budget, guidelines, moderate, policies, prompts, ratelimit, redact, requests, retention, usage,
 )
 from govlake.plans import jobs
+from govlake.policy import Policy
 from govlake.session import apply_runtime_conf
 from govlake.sources import sample
 from govlake.sources.tables import sample_stream, sample_table
@@ -386,10 +387,11 @@ def relevant_block_rules(spark, sf_dir):
 
 def _rendered(spark, sf_dir):
     preamble = F.when(F.col("ability_id") != "ai/meta-description", F.lit("Be brief.")).otherwise(F.lit(""))
-    return prompts.render_prompts(
-        sample.calls(spark, sf_dir), prompts.prompt_current(sample.prompt_edits(spark, sf_dir)),
-        sample.users(spark, sf_dir), guidelines.post_blocks(sample.posts(spark, sf_dir)), _guideline_dim(spark, sf_dir),
-        preamble=preamble, site_name=F.concat(F.lit("Site "), F.col("site_id").cast("string")), site_url=F.lit("https://example.org"))
+    return jobs.effective_prompts(
+        sample.calls(spark, sf_dir), sample.prompt_edits(spark, sf_dir), sample.users(spark, sf_dir),
+        sample.posts(spark, sf_dir), sample.guideline_posts(spark, sf_dir), sample.guideline_meta(spark, sf_dir),
+        sample.guideline_revisions(spark, sf_dir), preamble=preamble,
+        site_name=F.concat(F.lit("Site "), F.col("site_id").cast("string")), site_url=F.lit("https://example.org"))
 
 
 @query
@@ -407,9 +409,10 @@ def guideline_audit(spark, sf_dir):
 @query
 def governance_replay(spark, sf_dir):
     answers = sample_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), "text")
+    policy = Policy(rate_windows=sample.RATE_WINDOWS, monthly_user_cap_usd="0.05", banned_phrases=sample.BANNED)
     return jobs.governance_replay(
-        sample.exchange(spark, sf_dir), sample.users(spark, sf_dir), sample.role_map(spark), answers,
-        windows=sample.RATE_WINDOWS, cap_usd="0.05", phrases=sample.BANNED, prices=sample.prices(spark),
+        sample.exchange(spark, sf_dir), sample.users(spark, sf_dir), sample.role_map(spark), answers, policy,
+        sample.prices(spark),
     ).select("request_id", "user_id", "ability_id", "stopped_by", _usd(), "output_blocked")
 
 
@@ -426,14 +429,13 @@ def stream_usage(spark, sf_dir):
 @query
 def stream_spend_alerts(spark, sf_dir):
     costed = usage.request_cost(requests.shape_requests(_exchange_stream(spark, sf_dir)))
-    alerts = stream_usage_rules.spend_alerts(costed, sample.CAP_USD)
-    return drain(spark, alerts, "alerts").select("user_id", "period", "slot", _usd("spent_micros"))
+    return stream_usage_rules.spend_alerts(costed, sample.CAP_USD).select("user_id", "period", "slot", _usd("spent_micros"))
 
 
 @query
 def stream_rate_limits(spark, sf_dir):
     governed = requests.governed(_exchange_stream(spark, sf_dir)).select("user_id", "ability_id", "ts")
-    decided = drain(spark, stream_limits.stream_rate_limits(governed, sample.RATE_WINDOWS), "limits")
+    decided = stream_limits.stream_rate_limits(governed, sample.RATE_WINDOWS)
     return decided.select("user_id", "ability_id", "tick", "requests", "allowed",
                           F.get("rejected", F.lit(0)).alias("over_hour"), F.get("rejected", F.lit(1)).alias("over_day"))
 

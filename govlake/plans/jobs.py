@@ -1,4 +1,4 @@
-"""Jobs composed from the operators."""
+"""Jobs composed from the operators, configured by one Policy."""
 
 from __future__ import annotations
 
@@ -7,25 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govlake.functions import outputs, pii
+from govlake.functions import guidelines as gl
+from govlake.functions import outputs
 from govlake.functions.requests import CAPABILITY_PREFIX
-from govlake.operators import access, budget, moderate, ratelimit, requests, usage
-from govlake.policy import PII_PATTERNS, RateWindow
+from govlake.operators import access, budget, guidelines, moderate, prompts, ratelimit, redact, requests, retention, usage
+from govlake.policy import Policy
 from govlake.session import scratch_path
+from govlake.sources.sinks import write_usage
 
 
-def monthly_usage(exchange: DataFrame, month: str, prices: DataFrame | None = None) -> DataFrame:
+def monthly_usage(exchange: DataFrame, month: str, prices: DataFrame | None = None, policy: Policy = Policy()) -> DataFrame:
     """Spend report of a month straight from the raw log; the scan reads that month only."""
     start = F.lit(f"{month}-01").cast("date")
     in_month = (F.col("ts") >= start.cast("timestamp")) & (F.col("ts") < F.add_months(start, 1).cast("timestamp"))
-    events = requests.shape_requests(exchange.where(in_month))
+    events = requests.shape_requests(exchange.where(in_month), policy.parse_usage_metadata)
     return usage.usage_by_user(usage.usage_rollup(usage.request_cost(events, prices)), month)
 
 
-def corpus_scrub(docs: DataFrame, doc_id: str, text: str, phrases: DataFrame) -> DataFrame:
+def corpus_scrub(docs: DataFrame, doc_id: str, text: str, phrases: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Redacted text per document with the banned phrases found in the original."""
     found = moderate.phrase_matches(docs, doc_id, text, phrases)
-    return docs.withColumn(text, pii.redact(F.col(text), PII_PATTERNS)).join(found, doc_id, "left")
+    return redact.redact_column(docs, text, policy.pii_patterns, policy.redact_pii).join(found, doc_id, "left")
 
 
 def capability_of(ability: Column) -> Column:
@@ -37,10 +39,7 @@ def governance_replay(
     users: DataFrame,
     role_map: DataFrame,
     answers: DataFrame,
-    *,
-    windows: Sequence[RateWindow],
-    cap_usd: str | float,
-    phrases: Sequence[str],
+    policy: Policy,
     prices: DataFrame | None = None,
     materialize: bool = True,
 ) -> DataFrame:
@@ -52,16 +51,17 @@ def governance_replay(
     """
     spark = exchange.sparkSession
     governed = requests.governed(exchange).drop("ability_id")
-    events = requests.shape_requests(governed)
+    events = requests.shape_requests(governed, policy.parse_usage_metadata)
     narrow = usage.request_cost(events, prices).select(
         "request_id", "ts", "user_id", "ability_id", "period", "status", "usd_micros"
     )
-    limited = ratelimit.rate_limit_replay(narrow, windows)
+    limited = ratelimit.rate_limit_replay(narrow, policy.rate_windows)
     checks = limited.join(users.select("user_id", "roles", "manage_options"), "user_id", "left").select(
         *limited.columns, "roles", "manage_options",
         capability_of(F.col("ability_id")).alias("capability"), F.lit(True).alias("granted"),
     )
-    gated = access.role_gate(checks.drop("ability_id"), role_map).drop("roles", "capability")
+    gated = access.role_gate(checks.withColumnRenamed("ability_id", "invoked"), role_map)
+    gated = gated.drop("roles", "capability", "ability_id").withColumnRenamed("invoked", "ability_id")
     if materialize:
         # Needed twice (crossings and requests); three shuffles are not worth repeating.
         path = scratch_path(spark, "gated")
@@ -69,7 +69,7 @@ def governance_replay(
         gated = spark.read.schema(gated.schema).parquet(path)
 
     spending = gated.where("rate_decision = 'allowed' AND granted")
-    crossings = budget.budget_crossings(spending, cap_usd, exempt=F.col("manage_options"))
+    crossings = budget.budget_crossings(spending, policy.monthly_user_cap_usd, exempt=F.col("manage_options"))
     replayed = budget.over_at_request(gated, crossings)
     gate = (
         F.when(F.col("rate_decision") != "allowed", F.concat(F.lit("rate:"), "rate_decision"))
@@ -83,9 +83,43 @@ def governance_replay(
         (passed & (F.col("status") == "success")).alias("_answered"),
     )
     verdicts = answers.select(
-        "request_id", outputs.violation(F.col("text"), phrases).isNotNull().alias("_violates")
+        "request_id", outputs.violation(F.col("text"), policy.banned_phrases).isNotNull().alias("_violates")
     ).where("_violates")
     return decided.join(verdicts, "request_id", "left").select(
         "request_id", "user_id", "ability_id", "stopped_by", "usd_micros",
         (F.col("_answered") & F.coalesce("_violates", F.lit(False))).alias("output_blocked"),
     )
+
+
+def effective_prompts(
+    calls: DataFrame,
+    edits: DataFrame,
+    users: DataFrame,
+    posts: DataFrame,
+    guideline_posts: DataFrame,
+    guideline_meta: DataFrame,
+    guideline_revisions: DataFrame,
+    policy: Policy = Policy(),
+    registered_types: Sequence[str] = gl.POST_TYPES,
+    preamble: Column | None = None,
+    **options,
+) -> DataFrame:
+    """The prompt of every call from the edit log, the posts and the guideline tables.
+
+    ``preamble`` overrides the policy's preamble per ability; ``options`` go to
+    ``render_prompts`` (site_name, site_url, extra).
+    """
+    current = guidelines.guideline_current(guideline_posts, registered_types, policy.guideline_statuses)
+    dim = guidelines.guideline_dim(current, guideline_meta, guideline_revisions, policy.guidelines_on())
+    return prompts.render_prompts(
+        calls, prompts.prompt_current(edits), users, guidelines.post_blocks(posts), dim,
+        preamble=F.lit(policy.preamble) if preamble is None else preamble,
+        abilities=policy.guideline_abilities, guideline_text=policy.guideline_text, **options,
+    )
+
+
+def sweep_usage(table: DataFrame, target: str, today: Column, policy: Policy = Policy()) -> tuple[str, int]:
+    """Write the rollup without its expired months to ``target``; returns cutoff and rows removed."""
+    swept = retention.usage_swept(table, today, policy.usage_retention_months).first()
+    write_usage(retention.usage_retained(table, today, policy.usage_retention_months), target)
+    return swept["cutoff"], swept["removed"]

@@ -308,11 +308,11 @@ ORACLE_SQL = {
     "stream_spend_alerts": _sql(body="""SELECT user_id, period, slot, CAST(t AS DOUBLE) / 1e6 AS usd_spent FROM
         (SELECT *, sum(s) OVER (PARTITION BY user_id, period ORDER BY slot) AS t FROM slots)
         WHERE t >= 100000 AND t - s < 100000
-          AND slot < (SELECT max(slot) FROM slots) - 60000000"""),
+          AND slot + 60000000 <= (SELECT max(epoch_us(ts)) FROM rq WHERE status = 'success' AND tokens_input > 0) - 60000000"""),
     "stream_rate_limits": _sql("numbered", body="""SELECT user_id, ability_id, t * 1000000 AS tick, count(*) AS requests,
         count(*) FILTER (WHERE rate_decision = 'allowed') AS allowed, count(*) FILTER (WHERE rate_decision = 'hour') AS over_hour,
         count(*) FILTER (WHERE rate_decision = 'day') AS over_day FROM walk
-        WHERE t < (SELECT max(t) FROM numbered) - 60 GROUP BY 1, 2, 3"""),
+        WHERE (t + 1) * 1000000 <= (SELECT max(epoch_us(ts)) FROM rq) - 60000000 GROUP BY 1, 2, 3"""),
     "stream_redact": _sql(body="SELECT doc_id, p AS text FROM redacted"),
 }
 ORACLE_SQL["usage_upsert"] = ORACLE_SQL["usage_rollup"]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Default token prices in USD per 1,000 tokens.
 DEFAULT_RATE_IN = "0.003"
@@ -94,3 +96,27 @@ class Policy:
         """The stored toggle, then the code-level override."""
         enabled = bool(self.use_guidelines)
         return enabled if self.guidelines_override is None else bool(self.guidelines_override(enabled))
+
+
+def load_policy(options: DataFrame, **overrides) -> Policy:
+    """Policy of one site from its stored options (key, value as JSON text).
+
+    Options that are not stored keep their default; ``overrides`` replace fields that only
+    code can set. At most one row per known option reaches the driver.
+    """
+    known = (*POLICY_DEFAULTS, "usage_retention_months")
+    rows = options.where(F.col("key").isin(*known)).groupBy("key").agg(F.max("value").alias("value")).collect()
+    stored = {r["key"]: json.loads(r["value"]) for r in rows if r["value"] is not None}
+    fields = {
+        "preamble": ("preamble", str), "log_retention_days": ("log_retention_days", int),
+        "usage_retention_months": ("usage_retention_months", int), "disabled_features": ("disabled_features", tuple),
+        "banned_phrases": ("banned_phrases", lambda v: tuple(str(p) for p in v)), "redact_pii": ("redact_pii", bool),
+        "use_guidelines": ("use_guidelines", bool), "monthly_user_cap": ("monthly_user_cap_usd", str),
+    }
+    chosen = {name: cast(stored[key]) for key, (name, cast) in fields.items() if key in stored}
+    if "rate_limits" in stored:
+        limits = stored["rate_limits"]
+        chosen["rate_windows"] = tuple(
+            RateWindow(w.name, w.ttl_seconds, int(limits.get(w.name, 0))) for w in DEFAULT_RATE_WINDOWS
+        )
+    return Policy(**{**chosen, **overrides})

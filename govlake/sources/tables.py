@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from govlake import schemas
+from govlake.sources import files
 
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -40,9 +41,7 @@ def sample_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sample_stream(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataFrame:
     """A sample table as a stream of files, be it stored as one file or as a folder."""
     path = f"{sf_dir}/{name}.parquet"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
-    if status.isFile():
+    if files.is_file(spark, path):
         path, options = sf_dir, {"pathGlobFilter": f"{name}.parquet", **options}
     return stream_table(spark, path, schemas.SAMPLE_TABLES[name], **options)
 

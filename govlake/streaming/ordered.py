@@ -1,67 +1,68 @@
-"""Keyed state that must see events in time order, on streams that do not deliver them so.
+"""Keyed state over events that must be seen in time order, on streams that mix the order.
 
-Events are cut into time slots and summed per key and slot, first inside each task and
-then in state. A slot is handed on once the watermark has passed it, so the step function
-sees the slots of a key in order, each exactly once and complete. Events that arrive later
-than the delay are dropped here and left to the batch replay.
+A watermarked aggregation sums events per key and time slot and releases a slot only when
+it is complete, so every slot of a later micro-batch is later than all slots before. Each
+micro-batch is then folded as a whole: what the keys remember is read from the previous
+micro-batch's table, joined by the new slots, and written again with the results. Keys cost
+rows, not calls, and events later than the delay are left to the batch replay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable
 
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-# (key, memory, slots in micros, amounts) -> (memory, rows or None, when to forget in ms)
-Step = Callable[[tuple, tuple, list[int], list[int]], tuple[tuple, "pd.DataFrame | None", int]]
+from govlake.session import scratch_path
+from govlake.sources import files
+from govlake.streaming.run import to_batches
 
+# (new slots, what the keys remember, largest slot of the batch) -> rows of both kinds
+Fold = Callable[[DataFrame, DataFrame, int], DataFrame]
 
-def slot_sums(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """Partial sums per key and slot, batch by batch."""
-    names = [*keys, "slot"]
-    for batch in batches:
-        summed = pa.Table.from_batches([batch]).group_by(names).aggregate([("amount", "sum")])
-        yield from summed.select([*names, "amount_sum"]).rename_columns([*names, "amount"]).to_batches()
+MEMORY, RESULT = "memory", "result"
 
 
-def fold_in_order(events: DataFrame, keys: Sequence[str], slot: Column, amount: Column, delay: str,
-                  step: Step, output: str, memory: str, start: tuple) -> DataFrame:
-    """Run ``step`` over the slots of every key in time order.
+def fold_batches(slots: DataFrame, fold: Fold, schema: str, root: str, **trigger) -> StreamingQuery:
+    """Start the fold. ``slots`` has a column ``slot`` in micros; ``fold`` returns rows of
+    ``schema`` with a column ``kind`` that says memory or result.
 
-    ``slot`` is the start of an event's slot, ``memory`` the schema of what a key
-    remembers besides slots still waiting, ``start`` its first value.
+    Batch n is written below its number, replacing itself when it is replayed, and reads
+    only batches before n.
     """
-    keys = list(keys)
-    narrow = events.select(*keys, slot.cast("timestamp").alias("slot"), amount.cast("bigint").alias("amount"))
-    combined = narrow.mapInArrow(lambda batches: slot_sums(batches, keys), narrow.schema).withWatermark("slot", delay)
-    width = len(start)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get if state.exists else (*start, [], [])
-        remembered = tuple(kept[:width])
-        waiting = dict(zip(kept[width], kept[width + 1]))
-        if not state.hasTimedOut:
-            for rows in batches:
-                stamps = rows["slot"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
-                for stamp, n in zip(stamps, rows["amount"].tolist()):
-                    waiting[stamp] = waiting.get(stamp, 0) + n
-        watermark = state.getCurrentWatermarkMs()
-        due = sorted(s for s in waiting if s // 1000 < watermark)
-        forget = 0
-        if due:
-            remembered, rows, forget = step(key, remembered, due, [waiting.pop(s) for s in due])
-            if rows is not None:
-                yield rows
-        elif not waiting:
-            state.remove()
-            return
-        left = sorted(waiting)
-        state.update((*remembered, left, [waiting[s] for s in left]))
-        state.setTimeoutTimestamp(max(left[0] // 1000 if left else forget, watermark + 1))
-
-    return combined.groupBy(*keys).applyInPandasWithState(
-        run, output, f"{memory}, slots ARRAY<BIGINT>, amounts ARRAY<BIGINT>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    table = f"{root}/fold"
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        latest = batch.agg(F.max("slot")).first()[0]
+        if latest is not None:
+            earlier = [i for i in files.numbered(spark, table, "batch_id=") if i < n]
+            memory = _memory(spark, f"{table}/batch_id={earlier[-1]}" if earlier else None, schema)
+            fold(batch, memory, latest).write.mode("overwrite").partitionBy("kind").parquet(f"{table}/batch_id={n}")
+            for done in earlier[:-1]:
+                files.remove(spark, f"{table}/batch_id={done}/kind={MEMORY}")
+        batch.unpersist()
+
+    return to_batches(slots, write, f"{root}/checkpoint", **trigger)
+
+
+def _memory(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
+    if path is None or not files.exists(spark, f"{path}/kind={MEMORY}"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/kind={MEMORY}")
+
+
+def results(spark: SparkSession, schema: str, root: str) -> DataFrame:
+    """The results written so far."""
+    full = f"{schema}, kind STRING, batch_id BIGINT"
+    return spark.read.schema(full).parquet(f"{root}/fold").where(F.col("kind") == RESULT).drop("kind", "batch_id")
+
+
+def drain_fold(slots: DataFrame, fold: Fold, schema: str, label: str) -> DataFrame:
+    """Fold what the source holds now and return the results."""
+    root = scratch_path(slots.sparkSession, label)
+    fold_batches(slots, fold, schema, root).awaitTermination()
+    return results(slots.sparkSession, schema, root)

@@ -4,35 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govlake.functions.limiter import MICROS, advance, fresh
-from govlake.operators.ratelimit import KEYS, enabled, tick_of
+from govlake.functions.limiter import MICROS, fold_resumed
+from govlake.operators.ratelimit import KEYS, enabled
 from govlake.policy import DEFAULT_RATE_WINDOWS, RateWindow
-from govlake.streaming.ordered import fold_in_order
+from govlake.streaming.ordered import Fold, drain_fold
 
+SCHEMA = ("user_id BIGINT, ability_id STRING, slot BIGINT, requests BIGINT, passed ARRAY<BIGINT>, "
+          "counts ARRAY<BIGINT>, expires ARRAY<BIGINT>")
 
-def stream_rate_limits(requests: DataFrame, windows: Sequence[RateWindow] = DEFAULT_RATE_WINDOWS,
-                       delay: str = "1 minute", tick_seconds: int = 1) -> DataFrame:
-    """Per key and clock tick: requests, how many were allowed and how many each window rejected."""
+
+def ticks(requests: DataFrame, delay: str = "1 minute", tick_seconds: int = 1) -> DataFrame:
+    """Requests per key and clock tick, released once the tick is complete."""
+    return (
+        requests.withWatermark("ts", delay)
+        .groupBy(*KEYS, F.window("ts", f"{tick_seconds} seconds").alias("_tick"))
+        .agg(F.count(F.lit(1)).alias("requests"))
+        .select(*KEYS, F.unix_micros("_tick.start").alias("slot"), "requests")
+    )
+
+
+def counters_fold(windows: Sequence[RateWindow]) -> Fold:
+    """Continue the counters of every key; counters that have run out are forgotten."""
     pairs = [(w.ttl_seconds * MICROS, w.limit) for w in enabled(windows)]
     if not pairs:
         raise ValueError("no rate window is enabled")
 
-    def step(key: tuple, memory: tuple, ticks: list[int], requests: list[int]):
-        counts, expires = list(memory[0]), list(memory[1])
-        passed = [advance(t, n, pairs, counts, expires) for t, n in zip(ticks, requests)]
-        rows = pd.DataFrame({
-            KEYS[0]: key[0], KEYS[1]: key[1], "tick": ticks, "requests": requests,
-            "allowed": [p[-1] for p in passed],
-            "rejected": [[a - b for a, b in zip([n, *p], p)] for n, p in zip(requests, passed)],
-        })
-        return (counts, expires), rows, max(expires) // 1000
-
-    return fold_in_order(
-        requests, KEYS, F.timestamp_micros(tick_of(F.col("ts"), tick_seconds)), F.lit(1), delay, step,
-        "user_id BIGINT, ability_id STRING, tick BIGINT, requests BIGINT, allowed BIGINT, rejected ARRAY<BIGINT>",
-        "counts ARRAY<BIGINT>, expires ARRAY<BIGINT>", fresh(pairs),
+    def fold(slots: DataFrame, memory: DataFrame, latest: int) -> DataFrame:
+        together = memory.unionByName(slots, allowMissingColumns=True)
+        # Memory has no slot and sorts before the slots of its key.
+        ordered = together.repartition(*KEYS).sortWithinPartitions(*KEYS, F.col("slot").asc_nulls_first())
+        folded = ordered.mapInArrow(lambda batches: fold_resumed(batches, KEYS, pairs), f"{SCHEMA}, kind STRING")
+        return folded.where((F.col("kind") == "result") | (F.array_max("expires") > latest))
+
+    return fold
+
+
+def stream_rate_limits(requests: DataFrame, windows: Sequence[RateWindow] = DEFAULT_RATE_WINDOWS,
+                       delay: str = "1 minute", tick_seconds: int = 1) -> DataFrame:
+    """Drain a request stream: per key and clock tick, requests, how many were allowed and
+    how many each window rejected."""
+    folded = drain_fold(ticks(requests, delay, tick_seconds), counters_fold(windows), SCHEMA, "limits")
+    before = F.concat(F.array("requests"), F.slice("passed", F.lit(1), F.size("passed") - 1))
+    return folded.select(
+        *KEYS, F.col("slot").alias("tick"), "requests", F.element_at("passed", -1).alias("allowed"),
+        F.zip_with(before, "passed", lambda a, b: a - b).alias("rejected"),
     )

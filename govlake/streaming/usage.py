@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from govlake.functions.money import micros_of
-from govlake.operators.ordered import time_bucket
+from govlake.functions.requests import period
 from govlake.operators.requests import shape_requests
 from govlake.operators.usage import request_cost, usage_rollup
 from govlake.session import scratch_path
 from govlake.sources.sinks import read_usage_deltas, write_usage_delta
-from govlake.streaming.ordered import fold_in_order
+from govlake.streaming.ordered import MEMORY, RESULT, Fold, drain_fold
 from govlake.streaming.run import to_batches
 
 
@@ -39,25 +38,50 @@ def stream_usage(exchange: DataFrame, delay: str = "1 hour", path: str | None =
     return read_usage_deltas(spark, path)
 
 
-def spend_alerts(costed: DataFrame, cap_usd: str | float, delay: str = "1 minute", slot_seconds: int = 60) -> DataFrame:
-    """One row per user and month: the time slot in which spend reached the cap.
+SPENT_SCHEMA = "user_id BIGINT, period STRING, slot BIGINT, usd_micros BIGINT, spent_micros BIGINT"
 
-    ``costed`` is a stream of costed events without redelivered ones (``once_each`` in the
-    query that writes them). State per user and month is one sum, dropped after the month.
-    """
-    cap = micros_of(cap_usd)
 
-    def step(key: tuple, memory: tuple, slots: list[int], amounts: list[int]):
-        spent, row = memory[0], None
-        for slot, amount in zip(slots, amounts):
-            if 0 < cap and spent < cap <= spent + amount:
-                row = pd.DataFrame({"user_id": [key[0]], "period": [key[1]], "slot": [slot], "spent_micros": [spent + amount]})
-            spent += amount
-        month_over = (pd.Period(key[1], "M") + 2).start_time
-        return (spent,), row, int(month_over.timestamp() * 1000)
-
-    slot = F.timestamp_micros(time_bucket(F.col("ts"), slot_seconds))
-    return fold_in_order(
-        costed.where("usd_micros > 0"), ("user_id", "period"), slot, F.col("usd_micros"), delay, step,
-        "user_id BIGINT, period STRING, slot BIGINT, spent_micros BIGINT", "spent BIGINT", (0,),
+def spend_slots(costed: DataFrame, delay: str = "1 minute", slot_seconds: int = 60) -> DataFrame:
+    """Spend per user and time slot, released once the slot is complete."""
+    return (
+        costed.where("usd_micros > 0").withWatermark("ts", delay)
+        .groupBy("user_id", F.window("ts", f"{slot_seconds} seconds").alias("_slot"))
+        .agg(F.sum("usd_micros").alias("usd_micros"))
+        .select("user_id", period(F.col("_slot.start")).alias("period"), F.unix_micros("_slot.start").alias("slot"), "usd_micros")
     )
+
+
+def crossing_fold(cap_usd: str | float) -> Fold:
+    """Continue the month's spend per user; a crossing is a result, a past month forgotten."""
+    cap = micros_of(cap_usd)
+    in_order = Window.partitionBy("user_id", "period").orderBy(F.col("slot").asc_nulls_first())
+
+    def fold(slots: DataFrame, memory: DataFrame, latest: int) -> DataFrame:
+        carried = memory.select("user_id", "period", "slot", F.col("spent_micros").alias("usd_micros"))
+        summed = carried.unionByName(slots).withColumn("spent_micros", F.sum("usd_micros").over(in_order)).withColumn(
+            "_last", F.lead(F.lit(1)).over(in_order).isNull()
+        )
+        crossing = (
+            F.lit(cap > 0) & F.col("slot").isNotNull()
+            & (F.col("spent_micros") >= cap) & (F.col("spent_micros") - F.col("usd_micros") < cap)
+        )
+        month = period(F.timestamp_micros(F.lit(latest)))
+        return summed.select(
+            "*", F.explode(F.array_compact(F.array(
+                F.when(crossing, F.lit(RESULT)), F.when(F.col("_last") & (F.col("period") >= month), F.lit(MEMORY))
+            ))).alias("kind"),
+        ).select(
+            "user_id", "period", F.when(F.col("kind") == RESULT, F.col("slot")).alias("slot"), "usd_micros",
+            "spent_micros", "kind",
+        )
+
+    return fold
+
+
+def spend_alerts(costed: DataFrame, cap_usd: str | float, delay: str = "1 minute", slot_seconds: int = 60) -> DataFrame:
+    """Drain costed events: one row per user and month, the slot in which spend reached the cap.
+
+    Redelivered events must be gone (``once_each`` in the query that writes the events).
+    """
+    slots = spend_slots(costed, delay, slot_seconds)
+    return drain_fold(slots, crossing_fold(cap_usd), SPENT_SCHEMA, "alerts").drop("usd_micros")

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from govlake.operators import guidelines, policies, prompts
-from govlake.policy import ABILITIES, POLICY_DEFAULTS, Policy
+from govlake.policy import ABILITIES, POLICY_DEFAULTS, Policy, load_policy
 from govlake.sources.tables import local_rows
 
 EDITS = "edit_id BIGINT, ability_id STRING, action STRING, mode STRING, template STRING, updated_by BIGINT, minute BIGINT"
@@ -238,3 +238,13 @@ def test_policy_switches():
     assert Policy().guidelines_on() is True
     assert Policy(use_guidelines=False).guidelines_on() is False
     assert Policy(guidelines_override=lambda on: False).guidelines_on() is False
+
+
+def test_policy_from_stored_options(spark):
+    stored = local_rows(spark, [("preamble", '"P"'), ("rate_limits", '{"minute":3}'), ("monthly_user_cap", "0.5"),
+                                ("banned_phrases", '["x", 5]'), ("redact_pii", "false"), ("model_allowlist", "[]"), ("other", "?")],
+                        "key STRING, value STRING")
+    policy = load_policy(stored, parse_usage_metadata=True)
+    assert (policy.preamble, policy.monthly_user_cap_usd, policy.banned_phrases) == ("P", "0.5", ("x", "5"))
+    assert [w.limit for w in policy.rate_windows] == [3, 0] and policy.redact_pii is False
+    assert policy.use_guidelines is True and policy.usage_retention_months == 24 and policy.parse_usage_metadata
