@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from govlake.functions.money import micros_of
@@ -36,17 +36,16 @@ def budget_gate(checks: DataFrame, usage: DataFrame, cap_usd: str | float, perio
     )
 
 
-def budget_crossings(costed: DataFrame, cap_usd: str | float, exempt: Column | None = None,
+def budget_crossings(costed: DataFrame, cap_usd: str | float, exempt_users: DataFrame | None = None,
                      bucket_seconds: int = 60) -> DataFrame:
     """The request at which each user reached the cap in each month.
 
     Spend never falls, so there is at most one per user and month. Time buckets are summed
     first; only the bucket in which the cap is reached is looked at request by request.
+    Exempt users (user_id) are taken out when at most one row per user and month is left.
     """
     cap = micros_of(cap_usd)
     spend = costed.where((F.col("usd_micros") > 0) & F.lit(cap > 0))
-    if exempt is not None:
-        spend = spend.where(~F.coalesce(exempt, F.lit(False)))
     spend = spend.select(
         "user_id", "period", time_bucket(F.col("ts"), bucket_seconds).alias("_bucket"), "ts", "request_id", "usd_micros"
     )
@@ -57,6 +56,8 @@ def budget_crossings(costed: DataFrame, cap_usd: str | float, exempt: Column | N
         .where((F.col("_before") < cap) & (F.col("_before") + F.col("_sum") >= cap))
         .select("user_id", "period", "_bucket", "_before")
     )
+    if exempt_users is not None:
+        crossed = crossed.join(exempt_users.select("user_id"), "user_id", "left_anti")
     running = (
         Window.partitionBy("user_id", "period", "_bucket").orderBy("ts", "request_id")
         .rowsBetween(Window.unboundedPreceding, 0)
@@ -79,7 +80,7 @@ def over_at_request(requests: DataFrame, crossings: DataFrame) -> DataFrame:
     )
 
 
-def budget_replay(costed: DataFrame, cap_usd: str | float, exempt: Column | None = None,
+def budget_replay(costed: DataFrame, cap_usd: str | float, exempt_users: DataFrame | None = None,
                   bucket_seconds: int = 60) -> DataFrame:
     """Every request with the answer the cap would have given at that moment."""
-    return over_at_request(costed, budget_crossings(costed, cap_usd, exempt, bucket_seconds))
+    return over_at_request(costed, budget_crossings(costed, cap_usd, exempt_users, bucket_seconds))

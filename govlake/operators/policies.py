@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from govlake.functions.guidelines import POST_TYPES
 from govlake.policy import ABILITIES, POLICY_DEFAULTS
 
 ABILITY_PREFIX = "ai/"
@@ -30,10 +31,12 @@ def ability_catalog(registered: DataFrame, by: Sequence[str] = ("site_id",)) ->
     return own.unionByName(without.select(*by, F.inline(built_in)))
 
 
-def policy_snapshot(policies: DataFrame, by: Sequence[str] = ("site_id",)) -> DataFrame:
+def policy_snapshot(policies: DataFrame, registered_types: DataFrame, by: Sequence[str] = ("site_id",)) -> DataFrame:
     """One row per site with every option, the default where nothing is stored.
 
-    ``policies`` has the site columns, key, value (JSON text) and version.
+    ``policies`` has the site columns, key, value (JSON text) and version;
+    ``registered_types`` the site columns and post_type, which tell whether guidelines are
+    available on a site.
     """
     values = [
         F.coalesce(
@@ -41,7 +44,10 @@ def policy_snapshot(policies: DataFrame, by: Sequence[str] = ("site_id",)) -> Da
         ).alias(key)
         for key, default in POLICY_DEFAULTS.items()
     ]
-    return policies.groupBy(*by).agg(*values)
+    detected = registered_types.where(F.col("post_type").isin(*POST_TYPES)).select(
+        *by, F.lit(True).alias("guidelines_detected")
+    ).distinct()
+    return policies.groupBy(*by).agg(*values).join(detected, list(by), "left").na.fill({"guidelines_detected": False})
 
 
 def policy_merge(current: DataFrame, update: DataFrame, by: Sequence[str] = ("site_id",)) -> DataFrame:

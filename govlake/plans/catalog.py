@@ -57,9 +57,7 @@ def _usage(spark, sf_dir):
 
 
 def _exempt(spark, sf_dir):
-    """Costed requests with the exemption of their user."""
-    people = sample.users(spark, sf_dir).select("user_id", "manage_options")
-    return _costed(spark, sf_dir).join(people, "user_id", "left")
+    return sample.users(spark, sf_dir).where("manage_options")
 
 
 def _aged_usage(spark, sf_dir):
@@ -168,13 +166,13 @@ def budget_gate(spark, sf_dir):
 
 @query
 def budget_crossings(spark, sf_dir):
-    return budget.budget_crossings(_exempt(spark, sf_dir), sample.CAP_USD, F.col("manage_options")).select(
+    return budget.budget_crossings(_costed(spark, sf_dir), sample.CAP_USD, _exempt(spark, sf_dir)).select(
         "user_id", "period", _micros("crossed_at", "crossed_us"), "crossing_id", _usd("spent_micros"))
 
 
 @query
 def budget_replay(spark, sf_dir):
-    return budget.budget_replay(_exempt(spark, sf_dir), sample.CAP_USD, F.col("manage_options")).select(
+    return budget.budget_replay(_costed(spark, sf_dir), sample.CAP_USD, _exempt(spark, sf_dir)).select(
         "request_id", "user_id", _usd(), "over_budget")
 
 
@@ -327,7 +325,8 @@ def ability_catalog(spark, sf_dir):
 
 @query
 def policy_snapshot(spark, sf_dir):
-    return policies.policy_snapshot(sample.policies(spark, sf_dir).where("version % 7 = 0"))
+    types = sample.guideline_posts(spark, sf_dir).select("site_id", "post_type")
+    return policies.policy_snapshot(sample.policies(spark, sf_dir).where("version % 7 = 0"), types)
 
 
 @query
@@ -440,6 +439,13 @@ def stream_rate_limits(spark, sf_dir):
                           F.get("rejected", F.lit(0)).alias("over_hour"), F.get("rejected", F.lit(1)).alias("over_day"))
 
 
+@query
+def stream_moderate(spark, sf_dir):
+    answers = sample.outputs_of(sample_stream(spark, sf_dir, "conversations"))
+    moderated = scrub.stream_moderate(answers, "body", sample.BANNED)
+    return drain(spark, moderated.select("conv_id", "turn", "violation", F.col("response.status").alias("status")), "moderated")
+
+
 @query
 def stream_redact(spark, sf_dir):
     texts = sample_stream(spark, sf_dir, "documents").select("doc_id", "text")

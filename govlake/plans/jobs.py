@@ -56,8 +56,8 @@ def governance_replay(
         "request_id", "ts", "user_id", "ability_id", "period", "status", "usd_micros"
     )
     limited = ratelimit.rate_limit_replay(narrow, policy.rate_windows)
-    checks = limited.join(users.select("user_id", "roles", "manage_options"), "user_id", "left").select(
-        *limited.columns, "roles", "manage_options",
+    checks = limited.join(users.select("user_id", "roles"), "user_id", "left").select(
+        *limited.columns, "roles",
         capability_of(F.col("ability_id")).alias("capability"), F.lit(True).alias("granted"),
     )
     gated = access.role_gate(checks.withColumnRenamed("ability_id", "invoked"), role_map)
@@ -69,7 +69,7 @@ def governance_replay(
         gated = spark.read.schema(gated.schema).parquet(path)
 
     spending = gated.where("rate_decision = 'allowed' AND granted")
-    crossings = budget.budget_crossings(spending, policy.monthly_user_cap_usd, exempt=F.col("manage_options"))
+    crossings = budget.budget_crossings(spending, policy.monthly_user_cap_usd, users.where("manage_options"))
     replayed = budget.over_at_request(gated, crossings)
     gate = (
         F.when(F.col("rate_decision") != "allowed", F.concat(F.lit("rate:"), "rate_decision"))

@@ -269,7 +269,7 @@ ORACLE_SQL = {
         f"coalesce(max(CASE WHEN key = '{key}' THEN value END), '{default}') AS {key}" for key, default in {
             "preamble": '""', "rate_limits": '{"minute":20,"day":500}', "monthly_user_cap": "0", "log_retention_days": "90",
             "model_allowlist": "[]", "disabled_features": "[]", "banned_phrases": "[]", "redact_pii": "true",
-            "use_guidelines": "true"}.items()) + """ FROM (SELECT *, row_number() OVER (PARTITION BY site_id, key
+            "use_guidelines": "true"}.items()) + """, site_id < 40 AND count(*) > 0 AS guidelines_detected FROM (SELECT *, row_number() OVER (PARTITION BY site_id, key
         ORDER BY version DESC) AS n FROM options WHERE version % 7 = 0) WHERE n = 1 GROUP BY site_id"""),
     "policy_merge": _sql(body="""SELECT site_id, key, coalesce(u.value, c.value) AS value FROM
         (SELECT site_id, key, arg_max(value, version) AS value FROM options WHERE version % 3 = 0 GROUP BY 1, 2) c FULL JOIN
@@ -313,6 +313,8 @@ ORACLE_SQL = {
         count(*) FILTER (WHERE rate_decision = 'allowed') AS allowed, count(*) FILTER (WHERE rate_decision = 'hour') AS over_hour,
         count(*) FILTER (WHERE rate_decision = 'day') AS over_day FROM walk
         WHERE (t + 1) * 1000000 <= (SELECT max(epoch_us(ts)) FROM rq) - 60000000 GROUP BY 1, 2, 3"""),
+    "stream_moderate": _sql(body="""SELECT conv_id, turn, violation, CASE WHEN violation IS NOT NULL THEN 451 END AS status
+        FROM moderated"""),
     "stream_redact": _sql(body="SELECT doc_id, p AS text FROM redacted"),
 }
 ORACLE_SQL["usage_upsert"] = ORACLE_SQL["usage_rollup"]

@@ -8,11 +8,13 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings. Months and dates are UTC by definition of the data model;
-# AQE re-plans joins from measured sizes and splits skewed join partitions.
+# AQE re-plans joins from measured sizes and splits skewed join partitions, also where that
+# costs another shuffle (a user or site may own a third of all rows).
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 

@@ -183,6 +183,10 @@ def guideline_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outputs_of(sample_table(spark, sf_dir, "conversations"))
+
+
+def outputs_of(conversations: DataFrame) -> DataFrame:
     """Provider answers to moderate; the text sits under one of four keys."""
     key = pick((F.col("conv_id") + F.col("turn")) % 4, ("result", "output", "text", "content"))
     body = F.concat(
@@ -191,7 +195,7 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1)),
         F.lit("}"),
     )
-    return sample_table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", body.alias("body"))
+    return conversations.where("role = 'assistant'").select("conv_id", "turn", body.alias("body"))
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:

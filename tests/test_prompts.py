@@ -225,7 +225,10 @@ def test_ability_catalog(spark):
 def test_policy_options(spark):
     stored = local_rows(spark, [(1, "preamble", '"old"', 1), (1, "preamble", '"new"', 2), (1, "unknown", "1", 3)],
                         "site_id BIGINT, key STRING, value STRING, version BIGINT")
-    row = policies.policy_snapshot(stored).first()
+    types = local_rows(spark, [(1, "wp_content_guideline"), (1, "post")], "site_id BIGINT, post_type STRING")
+    row = policies.policy_snapshot(stored, types).first()
+    assert row["guidelines_detected"] is True
+    assert policies.policy_snapshot(stored, types.where("post_type = 'post'")).first()["guidelines_detected"] is False
     assert row["preamble"] == '"new"' and row["log_retention_days"] == "90"
     assert [row[k] for k in POLICY_DEFAULTS if k != "preamble"] == [v for k, v in POLICY_DEFAULTS.items() if k != "preamble"]
     current = local_rows(spark, [(1, "preamble", "a"), (1, "role_map", "{}")], "site_id BIGINT, key STRING, value STRING")
