@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 MICROS = 1_000_000
 
@@ -41,23 +43,48 @@ def advance(tick: int, requests: int, windows: Sequence[tuple[int, int]],
     return passed
 
 
+def _starts(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """Row numbers at which a new key begins; keys are not null."""
+    changed = np.zeros(batch.num_rows, dtype=bool)
+    changed[0] = True
+    for k in keys:
+        column = batch.column(k)
+        changed[1:] |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(changed)
+
+
 def fold_sorted(batches: Iterable[pa.RecordBatch], keys: Sequence[str],
                 windows: Sequence[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    """Add ``passed`` to batches of (keys, tick, requests) sorted by keys and tick."""
+    """Add ``passed`` to batches of (keys, tick, requests) sorted by keys and tick.
+
+    A key that begins and ends inside a batch with no more requests than the smallest
+    limit passes as a whole; only the others are walked tick by tick.
+    """
+    smallest = min(limit for _, limit in windows)
     current, counts, expires = None, [], []
     for batch in batches:
-        rows = zip(*(batch.column(k).to_pylist() for k in keys))
-        ticks = batch.column("tick").to_pylist()
-        requests = batch.column("requests").to_pylist()
-        passed = []
-        for key, tick, n in zip(rows, ticks, requests):
+        if batch.num_rows == 0:
+            continue
+        requests = batch.column("requests").to_numpy()
+        ticks = batch.column("tick").to_numpy()
+        starts = _starts(batch, keys)
+        ends = np.append(starts[1:], batch.num_rows)
+        passed = np.repeat(requests[:, None], len(windows), axis=1)
+        walked = np.add.reduceat(requests, starts) > smallest
+        walked[[0, -1]] = True  # these may continue the batch before or go on in the next
+        for group in np.flatnonzero(walked):
+            start, end = int(starts[group]), int(ends[group])
+            key = tuple(batch.column(k)[start].as_py() for k in keys)
             if key != current:
                 current = key
                 counts, expires = fresh(windows)
-            passed.append(advance(tick, n, windows, counts, expires))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(passed, pa.list_(pa.int64()))], names=[*batch.schema.names, "passed"]
-        )
+            passed[start:end] = [
+                advance(t, n, windows, counts, expires)
+                for t, n in zip(ticks[start:end].tolist(), requests[start:end].tolist())
+            ]
+        offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * len(windows)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(passed.ravel()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "passed"])
 
 
 def fold_resumed(batches: Iterable[pa.RecordBatch], keys: Sequence[str],

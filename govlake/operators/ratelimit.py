@@ -28,9 +28,17 @@ def tick_of(ts: Column, tick_seconds: int = 1) -> Column:
     return time_bucket(ts, tick_seconds)
 
 
+def _key_columns(user_name: str, ability_name: str) -> list[Column]:
+    """The key of a request; callers that are not logged in share user 0."""
+    return [
+        F.coalesce("user_id", F.lit(0).cast("bigint")).alias(user_name),
+        F.coalesce("ability_id", F.lit("")).alias(ability_name),
+    ]
+
+
 def tick_counts(requests: DataFrame, tick_seconds: int = 1) -> DataFrame:
     """Requests per key and tick: all the counters need to know."""
-    return requests.groupBy(*KEYS, tick_of(F.col("ts"), tick_seconds).alias("tick")).agg(
+    return requests.groupBy(*_key_columns(*KEYS), tick_of(F.col("ts"), tick_seconds).alias("tick")).agg(
         F.count(F.lit(1)).alias("requests")
     )
 
@@ -68,12 +76,14 @@ def rate_limit_replay(requests: DataFrame, windows: Sequence[RateWindow] = DEFAU
     """Add ``rate_decision`` to every request (request_id, user_id, ability_id, ts, ...)."""
     if not enabled(windows):
         return requests.withColumn("rate_decision", F.lit("allowed"))
-    folded = fold_ticks(tick_counts(requests, tick_seconds), windows).drop("requests")
-    in_tick = Window.partitionBy(*KEYS, "tick").orderBy("ts", "request_id")
-    ranked = requests.withColumn("tick", tick_of(F.col("ts"), tick_seconds)).withColumn(
+    hidden = [f"_{k}" for k in KEYS]
+    folded = fold_ticks(tick_counts(requests, tick_seconds), windows)
+    folded = folded.select(*[F.col(k).alias(f"_{k}") for k in KEYS], F.col("tick").alias("_tick"), "passed")
+    in_tick = Window.partitionBy(*hidden, "_tick").orderBy("ts", "request_id")
+    ranked = requests.select("*", *_key_columns(*hidden), tick_of(F.col("ts"), tick_seconds).alias("_tick")).withColumn(
         "_rank", F.row_number().over(in_tick)
     )
-    return ranked.join(folded, [*KEYS, "tick"]).select(
+    return ranked.join(folded, [*hidden, "_tick"]).select(
         *requests.columns, decision(F.col("_rank"), F.col("passed"), windows).alias("rate_decision")
     )
 

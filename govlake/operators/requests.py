@@ -12,7 +12,7 @@ def shape_requests(exchange: DataFrame, parse_usage_metadata: bool = False) -> D
     """One event per exchange; failed calls have no response and count no tokens."""
     counts = rq.tokens(F.col("response_body"), parse_usage_metadata)
     return exchange.select(
-        "request_id", "ts", "user_id",
+        "request_id", "ts", F.coalesce("user_id", F.lit(0).cast("bigint")).alias("user_id"),
         rq.ability_of_route(F.col("route")).alias("ability_id"),
         rq.provider(F.col("uri")).alias("provider"),
         rq.model(F.col("request_body")).alias("model"),

@@ -1,8 +1,10 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from govlake.functions import limiter
 from govlake.functions.money import micros_of
 from govlake.operators import access, budget, ratelimit, requests, retention, usage
 from govlake.plans import jobs
@@ -60,6 +62,33 @@ def test_limiter_edges(spark):
     assert decisions(spark, [(1, 0, "a", 0), (2, 0, "a", 0)], [RateWindow("minute", 60, 0)]) == {1: "allowed", 2: "allowed"}
 
 
+def test_requests_without_user_share_one_counter(spark):
+    nobody = [RateWindow("minute", 60, 1)]
+    assert decisions(spark, [(1, None, "a", 0), (2, 0, "a", 1), (3, None, None, 2)], nobody) == {
+        1: "allowed", 2: "minute", 3: "allowed"}
+
+
+def test_fold_does_not_depend_on_batch_borders():
+    rng = random.Random(9)
+    rows = sorted({(u, "ab"[rng.randint(0, 1)], t * 1_000_000) for u in range(6) for t in rng.sample(range(500), 20 if u else 400)})
+    table = pa.table({"user_id": [r[0] for r in rows], "ability_id": [r[1] for r in rows], "tick": [r[2] for r in rows],
+                      "requests": [rng.randint(1, 3) for _ in rows]})
+    windows = [(60_000_000, 5), (300_000_000, 12)]
+
+    def passed(size):
+        folded = limiter.fold_sorted(table.to_batches(max_chunksize=size), ("user_id", "ability_id"), windows)
+        return [p for b in folded for p in b.column("passed").to_pylist()]
+
+    walked, key = [], None
+    for row in table.to_pylist():
+        if (row["user_id"], row["ability_id"]) != key:
+            key = (row["user_id"], row["ability_id"])
+            counts, expires = limiter.fresh(windows)
+        walked.append(limiter.advance(row["tick"], row["requests"], windows, counts, expires))
+    for size in (1, 3, 50, 10_000):
+        assert passed(size) == walked
+
+
 def test_limiter_equals_simulation_with_a_hot_key(spark):
     rng = random.Random(3)
     rows = []
