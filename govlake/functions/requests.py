@@ -26,37 +26,55 @@ _RESPONSE_SCHEMA = (
 )
 
 
+def host(uri: Column) -> Column:
+    return F.coalesce(F.try_parse_url(uri, F.lit("HOST")), F.lit(""))
+
+
+def provider_of_host(name: Column) -> Column:
+    """Provider a host belongs to, else the host itself."""
+    named = F.when(F.lit(False), name)
+    for fragment, provider_name in PROVIDER_HOSTS.items():
+        named = named.when(name.contains(fragment), F.lit(provider_name))
+    return named.otherwise(name)
+
+
 def provider(uri: Column) -> Column:
     """Provider named by the host of a URI, else the host itself, else ''."""
-    host = F.coalesce(F.try_parse_url(uri, F.lit("HOST")), F.lit(""))
-    named = F.when(F.lit(False), host)
-    for fragment, name in PROVIDER_HOSTS.items():
-        named = named.when(host.contains(fragment), F.lit(name))
-    return named.otherwise(host)
+    return provider_of_host(host(uri))
 
 
 def model(request_body: Column) -> Column:
     return F.coalesce(F.from_json(request_body, _REQUEST_SCHEMA)["model"], F.lit(""))
 
 
-def tokens(response_body: Column, parse_usage_metadata: bool = False) -> Column:
-    """Struct (tokens_input, tokens_output); both 0 when the body does not tell.
+def parse_response(response_body: Column) -> Column:
+    """The token fields of a response body, null where it does not have them."""
+    return F.from_json(response_body, _RESPONSE_SCHEMA)
+
 
-    The body is parsed once. Each count falls back on its own from the first field name
-    to the second. ``parse_usage_metadata`` also reads ``usageMetadata`` bodies.
+def token_texts(response: Column, parse_usage_metadata: bool = False) -> tuple[Column, Column]:
+    """Texts of the input and output counts of a parsed response.
+
+    Each falls back on its own from the first field name to the second.
+    ``parse_usage_metadata`` also reads ``usageMetadata`` bodies.
     """
-    body = F.from_json(response_body, _RESPONSE_SCHEMA)
-    usage = body["usage"]
+    usage = response["usage"]
     sent = [usage["prompt_tokens"], usage["input_tokens"]]
     received = [usage["completion_tokens"], usage["output_tokens"]]
     if parse_usage_metadata:
-        sent.append(body["usageMetadata"]["promptTokenCount"])
-        received.append(body["usageMetadata"]["candidatesTokenCount"])
-    zero = F.lit(0).cast("bigint")
-    return F.struct(
-        F.coalesce(lenient_bigint(F.coalesce(*sent)), zero).alias("tokens_input"),
-        F.coalesce(lenient_bigint(F.coalesce(*received)), zero).alias("tokens_output"),
-    )
+        sent.append(response["usageMetadata"]["promptTokenCount"])
+        received.append(response["usageMetadata"]["candidatesTokenCount"])
+    return F.coalesce(*sent), F.coalesce(*received)
+
+
+def token_count(text: Column) -> Column:
+    return F.coalesce(lenient_bigint(text), F.lit(0).cast("bigint"))
+
+
+def tokens(response_body: Column, parse_usage_metadata: bool = False) -> Column:
+    """Struct (tokens_input, tokens_output); both 0 when the body does not tell."""
+    sent, received = token_texts(parse_response(response_body), parse_usage_metadata)
+    return F.struct(token_count(sent).alias("tokens_input"), token_count(received).alias("tokens_output"))
 
 
 def duration_ms(start: Column, end: Column) -> Column:

@@ -11,7 +11,7 @@ from govlake.functions import guidelines as gl
 from govlake.functions import templates as tp
 from govlake.functions.text import lenient_bigint, rtrim
 from govlake.operators.ordered import with_latest, with_previous
-from govlake.operators.sizing import small_side
+from govlake.operators.sizing import small_side, spread
 from govlake.policy import EDITORIAL_ABILITIES
 
 EDIT_COLUMNS = ("action", "mode", "template", "updated_by", "updated_at")
@@ -103,7 +103,7 @@ def render_prompts(
     feature is off. Order: override, then preamble, then guidelines.
     """
     empty = F.lit("")
-    calls = calls.withColumn("post_id", lenient_bigint(F.try_element_at("payload", F.lit("post_id"))))
+    calls = spread(calls, "request_id").withColumn("post_id", lenient_bigint(F.try_element_at("payload", F.lit("post_id"))))
     post_side = posts.where("post_id > 0").select("post_id", "post_title", "post_type", "post_status", "blocks")
     user_side = users.select("user_id", "user_login", F.get("roles", F.lit(0)).alias("user_role"))
     parsed = overrides.select(

@@ -9,20 +9,24 @@ from govlake.functions import requests as rq
 
 
 def shape_requests(exchange: DataFrame, parse_usage_metadata: bool = False) -> DataFrame:
-    """One event per exchange; failed calls have no response and count no tokens."""
-    counts = rq.tokens(F.col("response_body"), parse_usage_metadata)
-    return exchange.select(
+    """One event per exchange; failed calls have no response and count no tokens.
+
+    Host, body and count texts are columns of their own, so that each is read once per row.
+    """
+    parsed = exchange.withColumns({
+        "_host": rq.host(F.col("uri")), "_response": rq.parse_response(F.col("response_body")),
+    })
+    sent, received = rq.token_texts(F.col("_response"), parse_usage_metadata)
+    return parsed.withColumns({"_sent": sent, "_received": received}).select(
         "request_id", "ts", F.coalesce("user_id", F.lit(0).cast("bigint")).alias("user_id"),
         rq.ability_of_route(F.col("route")).alias("ability_id"),
-        rq.provider(F.col("uri")).alias("provider"),
+        rq.provider_of_host(F.col("_host")).alias("provider"),
         rq.model(F.col("request_body")).alias("model"),
         rq.duration_ms(F.col("ts"), F.col("end_ts")).alias("duration_ms"),
-        counts.alias("_tokens"),
+        rq.token_count(F.col("_sent")).alias("tokens_input"),
+        rq.token_count(F.col("_received")).alias("tokens_output"),
         rq.status(F.col("error_message")).alias("status"),
         "error_message", "uri",
-    ).select(
-        "request_id", "ts", "user_id", "ability_id", "provider", "model", "duration_ms",
-        "_tokens.tokens_input", "_tokens.tokens_output", "status", "error_message", "uri",
     )
 
 

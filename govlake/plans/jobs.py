@@ -11,6 +11,7 @@ from govlake.functions import guidelines as gl
 from govlake.functions import outputs
 from govlake.functions.requests import CAPABILITY_PREFIX
 from govlake.operators import access, budget, guidelines, moderate, prompts, ratelimit, redact, requests, retention, usage
+from govlake.operators.sizing import spread
 from govlake.policy import Policy
 from govlake.session import scratch_path
 from govlake.sources.sinks import write_usage
@@ -82,7 +83,7 @@ def governance_replay(
         F.when(passed, F.col("usd_micros")).otherwise(F.lit(0).cast("bigint")).alias("usd_micros"),
         (passed & (F.col("status") == "success")).alias("_answered"),
     )
-    verdicts = answers.select(
+    verdicts = spread(answers.select("request_id", "text"), "request_id").select(
         "request_id", outputs.violation(F.col("text"), policy.banned_phrases).isNotNull().alias("_violates")
     ).where("_violates")
     return decided.join(verdicts, "request_id", "left").select(
