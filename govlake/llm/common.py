@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from govlake.session import scratch_path
+
 # Rows of a batch sent to Python: with texts of 100 kB a batch is 25 MB.
 BATCH_ROWS = 256
 # Bytes of text worked on at once inside a Python task.
@@ -47,3 +49,30 @@ def worker_memory(name: str, make: Callable[[], Any]) -> Any:
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that whatever else a table holds cannot clash with working columns."""
     return df.select(*[F.col(f"`{name}`") for name in names])
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """A written copy in the shared folder, which cuts the lineage and survives lost executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_rank(df: DataFrame, group: list[str], order: list[str], bucket: Column, name: str, few_buckets: bool = False) -> DataFrame:
+    """Add the gapless rank from 0 inside each group, in the order of (bucket, order).
+
+    Only a bucket of a group is sorted in one task; buckets are put in line by a sum over
+    their counts, which is one row per group and bucket. ``few_buckets`` says that the number
+    of these is fixed, so that the counts can be broadcast.
+    """
+    cut = df.withColumn("_bucket", bucket)
+    counts = cut.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*group, "_bucket").orderBy(*order)
+    return (
+        cut.withColumn("_within", F.row_number().over(within) - 1)
+        .join(F.broadcast(counts) if few_buckets else counts, [*group, "_bucket"])
+        .withColumn(name, (F.col("_before") + F.col("_within")).cast("bigint"))
+        .drop("_bucket", "_within", "_before")
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlake.llm import decontaminate, language_id, packing, pii, quality_rules
+from govlake.llm import decontaminate, importance, language_id, line_dedup, packing, pii, quality_rules, sharding, simhash, tool_calls
 from govlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,72 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_deleted", "text")
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def sample_tool_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, results and schemas as they might stand behind a table of plain turns.
+
+    Each assistant turn is a call that depends on the assistant turn before, each turn by a
+    user is the result of the turn before it. By turn and conversation some calls have a
+    wrong type or a missing field, or arguments that are no JSON.
+    """
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    call_id = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    turn, kind = F.col("turn"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
+    text = F.col("text")
+    forms = [
+        ("search", F.struct(text.alias("query"), turn.alias("limit"))),
+        ("summarise", F.struct(text.alias("text"), F.length(text).alias("max_words"))),
+        ("translate", F.struct(F.lit("fr").alias("to"), text.alias("text"))),
+        ("search", F.struct(text.alias("query"), turn.cast("string").alias("limit"))),
+        ("summarise", F.struct(text.alias("note"), F.lit(5).alias("max_words"))),
+    ]
+    name, arguments = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for number, (tool, form) in enumerate(forms):
+        name = F.when(kind == number, F.lit(tool)).otherwise(name)
+        arguments = F.when(kind == number, F.to_json(form)).otherwise(arguments)
+    broken = F.length(text) % 17 == 0
+    calls = rows.where("role = 'assistant'").select(
+        "conv_id", call_id(turn).alias("call_id"), "turn", name.alias("name"),
+        F.when(broken, F.concat(F.lit("!"), arguments)).otherwise(arguments).alias("arguments"),
+        F.when(turn % 6 != 1, F.array(call_id(turn - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+    )
+    results = rows.where("role = 'user' and turn > 0").select(
+        "conv_id", call_id(turn - 1).alias("call_id"), "turn", text.alias("content")
+    )
+    fields = [("search", "query", "string", True), ("search", "limit", "integer", False), ("summarise", "text", "string", True),
+              ("summarise", "max_words", "number", False), ("translate", "text", "string", True), ("translate", "to", "string", True)]
+    schemas = conversations.sparkSession.createDataFrame(fields, "name string, field string, type string, required boolean")
+    return calls, results, schemas
+
+
+@query
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = tool_calls.link_tool_calls(*sample_tool_calls(table(spark, sf_dir, "conversations")))
+    return linked.withColumn("errors", F.array_join("errors", ","))
