@@ -23,8 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govlake.llm.common import BATCH_ROWS, map_batches, own_columns, utf8
-from govlake.session import scratch_path
+from govlake.llm.common import BATCH_ROWS, map_batches, own_columns, stored, utf8
 
 # Documents that may hold a line for it to count as rare, and words a deleted block has at least.
 RARE = 8
@@ -75,25 +74,32 @@ def _increasing(places: Sequence[int]) -> list[int]:
     return chain[::-1]
 
 
-def align(later: Sequence[int], earlier: Sequence[int]) -> list[tuple[int, int, int]]:
+def align(later: Sequence[int | None], earlier: Sequence[int], later_ids: Sequence[int] | None = None,
+          earlier_ids: Sequence[int] | None = None) -> list[tuple[int, int, int]]:
     """Common blocks (start in later, start in earlier, lines) of a patience diff.
 
-    Lines unique in both are anchors, their longest increasing chain is kept, and every
-    anchor grows over equal neighbours as long as the order is kept. Blank lines (hash 0)
-    are no anchors but may lie inside a block.
+    Lines unique in both are anchors (with ids, which number equal lines, the n-th occurrence
+    meets the n-th, or else the first), their longest increasing chain is kept, and every anchor grows over equal
+    neighbours as long as the order is kept. Blank lines (hash 0) are no anchors but may lie
+    inside a block; lines taken out before are None and end a block.
     """
-    def unique(lines: Sequence[int]) -> dict[int, int]:
+    def unique(lines: Sequence[int | None]) -> dict[int, int]:
         places: dict[int, int] = {}
         for place, line in enumerate(lines):
             places[line] = -1 if line in places else place
-        return {line: place for line, place in places.items() if place >= 0 and line != 0}
-
-    there = unique(earlier)
-    anchors = [(place, there[line]) for line, place in unique(later).items() if line in there]
+        return {line: place for line, place in places.items() if place >= 0 and line}
+
+    if later_ids is None or earlier_ids is None:
+        there = unique(earlier)
+        anchors = sorted((place, there[line]) for line, place in unique(later).items() if line in there)
+    else:
+        there = unique(earlier_ids)  # the first of equal lines has its hash as id
+        pairs = ((place, there.get(later_ids[place], there.get(line))) for place, line in enumerate(later) if line)
+        anchors = [(a, b) for a, b in pairs if b is not None]
     anchors = [anchors[i] for i in _increasing([b for _, b in anchors])]
     blocks: list[tuple[int, int, int]] = []
     free_a = free_b = 0
-    for number, (a, b) in enumerate(anchors):
+    for a, b in anchors:
         if a < free_a or b < free_b:
             continue
         start_a, start_b = a, b
@@ -102,26 +108,43 @@ def align(later: Sequence[int], earlier: Sequence[int]) -> list[tuple[int, int,
         free_a, free_b = a + 1, b + 1
         while free_a < len(later) and free_b < len(earlier) and later[free_a] == earlier[free_b]:
             free_a, free_b = free_a + 1, free_b + 1
-        if blocks and blocks[-1][0] + blocks[-1][2] == start_a and blocks[-1][1] + blocks[-1][2] == start_b:
-            start_a, start_b, _ = blocks.pop()
         blocks.append((start_a, start_b, free_a - start_a))
     return blocks
 
 
-def deleted_lines(later: Sequence[int], words: Sequence[int], earlier: Sequence[int], min_words: int) -> list[int]:
-    """Positions in the later document that aligned blocks of at least ``min_words`` words cover."""
-    out: list[int] = []
-    for start, _, length in align(later, earlier):
-        if sum(words[start:start + length]) >= min_words:
-            out += range(start, start + length)
-    return out
-
+def deleted_lines(later: Sequence[int], words: Sequence[int], ids: Sequence[int], earlier: Sequence[int],
+                  earlier_ids: Sequence[int], min_words: int) -> list[int]:
+    """Positions in the later document that aligned blocks of at least ``min_words`` words cover.
 
-def deleted_runs(matches: Sequence[tuple[int, int, int, int]], min_words: int) -> list[int]:
+    Blocks are taken out and the rest is aligned again, which finds passages that stand in
+    another order, until nothing is left; lines that occur several times come last, the
+    n-th occurrence against the n-th.
+    """
+    left: list[int | None] = list(later)
+    numbered = False
+    while True:
+        blocks = align(left, earlier, ids, earlier_ids) if numbered else align(left, earlier)
+        found = [b for b in blocks if sum(words[b[0]:b[0] + b[2]]) >= min_words]
+        for start, _, length in found:
+            left[start:start + length] = [None] * length
+        if not found and numbered:
+            return [place for place, line in enumerate(left) if line is None]
+        numbered = numbered or not found
+
+
+def deleted_runs(matches: Sequence[tuple[int, int, int, int, int]], min_words: int) -> list[int]:
     """Positions of runs that follow one earlier document line by line.
 
-    Matches are (position, words, earlier document, position there).
+    Matches are (position, words, earlier document, position there, further); a further one
+    ties an occurrence that the earlier document lacks to the first there, and counts only
+    where the line is not deleted already.
     """
+    gone = _runs([m[:4] for m in matches if not m[4]], min_words)
+    taken = set(gone)
+    return gone + _runs([m[:4] for m in matches if m[4] and m[0] not in taken], min_words)
+
+
+def _runs(matches: list[tuple[int, int, int, int]], min_words: int) -> list[int]:
     out: list[int] = []
     run: list[int] = []
     total, expected = 0, None
@@ -159,7 +182,7 @@ def row_key():
 def _aligned(pairs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [batch.column(name).to_pylist() for name in ("hashes", "words", "earlier")]
+            sides = [batch.column(name).to_pylist() for name in ("hashes", "words", "ids", "earlier", "earlier_ids")]
             found = [deleted_lines(*side, min_words) for side in zip(*sides)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.int32()))], names=["key", "deleted"])
 
@@ -170,7 +193,7 @@ def _followed(runs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                deleted_runs([(m["pos"], m["n"], m["owner"], m["there"]) for m in matches], min_words)
+                deleted_runs([(m["pos"], m["n"], m["owner"], m["there"], m["further"]) for m in matches], min_words)
                 for matches in batch.column("matches").to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.int32()))], names=["key", "deleted"])
@@ -180,29 +203,31 @@ def _followed(runs: DataFrame, min_words: int) -> DataFrame:
 
 def lines_to_delete(docs: DataFrame, rare: int = RARE, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(key, deleted): sorted positions of the lines to delete, for documents that have any."""
-    spark = docs.sparkSession
-    path = scratch_path(spark, "lines")
-    document_lines(docs).write.parquet(path)
-    stored = spark.read.parquet(path)
-    lines = stored.dropDuplicates(["key"])
-    spot = F.explode(F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("ids") - 1).alias("pos"), "ids", "words"), lambda x: x["words"] > 0))
-    places = stored.select("doc_id", "key", spot.alias("at")).select(
-        "doc_id", "key", F.col("at.ids").alias("id"), F.col("at.pos").alias("pos"), F.col("at.words").alias("n")
+    stored_lines = stored(document_lines(docs), "lines")
+    lines = stored_lines.dropDuplicates(["key"])
+    spots = F.filter(
+        F.arrays_zip(F.sequence(F.lit(0), F.size("ids") - 1).alias("pos"), "ids", "hashes", "words"), lambda x: x["words"] > 0
     )
-    # Repeated rows of a document are one holder: ranks and places are equal in both.
+    spot = lambda x, id_, further: F.struct(id_.alias("id"), x["pos"].alias("pos"), x["words"].alias("n"), F.lit(further).alias("further"))
+    again = F.filter(spots, lambda x: x["ids"] != x["hashes"])
+    every = F.concat(F.transform(spots, lambda x: spot(x, x["ids"], 0)), F.transform(again, lambda x: spot(x, x["hashes"], 1)))
+    places = stored_lines.select("doc_id", "key", F.explode(every).alias("at")).select("doc_id", "key", "at.*")
+    # Repeated rows of a document are one holder: their ids and places are equal.
+    own = F.col("further") == 0
     holders = places.groupBy("id").agg(
-        F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.max(F.struct("doc_id", "key")).alias("last"),
-        F.count(F.lit(1)).alias("df"),
+        F.min(F.when(own, F.struct("doc_id", "key", "pos"))).alias("first"),
+        F.max(F.when(own, F.struct("doc_id", "key"))).alias("last"),
+        F.count(F.when(own, 1)).alias("df"),
     ).where("first.key != last.key")
     held = places.join(holders.select("id", "first", "df"), "id").where("key != first.key")
-    held = held.select("key", "pos", "n", F.col("first.key").alias("owner"), F.col("first.pos").alias("there"), "df")
+    held = held.select("key", "pos", "n", "further", F.col("first.key").alias("owner"), F.col("first.pos").alias("there"), "df")
 
     pairs = held.where(F.col("df") <= rare).select("key", "owner").distinct()
-    pairs = pairs.join(lines.select("key", "hashes", "words"), "key").join(
-        lines.select(F.col("key").alias("owner"), F.col("hashes").alias("earlier")), "owner"
-    ).select("key", "hashes", "words", "earlier")
+    pairs = pairs.join(lines.select("key", "hashes", "words", "ids"), "key").join(
+        lines.select(F.col("key").alias("owner"), F.col("hashes").alias("earlier"), F.col("ids").alias("earlier_ids")), "owner"
+    ).select("key", "hashes", "words", "ids", "earlier", "earlier_ids")
     runs = held.where(F.col("df") > rare).distinct().groupBy("key").agg(
-        F.collect_list(F.struct("pos", "n", "owner", "there")).alias("matches")
+        F.collect_list(F.struct("pos", "n", "owner", "there", "further")).alias("matches")
     )
     deleted = _aligned(pairs, min_words).unionByName(_followed(runs, min_words)).where(F.size("deleted") > 0)
     return deleted.groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("deleted")))).alias("deleted"))
