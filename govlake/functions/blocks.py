@@ -23,5 +23,5 @@ def block_names(content: Column) -> Column:
 
 def block_of_meta_key(meta_key: Column, prefix: str) -> Column:
     """``<prefix>core_paragraph`` gives ``core/paragraph``."""
-    rest = F.substring(meta_key, len(prefix) + 1, 1 << 20)
+    rest = F.substring(meta_key, F.lit(len(prefix) + 1), F.length(meta_key))
     return F.regexp_replace(rest, r"(?s)^([^_]*)_(.*)$", "$1/$2")

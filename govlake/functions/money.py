@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from govlake.policy import DEFAULT_RATE_IN, DEFAULT_RATE_OUT
 
-# Largest amount the spend column of the data model can hold: DECIMAL(12,6).
-MAX_MICROS = 999_999_999_999
-
-
 def rate(value: Column | None, default: str) -> Column:
     """USD per 1,000 tokens as whole billionths."""
     chosen = F.lit(default).cast("decimal(12,9)")
@@ -25,15 +21,23 @@ def rate(value: Column | None, default: str) -> Column:
 
 def price_micros(tokens_in: Column, tokens_out: Column, rate_in: Column | None = None,
                  rate_out: Column | None = None) -> Column:
-    """Price of one request, rounded half up to a micro-USD."""
-    scaled = F.try_add(
-        F.try_multiply(tokens_in, rate(rate_in, DEFAULT_RATE_IN)),
-        F.try_multiply(tokens_out, rate(rate_out, DEFAULT_RATE_OUT)),
-    )
+    """Price of one request, rounded half away from zero to a micro-USD.
+
+    Amounts that overflow on the way are worked out again in decimals; one that a BIGINT of
+    micro-USD can't hold is an error, not another amount. Unknown token counts cost nothing.
+    """
+    zero = F.lit(0).cast("bigint")
+    sides = [
+        (F.coalesce(tokens, zero), rate(value, default))
+        for tokens, value, default in ((tokens_in, rate_in, DEFAULT_RATE_IN), (tokens_out, rate_out, DEFAULT_RATE_OUT))
+    ]
     # tokens * billionths per 1,000 tokens = 1e-12 USD; a micro-USD is a million of them
-    million = F.lit(10**6).cast("bigint")
-    exact = F.when(scaled <= MAX_MICROS * 10**6, F.call_function("div", scaled + 500_000, million))
-    return F.coalesce(exact, F.lit(MAX_MICROS)).cast("bigint")
+    scaled = F.try_add(*[F.try_multiply(tokens, billionths) for tokens, billionths in sides])
+    half = F.when(scaled < 0, F.lit(-500_000).cast("bigint")).otherwise(F.lit(500_000).cast("bigint"))
+    fast = F.call_function("div", F.try_add(scaled, half), F.lit(10**6).cast("bigint"))
+    wide = [tokens.cast("decimal(19,0)") * billionths.cast("decimal(18,0)") for tokens, billionths in sides]
+    exact = F.round((wide[0] + wide[1]) * F.lit("0.000001").cast("decimal(6,6)"), 0).cast("decimal(38,0)").cast("bigint")
+    return F.coalesce(fast, exact)
 
 
 def usd(micros: Column) -> Column:

@@ -98,7 +98,7 @@ def ability_of_route(route: Column) -> Column:
 
 def ability_of_capability(capability: Column) -> Column:
     """``wp_ability_ai_x_y`` gives ``ai/x-y``."""
-    name = F.substring(capability, len(CAPABILITY_PREFIX) + 1, 1 << 20)
+    name = F.substring(capability, F.lit(len(CAPABILITY_PREFIX) + 1), F.length(capability))
     return F.regexp_replace(F.replace(name, F.lit("_"), F.lit("-")), "^ai-", "ai/")
 
 

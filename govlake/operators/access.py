@@ -47,10 +47,11 @@ def enabled_features(features: DataFrame, disabled: Sequence[str]) -> DataFrame:
 
 def allowed_models(preferred: DataFrame, allowlist: DataFrame) -> DataFrame:
     """Preferred models the allowlist keeps; a capability without a list keeps all."""
-    listed = allowlist.select("capability").distinct()
-    kept = preferred.join(small_side(allowlist.select(*MODEL_KEYS)), list(MODEL_KEYS), "left_semi")
-    unlisted = preferred.join(small_side(listed), "capability", "left_anti")
-    return kept.select(preferred.columns).unionByName(unlisted.select(preferred.columns))
+    keys = allowlist.select(*MODEL_KEYS).distinct()
+    listed = keys.select("capability").distinct().withColumn("_listed", F.lit(True))
+    named = keys.withColumn("_named", F.lit(True))
+    marked = preferred.join(small_side(listed), "capability", "left").join(small_side(named), list(MODEL_KEYS), "left")
+    return marked.where("_listed is null or _named").select(preferred.columns)
 
 
 def allowlist_violations(calls: DataFrame, allowlist: DataFrame) -> DataFrame:

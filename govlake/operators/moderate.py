@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from govlake.functions import outputs
 from govlake.functions.text import ascii_fold
-from govlake.operators.sizing import is_small, spread
+from govlake.operators.sizing import MAX_BROADCAST_BYTES, spread
 
 _SPACE = "[ \\t\\n\\r\\f\\x0B]"
+ANCHOR_BYTES = 64  # what an anchored phrase takes besides its text
 _RUN = 3  # words (or characters) an anchor spans at most
 
 
@@ -50,15 +51,20 @@ def phrase_matches(docs: DataFrame, doc_id: str, text: str, phrases: DataFrame)
     anchored = worded_phrases.select("pos", "phrase", _anchor(F.col("phrase"), F.col("_words")).alias("_a")).select(
         "pos", "phrase", "_a.kind", "_a.anchor"
     )
-    kinds = {row["kind"] for row in anchored.select("kind").distinct().collect()}
+    # One look at the phrases tells which anchors to make and how large they really are.
+    seen = anchored.agg(
+        F.collect_set("kind").alias("kinds"), F.sum(F.octet_length("phrase") + ANCHOR_BYTES).alias("bytes")
+    ).first()
+    kinds = set(seen["kinds"])
     if not kinds:
-        return docs.sparkSession.createDataFrame([], f"{doc_id} BIGINT, first_pos BIGINT, phrases_hit BIGINT")
+        nothing = F.lit(None).cast("bigint")
+        return docs.where(F.lit(False)).select(doc_id, nothing.alias("first_pos"), nothing.alias("phrases_hit"))
 
     # The words are a column of their own: inside a lambda they would be split again per word.
     texts = spread(docs.select(doc_id, text), doc_id).select(doc_id, ascii_fold(F.col(text)).alias("_text"))
     worded = texts.withColumn("_words", _words(F.col("_text")))
     anchors = _anchors_in(F.col("_text"), F.col("_words"), kinds)
-    if is_small(anchored):
+    if seen["bytes"] <= MAX_BROADCAST_BYTES:
         pairs = worded.select(doc_id, "_text", F.explode(anchors).alias("anchor")).join(F.broadcast(anchored), "anchor")
     else:
         # Only hashes are shuffled; texts come back in for the pairs that met.

@@ -13,41 +13,65 @@ from govlake.policy import ABILITIES, POLICY_DEFAULTS
 ABILITY_PREFIX = "ai/"
 
 
-def ability_catalog(registered: DataFrame, by: Sequence[str] = ("site_id",)) -> DataFrame:
+def _sites(by: Sequence[str], *frames: DataFrame) -> DataFrame:
+    """Every site that any of the frames names."""
+    named = [frame.select(*by) for frame in frames]
+    every = named[0]
+    for frame in named[1:]:
+        every = every.unionByName(frame)
+    return every.distinct()
+
+
+def ability_catalog(registered: DataFrame, sites: DataFrame | None = None, by: Sequence[str] = ("site_id",)) -> DataFrame:
     """Registered abilities below ``ai/``; a site that has none gets the built-in list.
 
-    ``registered`` has the site columns, pos, ability_id and label.
+    ``registered`` has the site columns, pos, ability_id, label and, if known, description
+    and default_instruction (null when it can't be told without a call). Of several
+    registrations of an id the last counts, at the place of the first; a missing label is
+    the id. ``sites`` lists sites that may have registered nothing at all.
     """
     by = list(by)
-    columns = [*by, "pos", "ability_id", "label"]
-    own = registered.where(F.col("ability_id").startswith(ABILITY_PREFIX)).select(columns)
+    text = {c: F.col(c) if c in registered.columns else F.lit(None).cast("string") for c in ("description", "default_instruction")}
+    last = F.max_by(
+        F.struct(F.coalesce("label", "ability_id").alias("label"), *[value.alias(c) for c, value in text.items()]), F.col("pos")
+    )
+    own = registered.where(F.col("ability_id").startswith(ABILITY_PREFIX)).groupBy(*by, "ability_id").agg(
+        F.min("pos").alias("pos"), last.alias("_last")
+    ).select(
+        *by, "pos", "ability_id", "_last.label", F.coalesce("_last.description", F.lit("")).alias("description"),
+        F.coalesce("_last.default_instruction", F.lit("")).alias("default_instruction"),
+        F.col("_last.default_instruction").isNotNull().alias("default_available"),
+    )
     built_in = F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(a).alias("ability_id"), F.lit(label).alias("label"))
+        F.struct(F.lit(i).cast("bigint").alias("pos"), F.lit(a).alias("ability_id"), F.lit(label).alias("label"),
+                 F.lit("").alias("description"), F.lit("").alias("default_instruction"), F.lit(False).alias("default_available"))
         for i, (a, label) in enumerate(ABILITIES.items())
     ])
-    without = registered.groupBy(*by).agg(
-        F.count_if(F.col("ability_id").startswith(ABILITY_PREFIX)).alias("_own")
-    ).where("_own = 0")
+    every = _sites(by, registered, *([] if sites is None else [sites]))
+    without = every.join(own.select(*by).distinct(), by, "left_anti") if by else every.where(F.lit(False))
     return own.unionByName(without.select(*by, F.inline(built_in)))
 
 
-def policy_snapshot(policies: DataFrame, registered_types: DataFrame, by: Sequence[str] = ("site_id",)) -> DataFrame:
+def policy_snapshot(policies: DataFrame, registered_types: DataFrame, sites: DataFrame | None = None,
+                    by: Sequence[str] = ("site_id",)) -> DataFrame:
     """One row per site with every option, the default where nothing is stored.
 
     ``policies`` has the site columns, key, value (JSON text) and version;
     ``registered_types`` the site columns and post_type, which tell whether guidelines are
-    available on a site.
+    available on a site. ``sites`` lists sites that may have stored nothing; those of the
+    other two are always in.
     """
+    by = list(by)
     values = [
-        F.coalesce(
-            F.expr(f"max_by(value, version) FILTER (WHERE key = '{key}')"), F.lit(default)
-        ).alias(key)
-        for key, default in POLICY_DEFAULTS.items()
+        F.expr(f"max_by(value, version) FILTER (WHERE key = '{key}')").alias(key) for key in POLICY_DEFAULTS
     ]
     detected = registered_types.where(F.col("post_type").isin(*POST_TYPES)).select(
         *by, F.lit(True).alias("guidelines_detected")
     ).distinct()
-    return policies.groupBy(*by).agg(*values).join(detected, list(by), "left").na.fill({"guidelines_detected": False})
+    every = _sites(by, policies, registered_types, *([] if sites is None else [sites]))
+    return every.join(policies.groupBy(*by).agg(*values), by, "left").join(detected, by, "left").na.fill(
+        {**POLICY_DEFAULTS, "guidelines_detected": False}
+    )
 
 
 def policy_merge(current: DataFrame, update: DataFrame, by: Sequence[str] = ("site_id",)) -> DataFrame:

@@ -28,7 +28,7 @@ def tick_of(ts: Column, tick_seconds: int = 1) -> Column:
     return time_bucket(ts, tick_seconds)
 
 
-def _key_columns(user_name: str, ability_name: str) -> list[Column]:
+def key_columns(user_name: str = KEYS[0], ability_name: str = KEYS[1]) -> list[Column]:
     """The key of a request; callers that are not logged in share user 0."""
     return [
         F.coalesce("user_id", F.lit(0).cast("bigint")).alias(user_name),
@@ -38,7 +38,7 @@ def _key_columns(user_name: str, ability_name: str) -> list[Column]:
 
 def tick_counts(requests: DataFrame, tick_seconds: int = 1) -> DataFrame:
     """Requests per key and tick: all the counters need to know."""
-    return requests.groupBy(*_key_columns(*KEYS), tick_of(F.col("ts"), tick_seconds).alias("tick")).agg(
+    return requests.groupBy(*key_columns(*KEYS), tick_of(F.col("ts"), tick_seconds).alias("tick")).agg(
         F.count(F.lit(1)).alias("requests")
     )
 
@@ -80,7 +80,7 @@ def rate_limit_replay(requests: DataFrame, windows: Sequence[RateWindow] = DEFAU
     folded = fold_ticks(tick_counts(requests, tick_seconds), windows)
     folded = folded.select(*[F.col(k).alias(f"_{k}") for k in KEYS], F.col("tick").alias("_tick"), "passed")
     in_tick = Window.partitionBy(*hidden, "_tick").orderBy("ts", "request_id")
-    ranked = requests.select("*", *_key_columns(*hidden), tick_of(F.col("ts"), tick_seconds).alias("_tick")).withColumn(
+    ranked = requests.select("*", *key_columns(*hidden), tick_of(F.col("ts"), tick_seconds).alias("_tick")).withColumn(
         "_rank", F.row_number().over(in_tick)
     )
     return ranked.join(folded, [*hidden, "_tick"]).select(
@@ -90,7 +90,7 @@ def rate_limit_replay(requests: DataFrame, windows: Sequence[RateWindow] = DEFAU
 
 def window_counts(requests: DataFrame, duration: str, limit: int) -> DataFrame:
     """Requests per key and calendar window, and whether they exceed a limit."""
-    return requests.groupBy(*KEYS, F.window("ts", duration).alias("_window")).agg(
+    return requests.groupBy(*key_columns(*KEYS), F.window("ts", duration).alias("_window")).agg(
         F.count(F.lit(1)).alias("requests")
     ).select(
         *KEYS, F.col("_window.start").alias("window_start"), "requests", (F.col("requests") > limit).alias("exceeded")

@@ -30,4 +30,4 @@ def usage_swept(usage: DataFrame, today: Column, months: int = 24) -> DataFrame:
     """One row: the cutoff month and how many rollup rows the sweep removes."""
     cutoff = cutoff_period(today, months)
     removed = F.count_if(F.col("period") < cutoff) if months > 0 else F.lit(0).cast("bigint")
-    return usage.agg(F.max(cutoff).alias("cutoff"), removed.alias("removed"))
+    return usage.agg(removed.alias("removed")).select(cutoff.alias("cutoff"), "removed")

@@ -13,9 +13,9 @@ from govlake.operators import (
 )
 from govlake.plans import jobs
 from govlake.policy import Policy
-from govlake.session import apply_runtime_conf
-from govlake.sources import sample
-from govlake.sources.tables import sample_stream, sample_table
+from govlake.session import apply_runtime_conf, scratch_path
+from govlake.sources import sample, sinks
+from govlake.sources.tables import sample_stream, sample_table, stream_table
 from govlake.streaming import ratelimit as stream_limits
 from govlake.streaming import scrub
 from govlake.streaming import usage as stream_usage_rules
@@ -140,6 +140,46 @@ def usage_swept(spark, sf_dir):
     return retention.usage_swept(_aged_usage(spark, sf_dir), F.lit("2025-03-31").cast("date"), 20)
 
 
+@query
+def usage_store_upsert(spark, sf_dir):
+    """The rollup from a stored table: half of it written, the rest upserted (once again, too)."""
+    costed, path = _costed(spark, sf_dir), scratch_path(spark, "store")
+    part = F.col("request_id") % 4
+    sinks.write_usage(usage.usage_rollup(costed.where(part < 2)), path)
+    for batch, again in ((0, 1), (1, 2)):
+        for _ in range(again):
+            sinks.upsert_usage(spark, path, usage.usage_rollup(costed.where(part == 2 + batch)), batch)
+        if batch == 0:
+            sinks.fold_usage(spark, path)
+            sinks.upsert_usage(spark, path, usage.usage_rollup(costed), 0)
+    return sinks.read_usage(spark, path).select(
+        "user_id", "period", "provider", "model", "requests", "tokens_in", "tokens_out", _usd(),
+        _micros("updated_at", "updated_us"))
+
+
+@query
+def usage_store_swept(spark, sf_dir):
+    path = scratch_path(spark, "store")
+    sinks.write_usage(_aged_usage(spark, sf_dir), path)
+    jobs.sweep_usage(spark, path, F.lit("2025-03-31").cast("date"), Policy(usage_retention_months=20))
+    return sinks.read_usage(spark, path).select("user_id", "period", "provider", "model", "requests", _usd())
+
+
+@query
+def requests_deduped(spark, sf_dir):
+    """A log with redelivered events, each of them once."""
+    events = _events(spark, sf_dir)
+    return requests.dedupe(events.unionByName(events.where("request_id % 3 = 0"))).select(
+        "request_id", "user_id", "ability_id", "status", _micros("ts", "ts_us"))
+
+
+@query
+def unknown_abilities(spark, sf_dir):
+    named = sample.calls(spark, sf_dir).select(
+        F.when(F.col("request_id") % 9 == 0, F.concat("ability_id", F.lit("s"))).otherwise(F.col("ability_id")).alias("ability_id"))
+    return access.unknown_abilities(named.groupBy("ability_id").agg(F.count(F.lit(1)).alias("calls")), sample.abilities(spark))
+
+
 @query
 def log_retained(spark, sf_dir):
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
@@ -297,7 +337,7 @@ def prompt_history(spark, sf_dir):
 
 @query
 def prompt_catalog(spark, sf_dir):
-    overrides = prompts.prompt_current(sample.prompt_edits(spark, sf_dir).where("ability_id <> 'ai/summarization'"))
+    overrides = prompts.prompt_current(sample.prompt_edits(spark, sf_dir))
     return prompts.prompt_catalog(sample.abilities(spark), overrides).select(
         "pos", "ability_id", "label", F.col("override.mode").alias("mode"), F.col("override.template").alias("template"),
         F.col("override.updated_by").alias("updated_by"))
@@ -320,13 +360,13 @@ def prompt_asof(spark, sf_dir):
 
 @query
 def ability_catalog(spark, sf_dir):
-    return policies.ability_catalog(sample.registered_abilities(spark, sf_dir))
+    return policies.ability_catalog(sample.registered_abilities(spark, sf_dir), sample.sites(spark, sf_dir))
 
 
 @query
 def policy_snapshot(spark, sf_dir):
     types = sample.guideline_posts(spark, sf_dir).select("site_id", "post_type")
-    return policies.policy_snapshot(sample.policies(spark, sf_dir).where("version % 7 = 0"), types)
+    return policies.policy_snapshot(sample.policies(spark, sf_dir), types, sample.sites(spark, sf_dir))
 
 
 @query
@@ -338,7 +378,7 @@ def policy_merge(spark, sf_dir):
 
     update = latest(log.where("version % 3 = 1")).withColumn(
         "value", F.when(F.col("site_id") % 4 != 0, F.col("value")))
-    return policies.policy_merge(latest(log.where("version % 3 = 0")), update)
+    return policies.policy_merge(latest(log.where("version % 3 <> 1")), update)
 
 
 # -- guidelines ----------------------------------------------------------------------------
@@ -425,10 +465,22 @@ def stream_usage(spark, sf_dir):
         "user_id", "period", "provider", "model", "requests", "tokens_in", "tokens_out", _usd())
 
 
+@query
+def stream_usage_late(spark, sf_dir):
+    """The same, from files that each span the whole time and repeat some of the others' events."""
+    exchange = sample.exchange(spark, sf_dir)
+    part, folder = F.pmod(F.xxhash64("request_id"), F.lit(3)), scratch_path(spark, "mixed")
+    for number in range(3):
+        exchange.where((part == number) | ((F.col("request_id") % 10 == number) & (part < number))).write.mode("append").parquet(folder)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in exchange.schema.fields)
+    return stream_usage_rules.stream_usage(stream_table(spark, folder, schema, maxFilesPerTrigger="8")).select(
+        "user_id", "period", "provider", "model", "requests", "tokens_in", "tokens_out", _usd())
+
+
 @query
 def stream_spend_alerts(spark, sf_dir):
     costed = usage.request_cost(requests.shape_requests(_exchange_stream(spark, sf_dir)))
-    return stream_usage_rules.spend_alerts(costed, sample.CAP_USD).select("user_id", "period", "slot", _usd("spent_micros"))
+    return stream_usage_rules.spend_alerts(costed, sample.CAP_USD, _exempt(spark, sf_dir)).select("user_id", "period", "slot", _usd("spent_micros"))
 
 
 @query

@@ -56,7 +56,7 @@ _CTES = {
         list_concat([(['administrator','editor','author','contributor','subscriber'])[user_id % 5 + 1]],
           CASE WHEN user_id % 10 = 3 THEN ['editor'] ELSE [] END) AS roles FROM events""",
     "calls": f"""SELECT event_id AS request_id, ts, user_id, user_id % 40 AS site_id, {_ABILITY}[aix + 1] AS ability_id,
-        event_id % 1500 AS post_id, '{{ability}} $1 ' || event_type AS tone FROM ev""",
+        CAST(floor(event_id / 8.0) AS BIGINT) AS post_id, '{{ability}} $1 ' || event_type AS tone FROM ev""",
     "running": """SELECT *, sum(micros) OVER (PARTITION BY user_id, period ORDER BY ts, request_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spent_before
         FROM (SELECT cost.*, manage_options FROM cost JOIN users USING (user_id))""",
@@ -87,7 +87,7 @@ _CTES = {
         FROM (SELECT *, regexp_replace(e, '\b\d{3}-\d{2}-\d{4}\b', '[REDACTED:ssn]', 'g') AS s
         FROM (SELECT *, regexp_replace(text, '[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}', '[REDACTED:email]', 'gi') AS e
         FROM documents))""",
-    "posts": """SELECT doc_id AS post_id, doc_id % 40 AS site_id, substr(text, 1, 40) AS post_title,
+    "posts": """SELECT doc_id AS post_id, doc_id % 40 AS site_id, 'On ' || md5(text) AS post_title,
         CASE doc_id % 2 WHEN 0 THEN 'post' ELSE 'page' END AS post_type,
         CASE doc_id % 3 WHEN 0 THEN 'draft' ELSE 'publish' END AS post_status,
         CASE doc_id % 4 WHEN 1 THEN ['core/paragraph'] WHEN 2 THEN ['core/group', 'core/paragraph', 'core/image']
@@ -99,7 +99,7 @@ _CTES = {
         doc_id % 3 <> 2 AS tagged, text, lang, source FROM documents""",
     "gcur": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY post_date DESC, post_id DESC) AS n
         FROM gposts WHERE post_type = 'wp_guideline' AND post_status <> 'trash' AND tagged) WHERE n = 1""",
-    "gcat": f"""SELECT site_id, post_id, trim(substr(text, 1, 60), {_TRIM}) AS site, 'Tone ' || lang || '.' AS copy,
+    "gcat": f"""SELECT site_id, post_id, 'Read as ' || md5(text) AS site, 'Tone ' || lang || '.' AS copy,
         CASE WHEN post_id % 4 = 0 THEN '' ELSE lang END AS images, source AS additional FROM gcur""",
     "grules": """SELECT site_id, post_id, 'core/paragraph' AS name, post_id * 10 + 5 AS pos, 'Short sentences.' AS rule FROM gcur
         UNION ALL SELECT site_id, post_id, 'core/image', post_id * 10 + 6, 'Alt text ' || lang FROM gcur WHERE post_id % 2 = 0
@@ -155,8 +155,12 @@ _CTES = {
     "options": """SELECT user_id AS site_id, (['preamble','rate_limits','monthly_user_cap','log_retention_days','model_allowlist',
         'disabled_features','banned_phrases','redact_pii','use_guidelines','vault_enabled'])[event_id % 10 + 1] AS key,
         CAST(k AS VARCHAR) AS value, event_id AS version FROM ev""",
-    "registered": """SELECT user_id AS site_id, CASE WHEN user_id % 3 = 0 THEN 'core/' ELSE 'ai/' END || event_type AS ability_id,
-        upper(event_type[1]) || event_type[2:] AS label, min(event_id) AS pos FROM events GROUP BY ALL""",
+    "registered": """SELECT site_id, ability_id, min(event_id) AS pos, arg_max({'label': label, 'd': description, 'i': instruction}, event_id) AS x
+        FROM (SELECT user_id AS site_id, 'ai/' || event_type AS ability_id, event_id,
+          CASE WHEN event_id % 4 <> 0 THEN upper(event_type[1]) || event_type[2:] || ' ' || event_id END AS label,
+          CASE WHEN event_id % 5 <> 0 THEN 'Version ' || event_id END AS description,
+          CASE WHEN event_id % 3 <> 0 THEN 'Do ' || event_id END AS instruction FROM events WHERE user_id % 3 <> 0) GROUP BY ALL""",
+    "sites": """SELECT DISTINCT user_id AS site_id FROM events UNION SELECT DISTINCT doc_id % 40 FROM documents""",
     "kinds": """SELECT *, CASE ability_id WHEN 'ai/image-generation' THEN 'image' WHEN 'ai/alt-text-generation' THEN 'vision'
         ELSE 'text' END AS capability FROM rq""",
     "allowlist": """SELECT * FROM (VALUES ('text', 'openai', 'm-0'), ('text', 'anthropic', 'm-1'), ('text', 'google', 'm-2'),
@@ -183,9 +187,9 @@ def _sql(*names: str, body: str) -> str:
 
 ORACLE_SQL = {
     "shape_requests": _sql(body="SELECT * REPLACE (epoch_us(ts) AS ts) FROM rq"),
-    "route_ability": _sql(body="""SELECT ability, count(*) AS requests FROM (SELECT CASE request_id % 6
-          WHEN 0 THEN 'ai' WHEN 2 THEN '/other/wp-abilities/v1/' || ability_id WHEN 3 THEN NULL ELSE ability_id END AS ability
-          FROM rq) WHERE ability IS NOT NULL GROUP BY 1""").replace("SELECT ability, count", "SELECT ability AS ability_id, count"),
+    "route_ability": _sql(body="""SELECT a AS ability_id, count(*) AS requests FROM (SELECT CASE request_id % 6
+          WHEN 0 THEN 'ai' WHEN 2 THEN '/other/wp-abilities/v1/' || ability_id WHEN 3 THEN NULL ELSE ability_id END AS a
+          FROM rq) WHERE a IS NOT NULL GROUP BY 1"""),
     "request_cost": _sql(body="SELECT request_id, user_id, period, provider, model, status, micros / 1e6 AS usd_spent FROM cost"),
     "usage_rollup": _sql(body="""SELECT user_id, period, provider, model, requests, tokens_in, tokens_out,
         micros / 1e6 AS usd_spent, epoch_us(updated_at) AS updated_us FROM usage"""),
@@ -198,6 +202,9 @@ ORACLE_SQL = {
     "usage_retained": _sql(body="""SELECT user_id, period, provider, model, requests, micros / 1e6 AS usd_spent
         FROM aged WHERE period >= '2023-07'"""),
     "usage_swept": _sql(body="SELECT '2023-07' AS cutoff, count(*) AS removed FROM aged WHERE period < '2023-07'"),
+    "requests_deduped": _sql(body="SELECT request_id, user_id, ability_id, status, epoch_us(ts) AS ts_us FROM rq"),
+    "unknown_abilities": _sql(body="""SELECT ability_id || 's' AS ability_id, count(*) AS calls FROM calls
+        WHERE request_id % 9 = 0 GROUP BY 1"""),
     "log_retained": _sql(body="""SELECT request_id, epoch_us(ts) AS ts_us FROM rq
         WHERE ts >= TIMESTAMP '2024-01-18 00:00:00'"""),
     "over_budget_users": _sql(body="""SELECT user_id, period, CAST(sum(micros) AS DOUBLE) / 1e6 AS usd_spent FROM usage
@@ -226,9 +233,7 @@ ORACLE_SQL = {
           ELSE 'wp_ability_' || replace(replace(c.ability_id, '/', '_'), '-', '_') END AS capability
           FROM calls c JOIN users u USING (user_id))"""),
     "enabled_features": _sql(body="""SELECT ability_id AS feature_id, count(*) AS calls FROM calls
-        WHERE ability_id <> 'ai/image-generation' AND ability_id <> 'ai/summarization' GROUP BY 1""").replace(
-            "AND ability_id <> 'ai/summarization'",
-            "AND regexp_replace(lower(ability_id), '[^a-z0-9_-]', '', 'g') <> 'aisummarization'"),
+        WHERE regexp_replace(lower(ability_id), '[^a-z0-9_-]', '', 'g') NOT IN ('aiimage-generation', 'aisummarization') GROUP BY 1"""),
     "allowed_models": _sql(body="""SELECT user_id, k.capability, k.provider, k.model, min(request_id) AS pos FROM kinds k
         WHERE k.capability = 'image' OR EXISTS (SELECT 1 FROM allowlist a WHERE a.capability = k.capability
           AND a.provider = k.provider AND a.model = k.model) GROUP BY ALL"""),
@@ -254,7 +259,7 @@ ORACLE_SQL = {
     "prompt_history": _sql(body="""SELECT ability_id, CAST(rank AS INTEGER) AS rank, edit_id, action, mode, template, updated_by FROM
         (SELECT *, row_number() OVER (PARTITION BY ability_id ORDER BY edit_id DESC) AS rank FROM audit) WHERE rank <= 50"""),
     "prompt_catalog": _sql(body="""SELECT pos, a.ability_id, label, mode, template, updated_by FROM abilities a
-        LEFT JOIN live l ON l.ability_id = a.ability_id AND l.ability_id <> 'ai/summarization'"""),
+        LEFT JOIN live l ON l.ability_id = a.ability_id"""),
     "prompt_lookup": _sql(body="""SELECT request_id, CASE WHEN request_id % 9 = 0 THEN c.ability_id || 's' ELSE c.ability_id END AS ability_id,
         request_id % 9 = 0 AS unknown_ability, CASE WHEN request_id % 9 <> 0 THEN label END AS label,
         CASE WHEN request_id % 9 <> 0 THEN mode END AS mode, CASE WHEN request_id % 9 <> 0 THEN template END AS template
@@ -262,17 +267,19 @@ ORACLE_SQL = {
     "prompt_asof": _sql(body="""SELECT request_id, c.ability_id, CASE WHEN e.action = 'put' THEN e.edit_id END AS edit_id,
         CASE WHEN e.action = 'put' THEN e.mode END AS mode, CASE WHEN e.action = 'put' THEN e.template END AS template
         FROM calls c ASOF LEFT JOIN edits e ON e.ability_id = c.ability_id AND c.ts >= e.updated_at"""),
-    "ability_catalog": _sql(body="""SELECT site_id, pos, ability_id, label FROM registered WHERE site_id % 3 <> 0
-        UNION ALL SELECT s.site_id, a.pos, a.ability_id, a.label FROM (SELECT DISTINCT site_id FROM registered WHERE site_id % 3 = 0) s,
-        abilities a"""),
-    "policy_snapshot": _sql(body="""SELECT site_id, """ + ", ".join(
+    "ability_catalog": _sql(body="""SELECT site_id, pos, ability_id, coalesce(x.label, ability_id) AS label,
+        coalesce(x.d, '') AS description, coalesce(x.i, '') AS default_instruction, x.i IS NOT NULL AS default_available FROM registered
+        UNION ALL SELECT s.site_id, a.pos, a.ability_id, a.label, '', '', false
+        FROM (SELECT site_id FROM sites WHERE site_id NOT IN (SELECT site_id FROM registered)) s, abilities a"""),
+    "policy_snapshot": _sql(body="""SELECT s.site_id, """ + ", ".join(
         f"coalesce(max(CASE WHEN key = '{key}' THEN value END), '{default}') AS {key}" for key, default in {
             "preamble": '""', "rate_limits": '{"minute":20,"day":500}', "monthly_user_cap": "0", "log_retention_days": "90",
             "model_allowlist": "[]", "disabled_features": "[]", "banned_phrases": "[]", "redact_pii": "true",
-            "use_guidelines": "true"}.items()) + """, site_id < 40 AND count(*) > 0 AS guidelines_detected FROM (SELECT *, row_number() OVER (PARTITION BY site_id, key
-        ORDER BY version DESC) AS n FROM options WHERE version % 7 = 0) WHERE n = 1 GROUP BY site_id"""),
+            "use_guidelines": "true"}.items()) + """, s.site_id < 40 AS guidelines_detected FROM sites s LEFT JOIN
+        (SELECT *, row_number() OVER (PARTITION BY site_id, key ORDER BY version DESC) AS n FROM options) o
+        ON o.site_id = s.site_id AND o.n = 1 GROUP BY s.site_id"""),
     "policy_merge": _sql(body="""SELECT site_id, key, coalesce(u.value, c.value) AS value FROM
-        (SELECT site_id, key, arg_max(value, version) AS value FROM options WHERE version % 3 = 0 GROUP BY 1, 2) c FULL JOIN
+        (SELECT site_id, key, arg_max(value, version) AS value FROM options WHERE version % 3 <> 1 GROUP BY 1, 2) c FULL JOIN
         (SELECT site_id, key, arg_max(value, version) AS value FROM options WHERE version % 3 = 1 AND key <> 'vault_enabled'
          AND site_id % 4 <> 0 GROUP BY 1, 2) u USING (site_id, key)"""),
     "guideline_current": _sql(body="SELECT site_id, post_id, post_type, post_status, epoch_us(post_date) AS post_date FROM gcur"),
@@ -307,14 +314,14 @@ ORACLE_SQL = {
         FROM rq WHERE status = 'success' GROUP BY ALL"""),
     "stream_spend_alerts": _sql(body="""SELECT user_id, period, slot, CAST(t AS DOUBLE) / 1e6 AS usd_spent FROM
         (SELECT *, sum(s) OVER (PARTITION BY user_id, period ORDER BY slot) AS t FROM slots)
-        WHERE t >= 100000 AND t - s < 100000
-          AND slot + 60000000 <= (SELECT max(epoch_us(ts)) FROM rq WHERE status = 'success' AND tokens_input > 0) - 60000000"""),
+        WHERE t >= 100000 AND t - s < 100000 AND user_id % 5 <> 0"""),
     "stream_rate_limits": _sql("numbered", body="""SELECT user_id, ability_id, t * 1000000 AS tick, count(*) AS requests,
         count(*) FILTER (WHERE rate_decision = 'allowed') AS allowed, count(*) FILTER (WHERE rate_decision = 'hour') AS over_hour,
-        count(*) FILTER (WHERE rate_decision = 'day') AS over_day FROM walk
-        WHERE (t + 1) * 1000000 <= (SELECT max(epoch_us(ts)) FROM rq) - 60000000 GROUP BY 1, 2, 3"""),
+        count(*) FILTER (WHERE rate_decision = 'day') AS over_day FROM walk GROUP BY 1, 2, 3"""),
     "stream_moderate": _sql(body="""SELECT conv_id, turn, violation, CASE WHEN violation IS NOT NULL THEN 451 END AS status
         FROM moderated"""),
     "stream_redact": _sql(body="SELECT doc_id, p AS text FROM redacted"),
 }
-ORACLE_SQL["usage_upsert"] = ORACLE_SQL["usage_rollup"]
+ORACLE_SQL["usage_upsert"] = ORACLE_SQL["usage_store_upsert"] = ORACLE_SQL["usage_rollup"]
+ORACLE_SQL["usage_store_swept"] = ORACLE_SQL["usage_retained"]
+ORACLE_SQL["stream_usage_late"] = ORACLE_SQL["stream_usage"]

@@ -82,6 +82,7 @@ class Policy:
     log_retention_days: int = 0
     usage_retention_months: int = 24
     disabled_features: Sequence[str] = ()
+    model_allowlist: Sequence[tuple[str, str, str]] = ()
     banned_phrases: Sequence[str] = ()
     redact_pii: bool = True
     use_guidelines: bool = True
@@ -98,14 +99,24 @@ class Policy:
         return enabled if self.guidelines_override is None else bool(self.guidelines_override(enabled))
 
 
+def _allowlisted(stored) -> list[tuple[str, str, str]]:
+    """(capability, provider, model) rows of a stored allowlist: lists of pairs by capability."""
+    if not isinstance(stored, Mapping):
+        return []
+    pairs = [(kind, pair) for kind, listed in stored.items() for pair in listed if isinstance(pair, Sequence) and len(pair) >= 2]
+    return [(str(kind), str(pair[0]), str(pair[1])) for kind, pair in pairs]
+
+
 def load_policy(options: DataFrame, **overrides) -> Policy:
     """Policy of one site from its stored options (key, value as JSON text).
 
+    With a column ``version`` the latest value of a key counts, as in a policy snapshot.
     Options that are not stored keep their default; ``overrides`` replace fields that only
     code can set. At most one row per known option reaches the driver.
     """
     known = (*POLICY_DEFAULTS, "usage_retention_months")
-    rows = options.where(F.col("key").isin(*known)).groupBy("key").agg(F.max("value").alias("value")).collect()
+    value = F.max_by("value", "version") if "version" in options.columns else F.max("value")
+    rows = options.where(F.col("key").isin(*known)).groupBy("key").agg(value.alias("value")).collect()
     stored = {r["key"]: json.loads(r["value"]) for r in rows if r["value"] is not None}
     fields = {
         "preamble": ("preamble", str), "log_retention_days": ("log_retention_days", int),
@@ -114,6 +125,8 @@ def load_policy(options: DataFrame, **overrides) -> Policy:
         "use_guidelines": ("use_guidelines", bool), "monthly_user_cap": ("monthly_user_cap_usd", str),
     }
     chosen = {name: cast(stored[key]) for key, (name, cast) in fields.items() if key in stored}
+    if "model_allowlist" in stored:
+        chosen["model_allowlist"] = tuple(_allowlisted(stored["model_allowlist"]))
     if "rate_limits" in stored:
         limits = stored["rate_limits"]
         chosen["rate_windows"] = tuple(

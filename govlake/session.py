@@ -40,19 +40,41 @@ def build_session(app_name: str = "govlake", master: str | None = None, **conf:
     return apply_runtime_conf(builder.getOrCreate())
 
 
+# Folders made for sessions on one machine that name none, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: the one the session names.
 
-    Only when the session names none (tests on one machine) is a local folder used.
+    Only a session on one machine (tests) may name none; it gets a folder of its own. On a
+    cluster each executor would write to its own disk, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    local = tempfile.mkdtemp(prefix="govlake-checkpoint-")
-    spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir() or local
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="govlake-checkpoint-")
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/govlake-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's scratch folder in the shared folder."""
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what the application's finished queries left in the shared folder.
+
+    Frames that jobs returned read from there, so call it when their results are written.
+    """
+    from govlake.sources import files
+
+    files.remove(spark, _scratch_root(spark))

@@ -96,7 +96,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         ability.alias("ability_id"),
         F.concat(F.lit(" \tDefault for "), ability, F.lit(".\n ")).alias("instruction"),
         F.create_map(
-            F.lit("post_id"), (F.col("event_id") % 1500).cast("string"),
+            F.lit("post_id"), F.floor(F.col("event_id") / 8).cast("string"),
             F.lit("Tone"), F.concat(F.lit("{ability} $1 "), F.col("event_type")),
         ).alias("payload"),
     )
@@ -129,7 +129,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 4
     return sample_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("post_id"), (F.col("doc_id") % SITES).alias("site_id"),
-        F.substring("text", 1, 40).alias("post_title"),
+        F.concat(F.lit("On "), F.md5("text")).alias("post_title"),
         pick(F.col("doc_id") % 2, ("post", "page")).alias("post_type"),
         pick(F.col("doc_id") % 3, ("draft", "publish", "publish")).alias("post_status"),
         F.when(kind == 0, text).when(kind == 1, paragraph).when(kind == 2, group).otherwise(card).alias("post_content"),
@@ -155,7 +155,7 @@ def guideline_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribute rows of the guideline posts: duplicates, empty and padded values included."""
     doc = F.col("doc_id")
     rows = [
-        (META_PREFIX + "site", F.substring("text", 1, 60)),
+        (META_PREFIX + "site", F.concat(F.lit("\n Read as "), F.md5("text"), F.lit(" "))),
         (META_PREFIX + "copy", F.concat(F.lit("Tone "), F.col("lang"), F.lit("."))),
         (META_PREFIX + "copy", F.lit("ignored")),
         (META_PREFIX + "images", F.when(doc % 4 == 0, F.lit("")).otherwise(F.col("lang"))),
@@ -208,12 +208,23 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered_abilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Abilities registered per site; every third site registers none below ``ai/``."""
+    """Abilities registered per site, most of them again and again, some without a label or a
+    default; every third site registers none below ``ai/``."""
     group = F.when(F.col("user_id") % 3 == 0, "core/").otherwise("ai/")
+    number = F.col("event_id").cast("string")
     return sample_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("site_id"), F.concat(group, F.col("event_type")).alias("ability_id"),
-        F.initcap("event_type").alias("label"), "event_id",
-    ).groupBy("site_id", "ability_id", "label").agg(F.min("event_id").alias("pos"))
+        F.when(F.col("event_id") % 4 != 0, F.concat(F.initcap("event_type"), F.lit(" "), number)).alias("label"),
+        F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("Version "), number)).alias("description"),
+        F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("Do "), number)).alias("default_instruction"),
+        F.col("event_id").alias("pos"),
+    )
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every site: those of users and those of posts."""
+    owners = sample_table(spark, sf_dir, "events").select(F.col("user_id").alias("site_id"))
+    return owners.union(sample_table(spark, sf_dir, "documents").select(F.col("doc_id") % SITES)).distinct()
 
 
 def role_map(spark: SparkSession) -> DataFrame:

@@ -1,17 +1,24 @@
 """Keyed state over events that must be seen in time order, on streams that mix the order.
 
-A watermarked aggregation sums events per key and time slot and releases a slot only when
-it is complete, so every slot of a later micro-batch is later than all slots before. Each
-micro-batch is then folded as a whole: what the keys remember is read from the previous
-micro-batch's table, joined by the new slots, and written again with the results. Keys cost
-rows, not calls, and events later than the delay are left to the batch replay.
+Every micro-batch is summed to one row per key and time slot. A slot stays open until the
+stream's clock (its latest event less a delay) has passed it; the slots that are due are
+then folded as a whole onto what their keys remember, so keys cost rows, not calls. A slot
+that comes after its time is kept as a late row, and the keys that have late rows are folded
+again from all their slots when the results are read. ``finish`` folds what is still open
+when the source has ended, so that every event is in the result.
+
+Tables lie below ``<root>/fold/batch_id=<n>/kind=<...>``. Batch n replaces itself when it is
+replayed and reads only batches before n. It writes the memory of the keys it touched;
+every ``MERGE_EVERY`` batches the memory of all keys is written once and the counters that
+have run out are forgotten.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,50 +26,130 @@ from govlake.session import scratch_path
 from govlake.sources import files
 from govlake.streaming.run import to_batches
 
-# (new slots, what the keys remember, largest slot of the batch) -> rows of both kinds
-Fold = Callable[[DataFrame, DataFrame, int], DataFrame]
+MEMORY, RESULT, OPEN, DUE, LATE, CLOCK = "memory", "result", "open", "due", "late", "clock"
+MERGE_EVERY = 16
+ENDED = 1 << 62
 
-MEMORY, RESULT = "memory", "result"
 
+@dataclass(frozen=True)
+class SlotFold:
+    """What to fold: keys and summed value of a slot, the columns of memory and results.
 
-def fold_batches(slots: DataFrame, fold: Fold, schema: str, root: str, **trigger) -> StreamingQuery:
-    """Start the fold. ``slots`` has a column ``slot`` in micros; ``fold`` returns rows of
-    ``schema`` with a column ``kind`` that says memory or result.
-
-    Batch n is written below its number, replacing itself when it is replayed, and reads
-    only batches before n.
+    ``fold`` gets the due slots and what their keys remember and returns rows of ``schema``
+    with a column ``kind``: results, and the new memory of every key it was given.
+    ``alive`` tells which memory can still matter after a slot.
     """
-    table = f"{root}/fold"
+
+    keys: tuple[str, ...]
+    value: str
+    slot_micros: int
+    schema: str
+    fold: Callable[[DataFrame, DataFrame], DataFrame]
+    alive: Callable[[int], Column]
+
+    def summed(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys, "slot").agg(F.sum(self.value).alias(self.value))
+
+
+def _read(spark: SparkSession, schema: str, root: str, kind: str, batches: list[int] | None = None) -> DataFrame:
+    """Rows of a kind with their batch_id, of the given batches or of all."""
+    full = f"{schema}, closed BIGINT, seen BIGINT, base BIGINT, kind STRING, batch_id BIGINT"
+    if not files.exists(spark, f"{root}/fold"):
+        return spark.createDataFrame([], full).drop("kind")
+    rows = spark.read.schema(full).parquet(f"{root}/fold").where(F.col("kind") == kind)
+    return (rows if batches is None else rows.where(F.col("batch_id").isin(batches))).drop("kind")
+
+
+def _latest_memory(spark: SparkSession, plan: SlotFold, root: str, batches: list[int], of: DataFrame | None) -> DataFrame:
+    rows = _read(spark, plan.schema, root, MEMORY, batches)
+    if of is not None:
+        rows = rows.join(of.select(*plan.keys).distinct(), list(plan.keys), "left_semi")
+    newest = Window.partitionBy(*plan.keys).orderBy(F.desc("batch_id"))
+    columns = spark.createDataFrame([], plan.schema).columns
+    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select(columns)
+
+
+def _advance(spark: SparkSession, plan: SlotFold, root: str, n: int, slots: DataFrame | None, seen: int | None, delay: int) -> None:
+    """Write batch n from the slots that came in; without slots, end the stream."""
+    earlier = [i for i in files.numbered(spark, f"{root}/fold", "batch_id=") if i < n]
+    before = earlier[-1] if earlier else None
+    clock = _read(spark, plan.schema, root, CLOCK, [before]).first() if earlier else None
+    was_closed, was_seen, base = (clock["closed"], clock["seen"], clock["base"]) if clock else (-ENDED, -ENDED, 0)
+    still_open = _read(spark, plan.schema, root, OPEN, [before] if earlier else []).select(*plan.keys, "slot", plan.value)
+    if slots is None:
+        fresh, late, now_seen, closed = still_open, still_open.where(F.lit(False)), was_seen, ENDED
+    else:
+        now_seen = max(was_seen, seen if seen is not None else was_seen)
+        closed = max(was_closed, (now_seen - delay) // plan.slot_micros * plan.slot_micros)
+        late = slots.where(F.col("slot") < was_closed)
+        fresh = plan.summed(still_open.unionByName(slots.where(F.col("slot") >= was_closed)))
+    due = fresh.where(F.col("slot") < closed)
+    merge = n - base >= MERGE_EVERY
+    known = [i for i in earlier if i >= base]
+    folded = plan.fold(due, _latest_memory(spark, plan, root, known, None if merge else due))
+    if merge:
+        folded = folded.where((F.col("kind") != MEMORY) | plan.alive(min(closed, now_seen)))
+    clock_row = spark.range(1).select(
+        F.lit(closed).cast("bigint").alias("closed"), F.lit(now_seen).cast("bigint").alias("seen"),
+        F.lit(n if merge else base).cast("bigint").alias("base"), F.lit(CLOCK).alias("kind"),
+    )
+    out = folded
+    for rows, kind in ((due, DUE), (fresh.where(F.col("slot") >= closed), OPEN), (late, LATE)):
+        out = out.unionByName(rows.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+    out = out.unionByName(clock_row, allowMissingColumns=True)
+    out.write.mode("overwrite").partitionBy("kind").parquet(f"{root}/fold/batch_id={n}")
+    # What no later batch reads: open slots before the last batch, memory before the last merge.
+    for i in earlier[:-1]:
+        files.remove(spark, f"{root}/fold/batch_id={i}/kind={OPEN}")
+    for i in [i for i in earlier if i < base]:
+        files.remove(spark, f"{root}/fold/batch_id={i}/kind={MEMORY}")
+
+
+def fold_batches(events: DataFrame, slots_of: Callable[[DataFrame], DataFrame], plan: SlotFold, root: str,
+                 delay_micros: int, **trigger) -> StreamingQuery:
+    """Start the fold. ``slots_of`` turns events (with ts) into rows of keys, slot and value."""
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
-        latest = batch.agg(F.max("slot")).first()[0]
-        if latest is not None:
-            earlier = [i for i in files.numbered(spark, table, "batch_id=") if i < n]
-            memory = _memory(spark, f"{table}/batch_id={earlier[-1]}" if earlier else None, schema)
-            fold(batch, memory, latest).write.mode("overwrite").partitionBy("kind").parquet(f"{table}/batch_id={n}")
-            for done in earlier[:-1]:
-                files.remove(spark, f"{table}/batch_id={done}/kind={MEMORY}")
+        seen = batch.agg(F.max(F.unix_micros("ts"))).first()[0]
+        _advance(batch.sparkSession, plan, root, n, plan.summed(slots_of(batch)), seen, delay_micros)
         batch.unpersist()
 
-    return to_batches(slots, write, f"{root}/checkpoint", **trigger)
+    return to_batches(events, write, f"{root}/checkpoint", **trigger)
+
+
+def finish(spark: SparkSession, plan: SlotFold, root: str) -> None:
+    """Fold the slots still open; for a source that has ended."""
+    done = files.numbered(spark, f"{root}/fold", "batch_id=")
+    if done:
+        _advance(spark, plan, root, done[-1] + 1, None, None, 0)
 
 
-def _memory(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
-    if path is None or not files.exists(spark, f"{path}/kind={MEMORY}"):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/kind={MEMORY}")
+def late_rows(spark: SparkSession, plan: SlotFold, root: str) -> DataFrame:
+    """Slots that came after their time."""
+    return _read(spark, plan.schema, root, LATE).select(*plan.keys, "slot", plan.value)
 
 
-def results(spark: SparkSession, schema: str, root: str) -> DataFrame:
-    """The results written so far."""
-    full = f"{schema}, kind STRING, batch_id BIGINT"
-    return spark.read.schema(full).parquet(f"{root}/fold").where(F.col("kind") == RESULT).drop("kind", "batch_id")
+def results(spark: SparkSession, plan: SlotFold, root: str) -> DataFrame:
+    """The results so far; keys with late rows are folded again from all their slots."""
+    columns = spark.createDataFrame([], plan.schema).columns
+    written = _read(spark, plan.schema, root, RESULT).select(columns)
+    late = late_rows(spark, plan, root)
+    if late.isEmpty():
+        return written
+    keys = list(plan.keys)
+    touched = late.select(*keys).distinct()
+    due = _read(spark, plan.schema, root, DUE).select(*keys, "slot", plan.value)
+    slots = plan.summed(due.unionByName(late).join(touched, keys, "left_semi"))
+    again = plan.fold(slots, spark.createDataFrame([], plan.schema)).where(F.col("kind") == RESULT).select(columns)
+    return written.join(touched, keys, "left_anti").unionByName(again)
 
 
-def drain_fold(slots: DataFrame, fold: Fold, schema: str, label: str) -> DataFrame:
-    """Fold what the source holds now and return the results."""
-    root = scratch_path(slots.sparkSession, label)
-    fold_batches(slots, fold, schema, root).awaitTermination()
-    return results(slots.sparkSession, schema, root)
+def drain_fold(events: DataFrame, slots_of: Callable[[DataFrame], DataFrame], plan: SlotFold, label: str,
+               delay_micros: int) -> DataFrame:
+    """Fold all the source holds, the last slots included, and return the results."""
+    spark = events.sparkSession
+    root = scratch_path(spark, label)
+    fold_batches(events, slots_of, plan, root, delay_micros).awaitTermination()
+    finish(spark, plan, root)
+    return results(spark, plan, root)

@@ -8,45 +8,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlake.functions.limiter import MICROS, fold_resumed
-from govlake.operators.ratelimit import KEYS, enabled
+from govlake.operators.ratelimit import KEYS, enabled, key_columns, tick_of
 from govlake.policy import DEFAULT_RATE_WINDOWS, RateWindow
-from govlake.streaming.ordered import Fold, drain_fold
+from govlake.streaming.ordered import SlotFold, drain_fold
 
 SCHEMA = ("user_id BIGINT, ability_id STRING, slot BIGINT, requests BIGINT, passed ARRAY<BIGINT>, "
           "counts ARRAY<BIGINT>, expires ARRAY<BIGINT>")
 
 
-def ticks(requests: DataFrame, delay: str = "1 minute", tick_seconds: int = 1) -> DataFrame:
-    """Requests per key and clock tick, released once the tick is complete."""
-    return (
-        requests.withWatermark("ts", delay)
-        .groupBy(*KEYS, F.window("ts", f"{tick_seconds} seconds").alias("_tick"))
-        .agg(F.count(F.lit(1)).alias("requests"))
-        .select(*KEYS, F.unix_micros("_tick.start").alias("slot"), "requests")
-    )
+def ticks(requests: DataFrame, tick_seconds: int = 1) -> DataFrame:
+    """One row per request: its key, as in the batch replay, and its clock tick."""
+    return requests.select(*key_columns(), tick_of(F.col("ts"), tick_seconds).alias("slot"), F.lit(1).cast("bigint").alias("requests"))
 
 
-def counters_fold(windows: Sequence[RateWindow]) -> Fold:
-    """Continue the counters of every key; counters that have run out are forgotten."""
+def counters(windows: Sequence[RateWindow], tick_seconds: int = 1) -> SlotFold:
+    """Continue the counters of every key; counters that have run out can be forgotten."""
     pairs = [(w.ttl_seconds * MICROS, w.limit) for w in enabled(windows)]
     if not pairs:
         raise ValueError("no rate window is enabled")
 
-    def fold(slots: DataFrame, memory: DataFrame, latest: int) -> DataFrame:
+    def fold(slots: DataFrame, memory: DataFrame) -> DataFrame:
         together = memory.unionByName(slots, allowMissingColumns=True)
         # Memory has no slot and sorts before the slots of its key.
         ordered = together.repartition(*KEYS).sortWithinPartitions(*KEYS, F.col("slot").asc_nulls_first())
-        folded = ordered.mapInArrow(lambda batches: fold_resumed(batches, KEYS, pairs), f"{SCHEMA}, kind STRING")
-        return folded.where((F.col("kind") == "result") | (F.array_max("expires") > latest))
+        return ordered.mapInArrow(lambda batches: fold_resumed(batches, KEYS, pairs), f"{SCHEMA}, kind STRING")
 
-    return fold
+    return SlotFold(KEYS, "requests", tick_seconds * MICROS, SCHEMA, fold, lambda latest: F.array_max("expires") > latest)
 
 
 def stream_rate_limits(requests: DataFrame, windows: Sequence[RateWindow] = DEFAULT_RATE_WINDOWS,
-                       delay: str = "1 minute", tick_seconds: int = 1) -> DataFrame:
+                       delay_seconds: int = 60, tick_seconds: int = 1) -> DataFrame:
     """Drain a request stream: per key and clock tick, requests, how many were allowed and
-    how many each window rejected."""
-    folded = drain_fold(ticks(requests, delay, tick_seconds), counters_fold(windows), SCHEMA, "limits")
+    how many each window rejected. Every request counts, late ones included."""
+    plan = counters(windows, tick_seconds)
+    folded = drain_fold(requests, lambda batch: ticks(batch, tick_seconds), plan, "limits", delay_seconds * MICROS)
     before = F.concat(F.array("requests"), F.slice("passed", F.lit(1), F.size("passed") - 1))
     return folded.select(
         *KEYS, F.col("slot").alias("tick"), "requests", F.element_at("passed", -1).alias("allowed"),

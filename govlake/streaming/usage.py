@@ -5,59 +5,79 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from govlake.functions.limiter import MICROS
 from govlake.functions.money import micros_of
 from govlake.functions.requests import period
+from govlake.operators.ordered import time_bucket
 from govlake.operators.requests import shape_requests
 from govlake.operators.usage import request_cost, usage_rollup
 from govlake.session import scratch_path
+from govlake.sources import files
 from govlake.sources.sinks import read_usage_deltas, write_usage_delta
-from govlake.streaming.ordered import MEMORY, RESULT, Fold, drain_fold
+from govlake.streaming.ordered import MEMORY, RESULT, SlotFold, drain_fold
 from govlake.streaming.run import to_batches
 
 
-def once_each(exchange: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Costed events of an exchange stream, redelivered ones dropped within the delay."""
-    unique = exchange.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
-    return request_cost(shape_requests(unique))
+def unseen(batch: DataFrame, n: int, path: str) -> DataFrame:
+    """The events of micro-batch n that no batch before it had, and their ids put on record.
 
+    Ids are recorded by day of the event, and only the days of the batch are looked up, so
+    an event that is delivered again counts once however late it comes. Batch n replaces
+    its own record when it is replayed. Events without an id all count.
+    """
+    spark = batch.sparkSession
+    dated = batch.withColumn("_day", F.to_date("ts"))
+    days = [r[0] for r in dated.select("_day").distinct().collect()]
+    once = dated.where("request_id is not null").dropDuplicates(["request_id"])
+    if files.exists(spark, path):
+        known = spark.read.schema("request_id BIGINT, _day DATE, batch_id BIGINT").parquet(path).where(
+            F.col("_day").isin(days) & (F.col("batch_id") < n)
+        )
+        once = once.join(known.select("request_id"), "request_id", "left_anti")
+    record = f"{path}/batch_id={n}"
+    once.select("request_id", "_day").write.mode("overwrite").partitionBy("_day").parquet(record)
+    return once.select(batch.columns).unionByName(batch.where("request_id is null"))
 
-def stream_usage(exchange: DataFrame, delay: str = "1 hour", path: str | None = None,
-                 checkpoint: str | None = None) -> DataFrame:
+
+def stream_usage(exchange: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Drain an exchange stream into rollup deltas and return them added up.
 
     Each micro-batch is rolled up on its own and stored under its batch id, so a batch
-    that is replayed after a failure overwrites itself and counts once.
+    that is replayed after a failure overwrites itself and counts once. Sums don't mind the
+    order, so late events count like any other.
     """
     spark = exchange.sparkSession
     root = scratch_path(spark, "usage")
     path, checkpoint = path or f"{root}/deltas", checkpoint or f"{root}/checkpoint"
-    query = to_batches(
-        once_each(exchange, delay), lambda batch, n: write_usage_delta(usage_rollup(batch), path, n), checkpoint
-    )
-    query.awaitTermination()
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
+        write_usage_delta(usage_rollup(request_cost(shape_requests(unseen(batch, n, f"{path}_ids")))), path, n)
+        batch.unpersist()
+
+    to_batches(exchange, write, checkpoint).awaitTermination()
     return read_usage_deltas(spark, path)
 
 
 SPENT_SCHEMA = "user_id BIGINT, period STRING, slot BIGINT, usd_micros BIGINT, spent_micros BIGINT"
 
 
-def spend_slots(costed: DataFrame, delay: str = "1 minute", slot_seconds: int = 60) -> DataFrame:
-    """Spend per user and time slot, released once the slot is complete."""
-    return (
-        costed.where("usd_micros > 0").withWatermark("ts", delay)
-        .groupBy("user_id", F.window("ts", f"{slot_seconds} seconds").alias("_slot"))
-        .agg(F.sum("usd_micros").alias("usd_micros"))
-        .select("user_id", period(F.col("_slot.start")).alias("period"), F.unix_micros("_slot.start").alias("slot"), "usd_micros")
+def spend_slots(costed: DataFrame, slot_seconds: int = 60) -> DataFrame:
+    """Spend per event with its user, month and time slot."""
+    slot = time_bucket(F.col("ts"), slot_seconds)
+    return costed.where("usd_micros > 0").select(
+        "user_id", period(F.timestamp_micros(slot)).alias("period"), slot.alias("slot"), "usd_micros"
     )
 
 
-def crossing_fold(cap_usd: str | float) -> Fold:
+def crossings(cap_usd: str | float, slot_seconds: int = 60) -> SlotFold:
     """Continue the month's spend per user; a crossing is a result, a past month forgotten."""
     cap = micros_of(cap_usd)
-    in_order = Window.partitionBy("user_id", "period").orderBy(F.col("slot").asc_nulls_first())
+    keys = ("user_id", "period")
+    in_order = Window.partitionBy(*keys).orderBy(F.col("slot").asc_nulls_first())
 
-    def fold(slots: DataFrame, memory: DataFrame, latest: int) -> DataFrame:
-        carried = memory.select("user_id", "period", "slot", F.col("spent_micros").alias("usd_micros"))
+    def fold(slots: DataFrame, memory: DataFrame) -> DataFrame:
+        carried = memory.select(*keys, "slot", F.col("spent_micros").alias("usd_micros"))
         summed = carried.unionByName(slots).withColumn("spent_micros", F.sum("usd_micros").over(in_order)).withColumn(
             "_last", F.lead(F.lit(1)).over(in_order).isNull()
         )
@@ -65,23 +85,29 @@ def crossing_fold(cap_usd: str | float) -> Fold:
             F.lit(cap > 0) & F.col("slot").isNotNull()
             & (F.col("spent_micros") >= cap) & (F.col("spent_micros") - F.col("usd_micros") < cap)
         )
-        month = period(F.timestamp_micros(F.lit(latest)))
         return summed.select(
             "*", F.explode(F.array_compact(F.array(
-                F.when(crossing, F.lit(RESULT)), F.when(F.col("_last") & (F.col("period") >= month), F.lit(MEMORY))
+                F.when(crossing, F.lit(RESULT)), F.when(F.col("_last"), F.lit(MEMORY))
             ))).alias("kind"),
         ).select(
-            "user_id", "period", F.when(F.col("kind") == RESULT, F.col("slot")).alias("slot"), "usd_micros",
-            "spent_micros", "kind",
+            *keys, F.when(F.col("kind") == RESULT, F.col("slot")).alias("slot"), "usd_micros", "spent_micros", "kind",
         )
 
-    return fold
+    def alive(latest: int):
+        return F.col("period") >= period(F.timestamp_micros(F.lit(latest)))
+
+    return SlotFold(keys, "usd_micros", slot_seconds * MICROS, SPENT_SCHEMA, fold, alive)
 
 
-def spend_alerts(costed: DataFrame, cap_usd: str | float, delay: str = "1 minute", slot_seconds: int = 60) -> DataFrame:
+def spend_alerts(costed: DataFrame, cap_usd: str | float, exempt_users: DataFrame | None = None,
+                 delay_seconds: int = 60, slot_seconds: int = 60) -> DataFrame:
     """Drain costed events: one row per user and month, the slot in which spend reached the cap.
 
-    Redelivered events must be gone (``once_each`` in the query that writes the events).
+    ``exempt_users`` (user_id) raise no alert. Redelivered events must be gone (``unseen``
+    in the query that writes the events).
     """
-    slots = spend_slots(costed, delay, slot_seconds)
-    return drain_fold(slots, crossing_fold(cap_usd), SPENT_SCHEMA, "alerts").drop("usd_micros")
+    plan = crossings(cap_usd, slot_seconds)
+    alerts = drain_fold(costed, lambda batch: spend_slots(batch, slot_seconds), plan, "alerts", delay_seconds * MICROS)
+    if exempt_users is not None:
+        alerts = alerts.join(exempt_users.select("user_id"), "user_id", "left_anti")
+    return alerts.select("user_id", "period", "slot", "spent_micros")

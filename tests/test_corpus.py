@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from govlake.functions import outputs
 from govlake.operators import moderate, redact, sizing
 from govlake.plans import jobs
-from govlake.sources.tables import local_rows
+from govlake.sources.tables import local_rows, sample_table
 
 
 def fold(text):
@@ -46,20 +46,32 @@ def test_phrase_matches_equal_brute_force(spark):
 
 def test_phrase_matches_without_broadcast(spark, monkeypatch):
     docs, phrases = corpus(3)
-    monkeypatch.setattr(moderate, "is_small", lambda df: False)
+    monkeypatch.setattr(moderate, "MAX_BROADCAST_BYTES", 0)
     assert matches(spark, docs, phrases) == brute_force(docs, phrases)
 
 
 def test_no_phrases(spark):
     assert matches(spark, [(1, "x")], [(0, "")]) == {}
-
-
-def test_size_check(spark):
-    small = local_rows(spark, [(1, "x")], "a INT, b STRING")
-    assert sizing.is_small(small)
-    derived = spark.range(10_000_000).groupBy((F.col("id") % 3).alias("k")).count()
-    assert not sizing.planned_bytes(derived) <= 1000 and sizing.is_small(derived, 1000)
-    assert not sizing.is_small(spark.range(100_000), 1000)
+    named = local_rows(spark, [("a", "x")], "doc_id STRING, text STRING")
+    scrubbed = jobs.corpus_scrub(named, "doc_id", "text", local_rows(spark, [], "pos INT, phrase STRING"))
+    assert [tuple(r) for r in scrubbed.collect()] == [("a", "x", None, None)]
+
+
+def test_size_check(spark, sf_dir):
+    """Only tables of driver values get a hint; nothing runs to find out."""
+    def hinted(frame):
+        return "ResolvedHint" in sizing.small_side(frame)._jdf.queryExecution().analyzed().toString()
+
+    small = local_rows(spark, [(i, "x y") for i in range(50)], "a INT, b STRING")
+    texts = sample_table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("words"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sizing", "size check")
+    assert hinted(small) and hinted(small.where("a > 3"))
+    assert not hinted(texts) and not hinted(texts.select("doc_id", F.explode("words")))
+    assert not hinted(spark.range(10).groupBy("id").count())
+    assert not hinted(local_rows(spark, [(1, "x")], "a INT, b STRING").join(texts, F.lit(True)))
+    assert list(tracker.getJobIdsForGroup("sizing")) == []
+    spark.sparkContext.setJobGroup("other", "")
 
 
 def test_moderation_response(spark):

@@ -96,8 +96,14 @@ def test_price_rounds_per_request(spark):
     assert one(spark, price) == 3  # 2.5 micro-USD
     default = money.price_micros(F.lit(1000).cast("bigint"), F.lit(1000).cast("bigint"))
     assert one(spark, default) == 18_000
-    huge = money.price_micros(F.lit(2**62).cast("bigint"), F.lit(0).cast("bigint"))
-    assert one(spark, huge) == money.MAX_MICROS
+    huge = money.price_micros(F.lit(2**50).cast("bigint"), F.lit(2**50).cast("bigint"))
+    assert one(spark, huge) == 2**50 * 18
+    assert one(spark, money.price_micros(F.lit(-5).cast("bigint"), F.lit(0).cast("bigint"))) == -15
+    half = money.price_micros(F.lit(-1).cast("bigint"), F.lit(0).cast("bigint"), F.lit("0.0025").cast("decimal(12,9)"))
+    assert one(spark, half) == -3
+    assert one(spark, money.price_micros(F.lit(None).cast("bigint"), F.lit(1000).cast("bigint"))) == 15_000
+    with pytest.raises(Exception, match="OVERFLOW|OUT_OF_RANGE|overflow"):
+        one(spark, money.price_micros(F.lit(2**62).cast("bigint"), F.lit(2**62).cast("bigint")))
     assert str(one(spark, money.usd(F.lit(1_234_567).cast("bigint")))) == "1.234567"
 
 

@@ -8,7 +8,7 @@ from govlake.functions import limiter
 from govlake.functions.money import micros_of
 from govlake.operators import access, budget, ratelimit, requests, retention, usage
 from govlake.plans import jobs
-from govlake.policy import ABILITIES, DEFAULT_ROLE_MAP, RateWindow
+from govlake.policy import ABILITIES, DEFAULT_ROLE_MAP, Policy, RateWindow
 from govlake.sources.tables import local_rows
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -232,3 +232,49 @@ def test_retention(spark):
     assert tuple(retention.usage_swept(frame, day, 24).first()) == ("2022-01", 1)
     assert retention.usage_swept(frame, day, 0).first()["removed"] == 0
     assert retention.retention_days(0, 30) == 30 and retention.retention_days(7, 30) == 7
+
+
+def replayed(spark, policy, answers=(), **options):
+    """What stops each of a few requests under a policy."""
+    model = '{"model":"m-%d"}'
+    exchange = local_rows(
+        spark,
+        [(i, at(i * 100), at(i * 100 + 1), 1, f"/wp-abilities/v1/{ability}/run", "https://api.openai.com/v1/x", model % (i % 2), "{}", None)
+         for i, ability in enumerate(["ai/summarization", "ai/title-generation", "ai/summarization", "ai/image-generation"])],
+        "request_id BIGINT, ts TIMESTAMP, end_ts TIMESTAMP, user_id BIGINT, route STRING, uri STRING, request_body STRING, "
+        "response_body STRING, error_message STRING")
+    users = local_rows(spark, [(1, ["editor"], False)], "user_id BIGINT, roles ARRAY<STRING>, manage_options BOOLEAN")
+    roles = local_rows(spark, [], "ability_id STRING, roles ARRAY<STRING>")
+    texts = local_rows(spark, list(answers), "request_id BIGINT, text STRING")
+    rows = jobs.governance_replay(exchange, users, roles, texts, policy, **options).collect()
+    return {r["request_id"]: (r["stopped_by"], r["output_blocked"]) for r in rows}
+
+
+def test_replay_gates_of_the_policy(spark):
+    """A feature that is off uses no slot; the model list of a kind without entries allows all."""
+    once = [RateWindow("day", 86_400, 1)]
+    assert replayed(spark, Policy(rate_windows=once))[2] == ("rate:day", False)
+    off = replayed(spark, Policy(rate_windows=once, disabled_features=["AI/Summarization"]))
+    assert off == {0: ("feature", False), 1: (None, False), 2: ("feature", False), 3: (None, False)}
+    kind = F.when(F.col("ability_id") == "ai/image-generation", "image").otherwise("text")
+    listed = Policy(model_allowlist=[("text", "openai", "m-0"), ("vision", "openai", "m-9")])
+    assert replayed(spark, listed, model_kind=kind) == {0: (None, False), 1: ("model", False), 2: (None, False), 3: (None, False)}
+
+
+def test_replay_with_a_long_phrase_list(spark):
+    texts = [(0, "never SAY this"), (1, "fine"), (3, "say")]
+    phrases = ["say this", *[f"unused phrase {i}" for i in range(jobs.MANY_PHRASES)]]
+    short, long = (replayed(spark, Policy(banned_phrases=p), texts) for p in (phrases[:1], phrases))
+    assert short == long == {0: (None, True), 1: (None, False), 2: (None, False), 3: (None, False)}
+
+
+def test_log_retention_job(spark):
+    rows = log(spark, [(1, 1, "a", 0), (2, 1, "a", 86_400 * 5)])
+    now = F.lit(at(86_400 * 8)).cast("timestamp")
+    assert [r["request_id"] for r in jobs.retain_log(rows, now, Policy(log_retention_days=4)).collect()] == [2]
+    assert jobs.retain_log(rows, now).count() == 2
+
+
+def test_window_counts_share_the_counter_of_nobody(spark):
+    rows = log(spark, [(1, None, "a", 0), (2, 0, "a", 1)])
+    assert [(r["user_id"], r["requests"], r["exceeded"]) for r in ratelimit.window_counts(rows, "1 minute", 1).collect()] == [(0, 2, True)]

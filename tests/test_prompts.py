@@ -117,11 +117,11 @@ def dim(spark, meta, revisions=(), enabled=True, types=("wp_guideline",)):
 
 def test_guideline_dim(spark):
     row = dim(spark, [
-        ("_guideline_copy", " Tone: warm.\n"), ("_guideline_copy", "second"), ("_guideline_images", " "),
+        ("_guideline_copy", " Voice: dry.\n"), ("_guideline_copy", "second"), ("_guideline_images", " "),
         ("_guideline_block_core_image", "Alt."), ("_guideline_block_core_paragraph", " "), ("_guideline_block_acme_a_b", "C"),
         ("_guideline_block_acme/a_b", "D"), ("other", "x"),
     ], [(70, 7, 5), (71, 7, 5), (69, 7, 4)]).first()
-    assert (row["site"], row["copy"], row["images"], row["additional"]) == ("", "Tone: warm.", "", "")
+    assert (row["site"], row["copy"], row["images"], row["additional"]) == ("", "Voice: dry.", "", "")
     assert [tuple(r) for r in row["rules"]] == [("core/image", "Alt."), ("acme/a_b", "C"), ("acme/a/b", "D")]
     assert (row["guideline_post_id"], row["guideline_revision_id"]) == (7, 71)
     assert dim(spark, []).first()["guideline_revision_id"] == 0
@@ -133,7 +133,7 @@ CALL = "request_id BIGINT, site_id BIGINT, user_id BIGINT, ability_id STRING, in
 
 
 def render(spark, ability="ai/editorial-notes", payload=None, overrides=(), guide=None, **options):
-    calls = spark.createDataFrame([(1, 1, 3, ability, "default instruction", payload or {})], CALL).withColumn(
+    calls = spark.createDataFrame([(1, 1, 3, ability, "plain request", payload or {})], CALL).withColumn(
         "ts", F.lit("2024-05-06 07:08:09").cast("timestamp"))
     users = local_rows(spark, [(3, "ann", ["editor", "author"])], "user_id BIGINT, user_login STRING, roles ARRAY<STRING>")
     posts = guidelines.post_blocks(local_rows(
@@ -146,19 +146,19 @@ def render(spark, ability="ai/editorial-notes", payload=None, overrides=(), guid
 
 def test_prompt_without_guidelines_is_unchanged(spark):
     row = render(spark)
-    assert (row["prompt"], row["guidelines_applied"]) == ("default instruction", False)
+    assert (row["prompt"], row["guidelines_applied"]) == ("plain request", False)
 
 
 def test_guidelines_reach_editorial_prompts_only(spark):
-    guide = dim(spark, [("_guideline_site", "A bakery."), ("_guideline_copy", "Tone: warm.")], [(70, 7, 5)])
+    guide = dim(spark, [("_guideline_site", "Maps and tides."), ("_guideline_copy", "Voice: dry.")], [(70, 7, 5)])
     row = render(spark, guide=guide)
-    assert row["prompt"].startswith("default instruction\n\n## Site guidelines\n\nThe site has defined")
-    assert row["prompt"].endswith("### Site context\nA bakery.\n\n### Copy & editorial style\nTone: warm.")
+    assert row["prompt"].startswith("plain request\n\n## Site guidelines\n\nThe site has defined")
+    assert row["prompt"].endswith("### Site context\nMaps and tides.\n\n### Copy & editorial style\nVoice: dry.")
     assert (row["guideline_post_id"], row["guideline_revision_id"]) == (7, 70)
-    assert render(spark, "ai/title-generation", guide=guide)["prompt"] == "default instruction"
-    assert "Tone" in render(spark, "ai/title-generation", guide=guide, abilities=["ai/title-generation"])["prompt"]
+    assert render(spark, "ai/title-generation", guide=guide)["prompt"] == "plain request"
+    assert "Voice" in render(spark, "ai/title-generation", guide=guide, abilities=["ai/title-generation"])["prompt"]
     changed = render(spark, guide=guide, guideline_text=lambda t: F.concat(t, F.lit("!")))
-    assert changed["prompt"].endswith("Tone: warm.!")
+    assert changed["prompt"].endswith("Voice: dry.!")
 
 
 def test_block_rules_follow_the_post(spark):
@@ -170,20 +170,20 @@ def test_block_rules_follow_the_post(spark):
 
 
 def test_variable_in_template_suppresses_the_append(spark):
-    guide = dim(spark, [("_guideline_copy", "Tone: warm.")])
+    guide = dim(spark, [("_guideline_copy", "Voice: dry.")])
     row = render(spark, overrides=[("ai/editorial-notes", "prepend", "House: {guidelines_copy}")], guide=guide)
-    assert row["prompt"] == "House: Tone: warm.\n\ndefault instruction"
+    assert row["prompt"] == "House: Voice: dry.\n\nplain request"
     assert row["guidelines_applied"] is True
     # the test for the variable minds the case, filling it in does not
     twice = render(spark, overrides=[("ai/editorial-notes", "prepend", "{GUIDELINES_COPY}")], guide=guide)
-    assert twice["prompt"].count("Tone: warm.") == 2
+    assert twice["prompt"].count("Voice: dry.") == 2
     other = render(spark, "ai/summarization", overrides=[("ai/summarization", "replace", "{guidelines}")], guide=guide)
     assert other["prompt"].startswith("## Site guidelines") and other["guidelines_applied"]
 
 
 def test_guideline_variables_never_leak(spark):
     row = render(spark, overrides=[("ai/editorial-notes", "prepend", "{guidelines_copy}|{guidelines}|{guidelines_blocks}")])
-    assert row["prompt"] == "||\n\ndefault instruction"
+    assert row["prompt"] == "||\n\nplain request"
     assert row["guidelines_applied"] is False
 
 
@@ -217,11 +217,37 @@ def test_relevant_rules_table(spark):
 def test_ability_catalog(spark):
     registered = local_rows(spark, [(1, 5, "ai/own", "Own"), (1, 6, "core/x", "X"), (2, 7, "core/y", "Y")],
                             "site_id BIGINT, pos INT, ability_id STRING, label STRING")
-    rows = policies.ability_catalog(registered).collect()
+    sites = local_rows(spark, [(2,), (9,)], "site_id BIGINT")
+    rows = policies.ability_catalog(registered, sites).collect()
     assert [r["ability_id"] for r in rows if r["site_id"] == 1] == ["ai/own"]
+    assert [r["ability_id"] for r in sorted(rows, key=lambda r: r["pos"]) if r["site_id"] == 9] == list(ABILITIES)
     assert [r["ability_id"] for r in sorted(rows, key=lambda r: r["pos"]) if r["site_id"] == 2] == list(ABILITIES)
 
 
+def test_last_registration_counts(spark):
+    registered = local_rows(
+        spark, [(1, 5, "ai/a", "First", "d", "Do."), (1, 6, "ai/b", "B", None, None), (1, 7, "ai/a", None, None, "")],
+        "site_id BIGINT, pos BIGINT, ability_id STRING, label STRING, description STRING, default_instruction STRING")
+    rows = [tuple(r) for r in policies.ability_catalog(registered).orderBy("pos").collect()]
+    assert rows == [(1, 5, "ai/a", "ai/a", "", "", True), (1, 6, "ai/b", "B", "", "", False)]
+
+
+def test_sites_without_stored_options(spark):
+    stored = local_rows(spark, [(1, "preamble", '"x"', 1)], "site_id BIGINT, key STRING, value STRING, version BIGINT")
+    types = local_rows(spark, [(2, "wp_guideline")], "site_id BIGINT, post_type STRING")
+    rows = {r["site_id"]: r for r in policies.policy_snapshot(stored, types, local_rows(spark, [(3,)], "site_id BIGINT")).collect()}
+    assert {i: (r["preamble"], r["redact_pii"], r["guidelines_detected"]) for i, r in rows.items()} == {
+        1: ('"x"', "true", False), 2: ('""', "true", True), 3: ('""', "true", False)}
+
+
+def test_latest_stored_option_counts(spark):
+    stored = local_rows(
+        spark, [("preamble", '"z"', 1), ("preamble", '"a"', 2), ("model_allowlist", '{"text":[["openai","m"]],"image":[]}', 1)],
+        "key STRING, value STRING, version BIGINT")
+    policy = load_policy(stored)
+    assert policy.preamble == "a" and policy.model_allowlist == (("text", "openai", "m"),)
+
+
 def test_policy_options(spark):
     stored = local_rows(spark, [(1, "preamble", '"old"', 1), (1, "preamble", '"new"', 2), (1, "unknown", "1", 3)],
                         "site_id BIGINT, key STRING, value STRING, version BIGINT")
