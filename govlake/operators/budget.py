@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from govlake.functions.money import micros_of
 from govlake.functions.requests import is_ability_capability
 from govlake.operators.ordered import time_bucket
+from govlake.operators.sizing import settled
 from govlake.operators.usage import spend_by_user
 
 
@@ -58,6 +59,8 @@ def budget_crossings(costed: DataFrame, cap_usd: str | float, exempt_users: Data
     )
     if exempt_users is not None:
         crossed = crossed.join(exempt_users.select("user_id"), "user_id", "left_anti")
+    # One row per user and month: settled, it is met without shuffling all spend once more.
+    crossed = settled(crossed, "crossed-buckets")
     running = (
         Window.partitionBy("user_id", "period", "_bucket").orderBy("ts", "request_id")
         .rowsBetween(Window.unboundedPreceding, 0)

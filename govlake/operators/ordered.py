@@ -43,7 +43,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: str, value: Column,
 
 
 def with_latest(left: DataFrame, versions: DataFrame, keys: Sequence[str], left_ts: str, version_ts: str,
-                version_id: str, columns: Sequence[str], name: str, bucket_seconds: int = 600) -> DataFrame:
+                version_id: str, columns: Sequence[str], name: str, bucket_seconds: int = 60) -> DataFrame:
     """Add, as a struct, the version in force at ``left_ts`` (null when there is none).
 
     A version is in force from its own time on until the next one of the same key;

@@ -48,3 +48,13 @@ def test_every_query_has_sql():
 
 def test_entry(spark):
     assert contract.entry(spark).columns == ["user_id", "requests", "tokens_in", "tokens_out", "usd_spent"]
+
+
+# Times each query reads a table of the sample, in the plan that is run last.
+SCANS = {"allowed_models": 1, "allowlist_violations": 1, "corpus_scrub": 1, "usage_by_user": 1, "budget_replay": 2, "window_counts": 1}
+
+
+@pytest.mark.parametrize("name", list(SCANS))
+def test_scans_per_query(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert sum(f"{sf_dir.removeprefix('/')}/" in line for line in plan.split("\n") if "FileScan" in line) == SCANS[name]
