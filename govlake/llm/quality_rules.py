@@ -46,7 +46,7 @@ RULES = (
     Rule("symbols_per_word", "n_symbols", "n_words", high=10),
     Rule("marks_per_word", "n_marks", "n_words", high=25),
     Rule("stop_words", "n_stop_words", "n_words", low=4),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", high=30),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", high=50),
     Rule("repeated_words", "n_repeat_words", "n_words", high=30),
 )
 
