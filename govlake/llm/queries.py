@@ -86,8 +86,9 @@ def sample_tool_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, D
     """Calls, results and schemas as they might stand behind a table of plain turns.
 
     Each assistant turn is a call that depends on the assistant turn before, each turn by a
-    user is the result of the turn before it. By turn and conversation some calls have a
-    wrong type or a missing field, or arguments that are no JSON.
+    user is the result of the turn before it. Some turns make a second call that the first
+    one needs. By turn and conversation some calls have a wrong type or a missing field, or
+    arguments that are no JSON.
     """
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     call_id = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
@@ -105,11 +106,17 @@ def sample_tool_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, D
         name = F.when(kind == number, F.lit(tool)).otherwise(name)
         arguments = F.when(kind == number, F.to_json(form)).otherwise(arguments)
     broken = F.length(text) % 17 == 0
+    prepared, before = kind == 2, F.concat(call_id(turn), F.lit("-first"))
     calls = rows.where("role = 'assistant'").select(
         "conv_id", call_id(turn).alias("call_id"), "turn", name.alias("name"),
         F.when(broken, F.concat(F.lit("!"), arguments)).otherwise(arguments).alias("arguments"),
-        F.when(turn % 6 != 1, F.array(call_id(turn - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+        F.when(prepared, F.array(call_id(turn - 2), before)).otherwise(F.array(call_id(turn - 2))).alias("depends_on"),
     )
+    first = rows.where((F.col("role") == "assistant") & prepared).select(
+        "conv_id", before.alias("call_id"), "turn", F.lit("look").alias("name"), F.lit("{ }").alias("arguments"),
+        F.array().cast("array<string>").alias("depends_on"),
+    )
+    calls = calls.unionByName(first)
     results = rows.where("role = 'user' and turn > 0").select(
         "conv_id", call_id(turn - 1).alias("call_id"), "turn", text.alias("content")
     )

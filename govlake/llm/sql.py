@@ -83,43 +83,41 @@ FROM docs LEFT JOIN hit USING (row_id) LEFT JOIN listed USING (row_id)
 """
 
 TOOL_CALLS = """
-WITH RECURSIVE turns AS (
+WITH turns AS (
     SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
-), calls AS (
+), assistant AS (
     SELECT conv_id, concat(conv_id, '-', turn) AS call_id, turn, (conv_id + turn) % 5 AS kind, text,
-           length(text) % 17 = 0 AS broken,
-           CASE WHEN turn % 6 <> 1 THEN concat(conv_id, '-', turn - 2) END AS needs
+           length(text) % 17 = 0 AS broken, concat(conv_id, '-', turn - 2) AS needs
     FROM turns WHERE role = 'assistant'
 ), forms AS (
-    SELECT *, CASE kind WHEN 0 THEN 'search' WHEN 1 THEN 'summarise' WHEN 2 THEN 'translate' WHEN 3 THEN 'search'
-                        ELSE 'summarise' END AS name,
+    SELECT conv_id, call_id, turn, broken,
+           CASE kind WHEN 0 THEN 'search' WHEN 1 THEN 'summarise' WHEN 2 THEN 'translate' WHEN 3 THEN 'search'
+                     ELSE 'summarise' END AS name,
            CASE kind WHEN 0 THEN concat('{"limit":', turn, ',"query":', to_json(text), '}')
                      WHEN 1 THEN concat('{"max_words":', length(text), ',"text":', to_json(text), '}')
                      WHEN 2 THEN concat('{"text":', to_json(text), ',"to":"fr"}')
                      WHEN 3 THEN concat('{"limit":"', turn, '","query":', to_json(text), '}')
                      ELSE concat('{"max_words":5,"note":', to_json(text), '}') END AS arguments,
            CASE WHEN broken THEN 'not_json' WHEN kind = 3 THEN 'type:limit' WHEN kind = 4 THEN 'missing:text,unknown:note'
-                ELSE '' END AS errors
-    FROM calls
-), depths AS (
-    SELECT conv_id, call_id, 0 AS depth FROM calls c
-    WHERE needs IS NULL OR NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.call_id = c.needs)
+                ELSE '' END AS errors,
+           CASE kind WHEN 2 THEN concat('["', needs, '","', call_id, '-first"]') ELSE concat('["', needs, '"]') END AS needs,
+           CASE kind WHEN 2 THEN 1 ELSE 0 END AS hops
+    FROM assistant
     UNION ALL
-    SELECT c.conv_id, c.call_id, d.depth + 1 FROM calls c JOIN depths d ON d.conv_id = c.conv_id AND d.call_id = c.needs
+    SELECT conv_id, concat(call_id, '-first'), turn, false, 'look', '{}', 'unknown_tool', '[]', 0 FROM assistant WHERE kind = 2
 ), ordered AS (
-    SELECT f.*, d.depth, row_number() OVER (PARTITION BY f.conv_id ORDER BY d.depth, f.turn, f.call_id) - 1 AS position
-    FROM forms f JOIN depths d USING (conv_id, call_id)
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, hops, call_id) - 1 AS position FROM forms
 ), results AS (
     SELECT conv_id, concat(conv_id, '-', turn - 1) AS call_id, turn AS result_turn, text AS content
     FROM turns WHERE role = 'user' AND turn > 0
 )
-SELECT conv_id, call_id, o.turn, r.result_turn, o.name, o.depth, o.position,
+SELECT conv_id, call_id, o.turn, r.result_turn, o.name, o.hops, o.position,
        CASE WHEN o.turn IS NULL THEN 'orphan' WHEN r.result_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
        (o.turn IS NOT NULL)::BIGINT AS n_calls, (r.result_turn IS NOT NULL)::BIGINT AS n_results,
        o.errors = '' AS valid, o.errors,
        concat('{', array_to_string(list_filter([
            CASE WHEN NOT o.broken THEN concat('"arguments":', o.arguments) END,
-           CASE WHEN o.turn IS NOT NULL THEN concat('"depends_on":[', CASE WHEN o.needs IS NOT NULL THEN to_json(o.needs) END, ']') END,
+           CASE WHEN o.turn IS NOT NULL THEN concat('"depends_on":', o.needs) END,
            concat('"id":', to_json(call_id)),
            CASE WHEN o.turn IS NOT NULL THEN concat('"name":', to_json(o.name)) END,
            CASE WHEN r.result_turn IS NOT NULL THEN concat('"result":', to_json(r.content)) END

@@ -1,8 +1,8 @@
 """Tool-call linking: calls and results by identifier, in topological order, validated, canonical.
 
 Calls and results meet in an equality join on (conversation, identifier). Calls are put in
-order by levels: those whose dependencies all have a level get the next one. Arguments are
-parsed as variants and held against the tool's schema row by row. Records are serialised
+an order that keeps to their turns except where a call needs one that stands no earlier.
+Arguments are parsed as variants and held against the tool's schema row by row. Records are serialised
 as JSON with sorted keys and no white space. Everything is DataFrame expressions; no
 conversation is ever gathered in a row or a task.
 """
@@ -26,31 +26,33 @@ def _first_of(rows: DataFrame, columns: list[str], count: str) -> DataFrame:
     )
 
 
-def call_depths(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, depth): 0 without dependencies, else one more than the deepest of them.
+def call_order(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, at, hops): a key that is greater than the key of every dependency.
 
-    Dependencies on calls that don't exist are ignored. Calls on a cycle, or behind one, have
-    no row. The number of rounds is that of the deepest chain; a round looks only at calls
-    that have no level yet, and is written to the shared folder.
+    A call's key is (its turn, 0) unless a call it needs has that key or a greater one; then
+    it comes one hop behind the last of those. So calls stay in their turn as far as their
+    dependencies allow it, and only those that have to wait are looked at again: a round per
+    hop, not per link of a chain that runs along the turns. Each round is written to the
+    shared folder. Dependencies on calls that don't exist are ignored. Where calls wait for
+    each other in a circle, which shows when there are more hops than calls that ever
+    waited, the conversation's calls that waited for that turn have no row.
     """
-    nodes = calls.select(*KEYS)
     edges = calls.select(*KEYS, F.explode("depends_on").alias("needs")).where("needs is not null").distinct()
-    known = nodes.select("conv_id", F.col("call_id").alias("needs"))
+    known = calls.select("conv_id", F.col("call_id").alias("needs"))
     edges = stored(edges.join(known, ["conv_id", "needs"], "left_semi"), "call-edges")
-    waiting = stored(edges.select(*KEYS).distinct(), "call-waiting")
-    levels = nodes.join(waiting, KEYS, "left_anti").withColumn("depth", F.lit(0))
-    depth = 0
-    left = waiting.count()
-    while left:
-        depth += 1
-        open_edges = edges.join(waiting.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi")
-        still = stored(waiting.join(open_edges, KEYS, "left_semi"), "call-waiting")
-        now = still.count()
-        if now == left:
-            break
-        levels = levels.unionByName(waiting.join(still, KEYS, "left_anti").withColumn("depth", F.lit(depth)))
-        waiting, left = still, now
-    return levels
+    keys = calls.select(*KEYS, F.col("turn").alias("at"), F.lit(0).alias("hops"), F.lit(False).alias("waited"))
+    while True:
+        needed = keys.select("conv_id", F.col("call_id").alias("needs"), F.struct("at", (F.col("hops") + 1).alias("hops")).alias("after"))
+        late = edges.join(needed, ["conv_id", "needs"]).groupBy(*KEYS).agg(F.max("after").alias("after"))
+        raised = keys.join(late, KEYS).where(F.struct("at", "hops") < F.col("after"))
+        raised = stored(raised.select(*KEYS, "after.at", "after.hops", F.lit(True).alias("waited")), "call-keys")
+        if raised.isEmpty():
+            return keys.select(*KEYS, "at", "hops")
+        keys = stored(keys.join(raised.select(*KEYS), KEYS, "left_anti").unionByName(raised), "call-keys")
+        waiting = keys.where("waited").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+        circles = keys.join(waiting, "conv_id").where("hops > n").select("conv_id", "at", F.lit(True).alias("waited")).distinct()
+        if not circles.isEmpty():
+            keys = stored(keys.join(circles, ["conv_id", "at", "waited"], "left_anti"), "call-keys")
 
 
 def _json_type(value: Column) -> Column:
@@ -106,17 +108,18 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     ``n_results`` tell how many there were. Rows without an identifier are left out; a
     null conversation is one like any other but links nothing. Status: linked, early (the
     result stands before its call), unanswered, orphan (no call). ``position`` is the place
-    in the topological order of the conversation's calls by (depth, turn, id); calls on a
-    cycle have none, nor have orphans. ``line`` is the canonical JSON of the record.
+    in a topological order of the conversation's calls (see ``call_order``, then by turn and
+    id); calls that wait in a circle have none, nor have orphans. ``hops`` tells how many calls
+    a call waits for behind its turn. ``line`` is the canonical JSON of the record.
     """
     calls = own_columns(calls, "conv_id", "call_id", "turn", "name", "arguments", "depends_on")
     results = own_columns(results, "conv_id", "call_id", "turn", "content")
     calls = stored(_first_of(calls, ["turn", "name", "arguments", "depends_on"], "n_calls"), "calls")
     results = _first_of(results, ["turn", "content"], "n_results").withColumnRenamed("turn", "result_turn")
-    ordered = calls.select(*KEYS, "turn").join(call_depths(calls), KEYS)
-    # Turns of one depth are dealt into buckets, so that no long conversation is sorted in one task.
-    bucket = F.struct("depth", F.floor(F.col("turn") / TURNS_PER_BUCKET).alias("turns"))
-    ordered = with_rank(ordered, ["conv_id"], ["turn", "call_id"], bucket, "position").select(*KEYS, "depth", "position")
+    ordered = calls.select(*KEYS, "turn").join(call_order(calls), KEYS)
+    # Turns are dealt into buckets, so that no long conversation is sorted in one task.
+    bucket = F.floor(F.coalesce("at", F.lit(-1)) / TURNS_PER_BUCKET)
+    ordered = with_rank(ordered, ["conv_id"], ["at", "hops", "turn", "call_id"], bucket, "position").select(*KEYS, "hops", "position")
     checked = validate(calls, schemas).join(ordered, KEYS, "left")
     linked = checked.join(results, KEYS, "full")
     status = (
@@ -128,7 +131,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
         "name", F.col("content").alias("result"),
     ))
     return linked.select(
-        *KEYS, "turn", "result_turn", "name", "depth", "position", status.alias("status"),
+        *KEYS, "turn", "result_turn", "name", "hops", "position", status.alias("status"),
         F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
         "valid", "errors", line.alias("line"),
     )

@@ -329,8 +329,8 @@ def test_links_order_and_validation(spark):
     status = {k: r["status"] for k, r in rows.items()}
     assert status == {(1, "p"): "linked", (1, "q"): "early", (1, "r"): "unanswered", (1, "s"): "unanswered", (1, "t"): "unanswered",
                       (1, "u"): "unanswered", (1, "zz"): "orphan", (2, "p"): "unanswered", (3, "n"): "unanswered"}
-    order = {k[1]: (r["depth"], r["position"]) for k, r in rows.items() if k[0] == 1}
-    assert order == {"s": (0, 0), "r": (0, 1), "q": (1, 2), "p": (2, 3), "t": (None, None), "u": (None, None), "zz": (None, None)}
+    order = {k[1]: (r["hops"], r["position"]) for k, r in rows.items() if k[0] == 1}
+    assert order == {"s": (0, 0), "r": (0, 1), "q": (1, 2), "p": (2, 3), "t": (None, None), "u": (0, 4), "zz": (None, None)}
     errors = {k[1]: r["errors"] for k, r in rows.items() if k[0] == 1}
     assert errors == {"p": [], "q": ["type:a", "unknown:zz"], "r": ["not_object"], "s": ["unknown_tool"], "t": ["not_json"], "u": [], "zz": None}
     assert rows[2, "p"]["valid"] and rows[3, "n"]["errors"] == ["not_json"]
@@ -339,10 +339,26 @@ def test_links_order_and_validation(spark):
     assert json.loads(rows[1, "u"]["line"])["arguments"] == {"a": 9, "b": 3}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_every_call_comes_after_what_it_needs(spark, seed):
+    rng = random.Random(seed)
+    rank = list(range(30))
+    rng.shuffle(rank)
+    calls = [(1, f"c{i}", rng.randrange(6), "g", "{}", [f"c{j}" for j in rng.sample(range(30), 3) if rank[j] < rank[i]]) for i in range(30)]
+    calls += [(2, "a", 1, "g", "{}", ["b"]), (2, "b", 2, "g", "{}", ["c"]), (2, "c", 1, "g", "{}", ["a"]), (2, "d", 3, "g", "{}", ["a"]), (2, "e", 0, "g", "{}", [])]
+    rows = {(r["conv_id"], r["call_id"]): r["position"] for r in linked(spark, calls, []).collect()}
+    assert sorted(p for (c, _), p in rows.items() if c == 1) == list(range(30))
+    assert all(rows[1, need] < rows[c, call] for c, call, _, _, _, needs in calls if c == 1 for need in needs)
+    assert {k[1]: p for k, p in rows.items() if k[0] == 2} == {"a": None, "b": None, "c": None, "d": 1, "e": 0}
+
+
 def test_long_chains_and_empty_tables(spark):
     chain = [(1, str(i), 100 - i, "g", "{}", [str(i - 1)]) for i in range(12)]
     rows = {r["call_id"]: r["position"] for r in linked(spark, chain, []).collect()}
     assert rows == {str(i): i for i in range(12)}
+    deep = [(c, str(i), i, "g", "{}", [str(i - 1)]) for c in (1, 2) for i in range(400)]
+    found = {(r["conv_id"], r["call_id"]): (r["hops"], r["position"]) for r in linked(spark, deep, []).collect()}
+    assert found == {(c, str(i)): (0, i) for c in (1, 2) for i in range(400)}
     assert linked(spark, [], []).count() == 0
 
 
