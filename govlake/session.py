@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Narrow rows; whatever reads texts in Python asks for smaller batches itself.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
 
 # Settings fixed when a session starts: no call-site capture per Column while plans are built.
