@@ -218,8 +218,10 @@ def lines_to_delete(docs: DataFrame, rare: int = RARE, min_words: int = MIN_BLOC
         F.min(F.when(own, F.struct("doc_id", "key", "pos"))).alias("first"),
         F.max(F.when(own, F.struct("doc_id", "key"))).alias("last"),
         F.count(F.when(own, 1)).alias("df"),
-    ).where("first.key != last.key")
-    held = places.join(holders.select("id", "first", "df"), "id").where("key != first.key")
+    ).where("first.key != last.key").select("id", "first", "df")
+    # Written first, so that the join may split a line that very many documents hold.
+    holders = stored(holders, "holders")
+    held = places.join(holders, "id").where("key != first.key")
     held = held.select("key", "pos", "n", "further", F.col("first.key").alias("owner"), F.col("first.pos").alias("there"), "df")
 
     pairs = held.where(F.col("df") <= rare).select("key", "owner").distinct()
