@@ -54,6 +54,8 @@ def propagate(members: DataFrame, weights: DataFrame, n_shards: int, rounds: int
         votes = tally.groupBy("hub").agg(
             F.max_by("shard", F.struct("w", -F.col("shard"))).alias("vote"), F.sum("w").alias("all"), F.max("w").alias("most")
         ).select("hub", "vote", (F.col("most") / F.col("all")).alias("weight"))
+        # Written first, so that the join below may split a hub with very many members.
+        votes = stored(votes, "votes")
         wanted = members.join(votes, "hub").groupBy("unit", "vote").agg(F.sum("weight").alias("weight"))
         wanted = wanted.groupBy("unit").agg(F.max_by("vote", F.struct("weight", -F.col("vote"))).alias("wish"))
         wishes = stored(
@@ -95,6 +97,7 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROU
     weights = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("w"), F.first("text_key").alias("hub0"))
     lines = rows.select("unit", F.explode(F.concat(F.array("text_key"), "lines")).alias("hub")).distinct()
     shared = lines.groupBy("hub").agg(F.min("unit").alias("least"), F.max("unit").alias("most")).where("least != most").select("hub")
+    shared = stored(shared, "shared")
     members = stored(lines.join(shared, "hub"), "members")
     labels = propagate(members, weights, n_shards, rounds)
 
