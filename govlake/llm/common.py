@@ -16,7 +16,7 @@ from govlake.session import scratch_path
 # Rows of a batch sent to Python: with texts of 100 kB a batch is 25 MB.
 BATCH_ROWS = 256
 # Bytes of text worked on at once inside a Python task.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
