@@ -253,7 +253,8 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_BLOCK_WO
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     found = lines_to_delete(docs, rare, min_words).withColumnRenamed("key", "_key")
-    without = F.pandas_udf(_without, "string")
+    # Marked so that a filter on the new text isn't moved below it, which would run it twice.
+    without = F.pandas_udf(_without, "string").asNondeterministic()
     whole = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), row_key().alias("_key")
     ).join(found, "_key", "left")
