@@ -88,8 +88,9 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROU
     """
     rows = stored(_units(docs, unit_rows), "documents")
     groups = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"))
-    # Groups of over unit_rows documents, so at most one for each unit_rows documents.
-    large = groups.where(F.col("n") > unit_rows).select("text_key", F.ceil(F.col("n") / unit_rows).alias("parts"))
+    # Groups of over unit_rows documents, so at most one for each unit_rows documents. Written
+    # first: its size is then known to the planner, and the join needn't bring a group together.
+    large = stored(groups.where(F.col("n") > unit_rows).select("text_key", F.ceil(F.col("n") / unit_rows).alias("parts")), "large")
     rows = stored(
         rows.join(large, "text_key", "left").withColumn("unit", F.xxhash64("text_key", F.floor(F.col("spread") * F.coalesce("parts", F.lit(1)) / (1 << 20)))),
         "units",
