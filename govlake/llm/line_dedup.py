@@ -1,12 +1,15 @@
 """Line deduplication by pairwise alignment.
 
-Lines are hashed once. A line that few documents hold is rare: each later document holding
-it is paired with the earliest one, the two line sequences are aligned by patience diff, and
-common blocks of enough words are deleted from the later document. A line that many
-documents hold proposes no pairs; each later document compares its run of such lines with
-the places they have in the earliest holder, which is the alignment of one diagonal. So the
-number of comparisons grows with the lines, never with the square of a group, and no line is
-left out. Documents are ordered by id (a null id comes first), then by a hash of the text.
+Lines are hashed once, and so are the windows of a document: the least runs of lines that hold
+enough words, from each line on and up to each line. Whatever block of enough words a document
+shares with an earlier one, each of its lines lies in a window inside the block, so it is
+enough to look at the earliest holder of every window. A window that few documents hold is rare:
+each later holder is paired with the earliest one, the two line sequences are aligned by
+patience diff, and common blocks of enough words are deleted from the later document. A
+window that many documents hold proposes no pairs and is deleted from its later holders as it
+stands. Both ways lead to one result. So the number of comparisons grows with the lines, never
+with the square of a group, and no line is left out. Documents are ordered by id (a null id
+comes first), then by a hash of the text.
 
 Lines are compared by 64-bit hashes of their content without surrounding white space.
 """
@@ -14,6 +17,7 @@ Lines are compared by 64-bit hashes of their content without surrounding white s
 from __future__ import annotations
 
 import bisect
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from govlake.llm.common import BATCH_ROWS, map_batches, own_columns, stored, utf8
 
-# Documents that may hold a line for it to count as rare, and words a deleted block has at least.
+# Times a window may occur for it to count as rare, and words a deleted block has at least.
 RARE = 8
 MIN_BLOCK_WORDS = 5
 
@@ -53,6 +57,43 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def windows(lines: Sequence[int], words: Sequence[int], min_words: int) -> list[tuple[int, int, int]]:
+    """(id, first place, last place) of the least runs of ``min_words`` words that begin or end at each line.
+
+    Equal ids mean equal lines, blank ones included. A line of a block that has enough words
+    up to that line lies in the run that ends there, any other line of the block in the run
+    that begins with the block; both are inside the block. At most two windows for each line.
+    """
+    full = [place for place, n in enumerate(words) if n]
+    begins: set[tuple[int, int]] = set()
+    ends: set[tuple[int, int]] = set()
+    i = total = 0
+    for j, place in enumerate(full):
+        total += words[place]
+        while total >= max(min_words, 1):  # from the i-th line on, the j-th is the first to make it enough
+            begins.add((i, j))
+            total -= words[full[i]]
+            i += 1
+        if i:
+            ends.add((i - 1, j))
+    out = []
+    for i, j in begins | ends:
+        a, b = full[i], full[j]
+        id_ = lines[a]
+        for before, place in zip(full[i:j], full[i + 1:j + 1]):
+            id_ = _chained(id_, place - before, lines[place])
+        out.append((id_, a, b))
+        if (i, j) in begins:
+            out += [(_chained(id_, -1, a - p), p, b) for p in range(full[i - 1] + 1 if i else 0, a)]
+        if (i, j) in ends:
+            out += [(_chained(id_, -2, p - b), a, p) for p in range(b + 1, full[j + 1] if j + 1 < len(full) else len(lines))]
+    return out
+
+
+def _chained(*values: int) -> int:
+    return _signed(xxhash.xxh64_intdigest(struct.pack("<3q", *values)))
+
+
 def _increasing(places: Sequence[int]) -> list[int]:
     """Indices of a longest increasing subsequence, by patience sorting."""
     tops: list[int] = []
@@ -117,8 +158,9 @@ def deleted_lines(later: Sequence[int], words: Sequence[int], ids: Sequence[int]
     """Positions in the later document that aligned blocks of at least ``min_words`` words cover.
 
     Blocks are taken out and the rest is aligned again, which finds passages that stand in
-    another order, until nothing is left; lines that occur several times come last, the
-    n-th occurrence against the n-th.
+    another order, until nothing is left; lines that occur several times come then, the
+    n-th occurrence against the n-th. Windows both documents hold come last: a line that
+    went with one block may have left too few words of another.
     """
     left: list[int | None] = list(later)
     numbered = False
@@ -128,51 +170,47 @@ def deleted_lines(later: Sequence[int], words: Sequence[int], ids: Sequence[int]
         for start, _, length in found:
             left[start:start + length] = [None] * length
         if not found and numbered:
-            return [place for place, line in enumerate(left) if line is None]
+            break
         numbered = numbered or not found
+    known = dict(zip(later, words))  # a line the later document lacks ends any window
+    there = {id_ for id_, _, _ in windows(earlier, [known.get(line, min_words) if line else 0 for line in earlier], min_words)}
+    spans = [(first, last) for id_, first, last in windows(later, words, min_words) if id_ in there]
+    return sorted({place for place, line in enumerate(left) if line is None}.union(covered(spans)))
 
 
-def deleted_runs(matches: Sequence[tuple[int, int, int, int, int]], min_words: int) -> list[int]:
-    """Positions of runs that follow one earlier document line by line.
-
-    Matches are (position, words, earlier document, position there, further); a further one
-    ties an occurrence that the earlier document lacks to the first there, and counts only
-    where the line is not deleted already.
-    """
-    gone = _runs([m[:4] for m in matches if not m[4]], min_words)
-    taken = set(gone)
-    return gone + _runs([m[:4] for m in matches if m[4] and m[0] not in taken], min_words)
+def covered(spans: Sequence[tuple[int, int]]) -> list[int]:
+    """The places from first to last of any span, each once."""
+    out: list[int] = []
+    free = 0
+    for first, last in sorted(spans):
+        out += range(max(first, free), last + 1)
+        free = max(free, last + 1)
+    return out
 
 
-def _runs(matches: list[tuple[int, int, int, int]], min_words: int) -> list[int]:
-    out: list[int] = []
-    run: list[int] = []
-    total, expected = 0, None
-    for place, n, owner, there in sorted(matches):
-        if (place, owner, there) != expected:
-            out += run if total >= min_words else []
-            run, total = [], 0
-        run.append(place)
-        total += n
-        expected = (place + 1, owner, there + 1)
-    return out + (run if total >= min_words else [])
-
-
-def document_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, hashes, words, ids) per distinct document; ``key`` is a hash of id and text."""
+def document_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """(doc_id, key, hashes, words, ids, windows, first, last) per distinct document; ``key`` is a hash of id and text."""
     rows = own_columns(docs, "doc_id", "text").select("doc_id", "text", row_key().alias("key"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
+    kinds = {"hashes": pa.int64(), "words": pa.int32(), "ids": pa.int64(), "windows": pa.int64(), "first": pa.int32(), "last": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [line_hashes(text) for text in utf8(batch.column("text"))]
+            found = []
+            for text in utf8(batch.column("text")):
+                hashes, words, ids = line_hashes(text)
+                runs = windows(hashes, words, min_words)
+                found.append((hashes, words, ids, *([run[i] for run in runs] for i in range(3))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"),
-                 *[pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64()))]],
-                names=["doc_id", "key", "hashes", "words", "ids"],
+                 *[pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate(kinds.values())]],
+                names=["doc_id", "key", *kinds],
             )
 
-    return map_batches(rows, run, f"doc_id {id_type}, key bigint, hashes array<bigint>, words array<int>, ids array<bigint>")
+    return map_batches(
+        rows, run, f"doc_id {id_type}, key bigint, hashes array<bigint>, words array<int>, ids array<bigint>, "
+        "windows array<bigint>, first array<int>, last array<int>",
+    )
 
 
 def row_key():
@@ -189,49 +227,35 @@ def _aligned(pairs: DataFrame, min_words: int) -> DataFrame:
     return map_batches(pairs, run, "key bigint, deleted array<int>")
 
 
-def _followed(runs: DataFrame, min_words: int) -> DataFrame:
+def _covered(spans: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                deleted_runs([(m["pos"], m["n"], m["owner"], m["there"], m["further"]) for m in matches], min_words)
-                for matches in batch.column("matches").to_pylist()
-            ]
+            found = [covered([(s["first"], s["last"]) for s in held]) for held in batch.column("spans").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.int32()))], names=["key", "deleted"])
 
-    return map_batches(runs, run, "key bigint, deleted array<int>")
+    return map_batches(spans, run, "key bigint, deleted array<int>")
 
 
 def lines_to_delete(docs: DataFrame, rare: int = RARE, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(key, deleted): sorted positions of the lines to delete, for documents that have any."""
-    stored_lines = stored(document_lines(docs), "lines")
+    stored_lines = stored(document_lines(docs, min_words), "lines")
     lines = stored_lines.dropDuplicates(["key"])
-    spots = F.filter(
-        F.arrays_zip(F.sequence(F.lit(0), F.size("ids") - 1).alias("pos"), "ids", "hashes", "words"), lambda x: x["words"] > 0
-    )
-    spot = lambda x, id_, further: F.struct(id_.alias("id"), x["pos"].alias("pos"), x["words"].alias("n"), F.lit(further).alias("further"))
-    again = F.filter(spots, lambda x: x["ids"] != x["hashes"])
-    every = F.concat(F.transform(spots, lambda x: spot(x, x["ids"], 0)), F.transform(again, lambda x: spot(x, x["hashes"], 1)))
-    places = stored_lines.select("doc_id", "key", F.explode(every).alias("at")).select("doc_id", "key", "at.*")
-    # Repeated rows of a document are one holder: their ids and places are equal.
-    own = F.col("further") == 0
-    holders = places.groupBy("id").agg(
-        F.min(F.when(own, F.struct("doc_id", "key", "pos"))).alias("first"),
-        F.max(F.when(own, F.struct("doc_id", "key"))).alias("last"),
-        F.count(F.when(own, 1)).alias("df"),
-    ).where("first.key != last.key").select("id", "first", "df")
-    # Written first, so that the join may split a line that very many documents hold.
+    places = stored_lines.select("doc_id", "key", F.explode(F.arrays_zip(F.col("windows").alias("id"), "first", "last")).alias("at"))
+    places = places.select("doc_id", "key", "at.*")
+    # Repeated rows of a document are one holder: their windows are equal.
+    holder = F.struct("doc_id", "key")
+    holders = places.groupBy("id").agg(F.min(holder).alias("least"), F.max(holder).alias("most"), F.count(F.lit(1)).alias("n"))
+    holders = holders.where("least.key != most.key").select("id", F.col("least.key").alias("owner"), "n")
+    # Written first, so that the join may split a window that very many documents hold.
     holders = stored(holders, "holders")
-    held = places.join(holders, "id").where("key != first.key")
-    held = held.select("key", "pos", "n", "further", F.col("first.key").alias("owner"), F.col("first.pos").alias("there"), "df")
+    held = places.select("key", "id", "first", "last").join(holders, "id").where("key != owner")
 
-    pairs = held.where(F.col("df") <= rare).select("key", "owner").distinct()
+    pairs = held.where(F.col("n") <= rare).select("key", "owner").distinct()
     pairs = pairs.join(lines.select("key", "hashes", "words", "ids"), "key").join(
         lines.select(F.col("key").alias("owner"), F.col("hashes").alias("earlier"), F.col("ids").alias("earlier_ids")), "owner"
     ).select("key", "hashes", "words", "ids", "earlier", "earlier_ids")
-    runs = held.where(F.col("df") > rare).distinct().groupBy("key").agg(
-        F.collect_list(F.struct("pos", "n", "owner", "there", "further")).alias("matches")
-    )
-    deleted = _aligned(pairs, min_words).unionByName(_followed(runs, min_words)).where(F.size("deleted") > 0)
+    spans = held.where(F.col("n") > rare).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    deleted = _aligned(pairs, min_words).unionByName(_covered(spans)).where(F.size("deleted") > 0)
     return deleted.groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("deleted")))).alias("deleted"))
 
 

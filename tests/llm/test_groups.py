@@ -158,6 +158,46 @@ def test_common_lines_are_deleted_but_in_their_first_holder(spark, rare):
     assert all(text.startswith(block(i)) and shared not in text and notice not in text for i, text in got.items())
 
 
+def brute_cleaned(rows, min_words=5):
+    """Without the lines of every block of enough words that any earlier document holds."""
+    out = {}
+    for place, (doc, text) in enumerate(rows):
+        lines, gone = text.split("\n"), set()
+        for _, other in rows[:place]:
+            there = other.split("\n")
+            for i in range(len(lines)):
+                for j in range(len(there)):
+                    n = 0
+                    while i + n < len(lines) and j + n < len(there) and lines[i + n].strip() == there[j + n].strip():
+                        n += 1
+                    if sum(len(line.split()) for line in lines[i:i + n]) >= min_words:
+                        gone |= set(range(i, i + n))
+        out[doc] = "\n".join(line for i, line in enumerate(lines) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("rare", [8, 2, 1, 0, 1000])
+def test_blocks_go_whatever_the_number_of_holders(spark, rare):
+    """Short lines between blank ones, in many documents; passages with a line another document held first."""
+    verse = "\n\n".join(" ".join(prose(700 + i, 1 + i % 4).split()) for i in range(9))
+    passage = ["aa bb", "cc", "dd ee", "ff"]
+    rows = [(i, verse) for i in range(1, 13)] + [(20, "cc")]
+    rows += [(30 + i, f"own {i}\n" + "\n".join(passage)) for i in range(10)]
+    got = cleaned(spark, rows, rare=rare)
+    assert got == brute_cleaned(rows)
+    assert [got[i] for i in (1, 2, 12, 20, 30, 31, 39)] == [verse, "", "", "cc", rows[13][1], "own 1", "own 9"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_equals_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    pool = ["", "", " ", "a", "b", "c d", "e f", "g h i", "j k l m", "n o p q r", "s t u v w x"]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 14)))) for i in range(60)]
+    rows += [(100 + i, rows[rng.randrange(60)][1]) for i in range(20)]
+    expected = brute_cleaned(rows)
+    assert all(cleaned(spark, rows, rare=rare) == expected for rare in (0, 2, 8, 1000))
+
+
 def test_line_dedup_edge_cases(spark, awkward, no_docs):
     result = line_dedup.dedup_lines(awkward)
     rows = result.collect()
