@@ -198,6 +198,13 @@ def test_line_dedup_equals_all_pairs(spark, seed):
     assert all(cleaned(spark, rows, rare=rare) == expected for rare in (0, 2, 8, 1000))
 
 
+def test_a_block_goes_if_its_lines_were_first_held_by_different_documents(spark):
+    lines = ["aa bb", "cc dd", "ee ff gg", "hh"]
+    rows = [(i, f"{line}\nown line of {i}") for i, line in enumerate(lines)]
+    rows += [(10, "\n".join(lines)), (11, "before\n" + "\n".join(lines) + "\nbehind")]
+    assert cleaned(spark, rows) == {**dict(rows), 11: "before\nbehind"}
+
+
 def test_line_dedup_edge_cases(spark, awkward, no_docs):
     result = line_dedup.dedup_lines(awkward)
     rows = result.collect()
