@@ -35,12 +35,14 @@ def call_order(calls: DataFrame) -> DataFrame:
     hop, not per link of a chain that runs along the turns. Each round is written to the
     shared folder. Dependencies on calls that don't exist are ignored. Where calls wait for
     each other in a circle, which shows when there are more hops than calls that ever
-    waited, the conversation's calls that waited for that turn have no row.
+    waited, the calls of the circle (and calls between two circles) have no row and count as
+    missing to calls behind them; the others that waited start again from their own turn.
     """
     edges = calls.select(*KEYS, F.explode("depends_on").alias("needs")).where("needs is not null").distinct()
     known = calls.select("conv_id", F.col("call_id").alias("needs"))
     edges = stored(edges.join(known, ["conv_id", "needs"], "left_semi"), "call-edges")
-    keys = calls.select(*KEYS, F.col("turn").alias("at"), F.lit(0).alias("hops"), F.lit(False).alias("waited"))
+    start = calls.select(*KEYS, F.col("turn").alias("at"), F.lit(0).alias("hops"), F.lit(False).alias("waited"))
+    keys = start
     while True:
         needed = keys.select("conv_id", F.col("call_id").alias("needs"), F.struct("at", (F.col("hops") + 1).alias("hops")).alias("after"))
         late = edges.join(needed, ["conv_id", "needs"]).groupBy(*KEYS).agg(F.max("after").alias("after"))
@@ -50,9 +52,26 @@ def call_order(calls: DataFrame) -> DataFrame:
             return keys.select(*KEYS, "at", "hops")
         keys = stored(keys.join(raised.select(*KEYS), KEYS, "left_anti").unionByName(raised), "call-keys")
         waiting = keys.where("waited").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-        circles = keys.join(waiting, "conv_id").where("hops > n").select("conv_id", "at", F.lit(True).alias("waited")).distinct()
+        circles = keys.join(waiting, "conv_id").where("hops > n").select("conv_id").distinct()
         if not circles.isEmpty():
-            keys = stored(keys.join(circles, ["conv_id", "at", "waited"], "left_anti"), "call-keys")
+            back = stored(keys.where("waited").join(circles, "conv_id", "left_semi").select(*KEYS), "call-circles")
+            again = start.join(back, KEYS, "left_semi").join(_circles(edges.join(back, KEYS, "left_semi")), KEYS, "left_anti")
+            keys = stored(keys.join(back, KEYS, "left_anti").unionByName(again), "call-keys")
+
+
+def _circles(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id) of the calls in circles or between two: what is left when calls that
+    need none of the others and calls that none of the others needs are taken out, round by round.
+    """
+    edges = stored(edges, "call-circles")
+    left = edges.count()
+    while True:
+        needing = edges.select("conv_id", F.col("call_id").alias("needs")).distinct()
+        needed = edges.select("conv_id", F.col("needs").alias("call_id")).distinct()
+        edges = stored(edges.join(needing, ["conv_id", "needs"], "left_semi").join(needed, KEYS, "left_semi"), "call-circles")
+        before, left = left, edges.count()
+        if left == before:
+            return edges.select(*KEYS).distinct()
 
 
 def _json_type(value: Column) -> Column:
@@ -109,7 +128,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     null conversation is one like any other but links nothing. Status: linked, early (the
     result stands before its call), unanswered, orphan (no call). ``position`` is the place
     in a topological order of the conversation's calls (see ``call_order``, then by turn and
-    id); calls that wait in a circle have none, nor have orphans. ``hops`` tells how many calls
+    id); calls of a circle have none, nor have orphans. ``hops`` tells how many calls
     a call waits for behind its turn. ``line`` is the canonical JSON of the record.
     """
     calls = own_columns(calls, "conv_id", "call_id", "turn", "name", "arguments", "depends_on")

@@ -399,6 +399,34 @@ def test_every_call_comes_after_what_it_needs(spark, seed):
     assert {k[1]: p for k, p in rows.items() if k[0] == 2} == {"a": None, "b": None, "c": None, "d": 1, "e": 0}
 
 
+def test_only_calls_of_a_circle_are_given_up(spark):
+    needs = {"a": ["b"], "b": ["a"], "c": [], "v": ["c"], "w": ["v"], "x": ["a", "w"], "y": ["x"], "f": []}
+    turns = {"a": 5, "b": 1, "c": 5, "v": 1, "w": 2, "x": 1, "y": 9, "f": 3}
+    calls = [(k, c, turns[c], "g", "{}", needs[c]) for k in (1, 2) for c in needs if (k, c) not in {(2, "b")}]
+    rows = {(r["conv_id"], r["call_id"]): (r["hops"], r["position"]) for r in linked(spark, calls, []).collect()}
+    assert {c: rows[1, c] for c in needs} == {
+        "a": (None, None), "b": (None, None), "f": (0, 0), "c": (0, 1), "v": (1, 2), "w": (2, 3), "x": (3, 4), "y": (0, 5)}
+    assert {c: p for (k, c), (_, p) in rows.items() if k == 2} == {"f": 0, "a": 1, "c": 2, "v": 3, "w": 4, "x": 5, "y": 6}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_calls_outside_circles_have_a_place(spark, seed):
+    rng = random.Random(seed)
+    calls = [(1, f"c{i}", rng.randrange(4), "g", "{}", [f"c{rng.randrange(40)}"]) for i in range(40)]
+    needs = {c: n[0] for _, c, _, _, _, n in calls}  # one each, so that no call is between two circles
+    in_circle = set()
+    for c in needs:
+        at = needs[c]
+        for _ in needs:
+            if at == c:
+                in_circle.add(c)
+            at = needs[at]
+    place = {r["call_id"]: r["position"] for r in linked(spark, calls, []).collect()}
+    assert {c for c, p in place.items() if p is None} == in_circle
+    assert sorted(p for p in place.values() if p is not None) == list(range(40 - len(in_circle)))
+    assert all(place[n] < place[c] for c, n in needs.items() if c not in in_circle and n not in in_circle)
+
+
 def test_long_chains_and_empty_tables(spark):
     chain = [(1, str(i), 100 - i, "g", "{}", [str(i - 1)]) for i in range(12)]
     rows = {r["call_id"]: r["position"] for r in linked(spark, chain, []).collect()}
