@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from govlake.llm.common import own_columns, stored, with_rank
 
 N_SHARDS = 24
-ROUNDS = 4
+# Rounds go on until less than this share of the documents may move, and end in any case after so many.
+MOVED_SHARE = 0.0001
+ROUNDS = 16
 MIN_LINE_CHARS = 40
 # Documents of equal text that move as one; buckets that ranks are counted in.
 UNIT_ROWS = 4096
@@ -43,7 +45,7 @@ def _units(docs: DataFrame, unit_rows: int) -> DataFrame:
 
 
 def propagate(members: DataFrame, weights: DataFrame, n_shards: int, rounds: int) -> DataFrame:
-    """(unit, shard) after some rounds; ``members`` are (hub, unit), ``weights`` (unit, w)."""
+    """(unit, shard) when few units move any more, after ``rounds`` at the latest; ``members`` are (hub, unit), ``weights`` (unit, w)."""
     shards = stored(weights.select("unit", "w", F.pmod(F.xxhash64("hub0"), F.lit(n_shards)).cast("int").alias("shard")), "shards")
     total = shards.agg(F.sum("w")).first()[0] or 0
     room = total / n_shards * 1.02
@@ -70,9 +72,9 @@ def propagate(members: DataFrame, weights: DataFrame, n_shards: int, rounds: int
         share = {
             (a, b): min(1.0, (moves.get((b, a), 0) + gaps.get(b, room) * w / asked[b]) / w) for (a, b), w in moves.items()
         }
-        table = F.create_map(*[x for (a, b), s in share.items() for x in (F.lit(a * n_shards + b), F.lit(s))]) if share else None
-        if table is None:
+        if sum(w * share[pair] for pair, w in moves.items()) <= MOVED_SHARE * total:
             break
+        table = F.create_map(*[x for (a, b), s in share.items() for x in (F.lit(a * n_shards + b), F.lit(s))])
         luck = F.pmod(F.xxhash64("unit", F.lit(number)), F.lit(1 << 20)) / F.lit(1 << 20)
         admitted = (F.col("wish") != F.col("shard")) & (luck < F.coalesce(table[F.col("shard") * n_shards + F.col("wish")], F.lit(0.0)))
         shards = stored(wishes.select("unit", "w", F.when(admitted, F.col("wish")).otherwise(F.col("shard")).alias("shard")), "shards")

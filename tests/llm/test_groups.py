@@ -278,6 +278,17 @@ def test_linked_documents_move_together(spark):
     assert sum(most) / len(docs) > 0.75
 
 
+def test_rounds_go_on_while_units_move(spark):
+    long_line = lambda seed: " ".join(prose(seed, 11).split()) + " and forty characters of it"
+    docs = frame(spark, [(g * 100 + i, f"{long_line(1000 + g)}\n{long_line(g * 100 + i + 50_000)}") for g in range(60) for i in range(6)])
+
+    def together(**options):
+        rows = sharding.shard_documents(docs, 5, **options).collect()
+        return sum(max(Counter(r["shard"] for r in rows if r["doc_id"] // 100 == g).values()) for g in range(60))
+
+    assert together() > together(rounds=4)
+
+
 # --- packing -----------------------------------------------------------------------
 
 def assert_packed(rows, docs):
