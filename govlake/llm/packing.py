@@ -13,25 +13,38 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from govlake.llm.common import map_batches, own_columns, utf8, worker_memory
+from govlake.llm.common import gathered, map_batches, own_columns, worker_memory
 
 TIERS = (256, 512, 1024, 2048)
 END = (1).to_bytes(4, "little")
-# Tokens held back and packed together; words whose ids a worker remembers.
+# Tokens held back and packed together.
 BLOCK_TOKENS = 1 << 20
-KNOWN_WORDS = 400_000
+# Text tokenised at once.
+TEXT_BYTES = 4 << 20
+# Memory for the words a worker remembers, twice this with the older generation; what an entry
+# takes besides its bytes; bytes of a word beyond which it is not remembered.
+KEPT_BYTES = 128 << 20
+ENTRY_BYTES = 160
+LONG_WORD = 256
 STEP_TOKENS = 8 * 2048
 
 Piece = tuple[int, int, int]  # document, start, length
 
+# Words of these characters are lower-cased one by one and have nothing to compose; what the
+# tokenizer's expression finds in them then.
+_PLAIN = re.compile(r"[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
+
 
 def vocabulary_path() -> str:
     import public_tokenizers
@@ -42,40 +55,92 @@ def vocabulary_path() -> str:
 class WordTokenizer:
     """Ids of a text, from a tokenizer that never joins across white space.
 
-    The pieces between ASCII white space are looked up among those seen lately; only new
-    ones are tokenised, many at a time. Memory is bounded by two generations of words.
+    The distinct words of a block of texts are looked up among those seen lately. A new word
+    of ASCII and Latin-1 letters is lower-cased and cut into the pieces that the tokenizer's
+    own expression finds, and the pieces of all new words are encoded in one call by the bare
+    merge model, whose last id of a piece carries the mark of a word's end. Any other word
+    goes through the whole tokenizer. What is remembered is two generations of words, each
+    bounded in bytes.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.kept_bytes, self.size = kept_bytes, 0
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def learn(self, words: Sequence[bytes]) -> None:
-        recent, older = self.recent, self.older
-        new = []
-        for word in set(words).difference(recent):
-            if word in older:
-                recent[word] = older[word]
+    def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each word with its ids."""
+        cut, pieces, whole = [], [], []
+        for word in words:
+            text = word.decode(errors="replace")
+            if _PLAIN(text) and "<|" not in text:  # the strings of special tokens begin so
+                cut.append(word)
+                pieces.append(_PIECES(text.lower()))
             else:
+                whole.append((word, text))
+        if cut:
+            joined = " ".join([piece for found in pieces for piece in found])
+            ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            last = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) - 1
+            cuts = (4 * (np.flatnonzero(self.ends[ids])[last] + 1)).tolist()
+            packed = ids.tobytes()
+            yield from zip(cut, [packed[a:b] for a, b in zip([0, *cuts], cuts)])
+        encodings = self.tokenizer.encode_batch_fast([text for _, text in whole], add_special_tokens=False)
+        for (word, _), encoding in zip(whole, encodings):
+            yield word, np.array(encoding.ids, "<u4").tobytes()
+
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        if self.size > self.kept_bytes:
+            self.recent, self.older, self.size = {}, self.recent, 0
+        found = list(map(self.recent.get, words))
+        new = []
+        for word in [word for word, ids in zip(words, found) if ids is None and word]:
+            ids = self.older.get(word)
+            if ids is None:
                 new.append(word)
-        found = self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in new], add_special_tokens=False)
-        for word, encoding in zip(new, found):
-            recent[word] = np.array(encoding.ids, "<u4").tobytes()
+            else:
+                self._keep(word, ids)
+        once = {}
+        for word, ids in self._encoded(new):
+            if len(word) > LONG_WORD:
+                once[word] = ids
+            else:
+                self._keep(word, ids)
+        return [self.recent.get(w) or once.get(w, b"") if ids is None else ids for w, ids in zip(words, found)]
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.recent[word] = ids
+        self.size += len(word) + len(ids) + ENTRY_BYTES
 
-    def encode(self, texts: Sequence[bytes | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text with the end id; a null text is an empty one."""
-        if len(self.recent) > KNOWN_WORDS:
-            self.recent, self.older = {}, self.recent
-        split = [(text or b"").split() for text in texts]
-        out = []
-        for words in split:
-            self.learn(words)
-            out.append(b"".join(map(self.recent.__getitem__, words)) + END)
-        return out
+        large = pa.types.is_large_string(texts.type)
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, pa.scalar("", texts.type)))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary() if large else pa.binary()).to_pylist()
+        found = self.look_up(distinct)
+        places = words.indices.to_numpy()
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(lengths) - lengths
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = lengths[places]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        packed = flat[np.repeat(starts[places] - upto[:-1], sizes) + np.arange(upto[-1])].tobytes()
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        cuts = (4 * upto[offsets]).tolist()
+        return [packed[a:b] + END for a, b in zip(cuts, cuts[1:])]
 
 
 class Packer:
@@ -212,8 +277,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers: Sequence[int
                        *["ids"] * with_ids],
             )
 
-        for batch in batches:
-            for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(utf8(batch.column("text")))):
+        for batch in gathered(batches, TEXT_BYTES):
+            for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(batch.column("text"))):
                 doc_ids[number], ids[number] = doc_id, encoded
                 packer.add(number, len(encoded) // 4)
                 pending += len(encoded) // 4

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -339,7 +340,18 @@ TRICKY = st.lists(st.sampled_from([" ", " ", "\x85", "\x1c", "A", "don't", "we'
 def test_word_by_word_equals_the_tokenizer(text):
     tokenizer = packing.worker_memory("test tokenizer", lambda: packing.WordTokenizer(packing.vocabulary_path()))
     expected = tokenizer.tokenizer.encode(text, add_special_tokens=False).ids + [1]
-    assert np.frombuffer(tokenizer.encode([text.encode()])[0], "<u4").tolist() == expected
+    assert np.frombuffer(tokenizer.encode(pa.array([text]))[0], "<u4").tolist() == expected
+
+
+def test_forgotten_words_are_encoded_again(spark, sf_dir):
+    """Whatever a worker remembers, and however long a word is, ids are those of the tokenizer."""
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()]
+    texts = [*texts, "a" * 3000, None, "", "a" * 3000 + " É" * 400]
+    forgetful = packing.WordTokenizer(packing.vocabulary_path(), kept_bytes=1000)
+    for block in (pa.array(texts), pa.array(texts[::-1]), pa.array(texts, pa.large_string())[3:9]):
+        expected = [forgetful.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in block.to_pylist()]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in forgetful.encode(block)] == expected
+    assert not any(len(word) > packing.LONG_WORD for word in forgetful.recent)
 
 
 @settings(max_examples=100, deadline=None)
