@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlake.llm import decontaminate, importance, language_id, line_dedup, packing, pii, quality_rules, sharding, simhash, tool_calls
+from govlake.llm import (
+    decontaminate, importance, language_id, line_dedup, merkle, packing, pii, quality_rules, sharding, simhash,
+    token_counts, tool_calls,
+)
 from govlake.llm.common import table
+from govlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -130,3 +135,17 @@ def sample_tool_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, D
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = tool_calls.link_tool_calls(*sample_tool_calls(table(spark, sf_dir, "conversations")))
     return linked.withColumn("errors", F.array_join("errors", ","))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents; those whose id's checksum 3 divides claim a text in lower case."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return merkle.proofs(merkle.build(table(spark, sf_dir, "documents"), claimed_text=F.when(tampered, lowered)))
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by way of a new cache, which holds every distinct text afterwards."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "token-cache"))

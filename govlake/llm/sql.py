@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from govlake.llm import decontaminate, quality_rules
+from govlake.llm import decontaminate, merkle, quality_rules
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -125,8 +125,71 @@ SELECT conv_id, call_id, o.turn, r.result_turn, o.name, o.hops, o.position,
 FROM ordered o FULL JOIN results r USING (conv_id, call_id)
 """
 
+# CRC-32, which DuckDB lacks, over a list of bytes; the reflected polynomial in decimal.
+def _crc32(of_bytes: str) -> str:
+    shifted = "list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, step: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295], {of_bytes}), lambda crc, byte: {shifted}), 4294967295)"
+
+
+def _merkle_field(name: str) -> str:
+    return f"coalesce(concat(strlen({name}::VARCHAR), ':', {name}::VARCHAR), '-')"
+
+
+_MERKLE_FIELDS = [_merkle_field(name) for name in merkle.FIELDS]
+_CLAIMED_FIELDS = [_merkle_field(f) for f in merkle.FIELDS[:-1]] + [_merkle_field(_LOWER)]
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+    SELECT *, sha256(concat({", ".join(_MERKLE_FIELDS)})) AS leaf,
+           CASE WHEN {_crc32("list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} % 3 = 0
+                THEN sha256(concat({", ".join(_CLAIMED_FIELDS)})) END AS claimed
+    FROM documents
+), placed AS (
+    SELECT row_number() OVER () AS row_id, *, coalesce('=' || lang, '') AS tree,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+           count(*) OVER (PARTITION BY lang) AS n
+    FROM leaves
+), nodes AS (
+    SELECT tree, 0 AS level, idx, n, leaf AS hash FROM placed
+    UNION ALL
+    SELECT tree, level + 1, idx // 8, any_value((n + 7) // 8), sha256(string_agg(hash, '' ORDER BY idx))
+    FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 8
+), crown AS (
+    SELECT 0 AS level, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, hash, tree
+    FROM nodes WHERE n = 1
+    UNION ALL
+    SELECT level + 1, idx // 8, any_value((n + 7) // 8), sha256(string_agg(hash, '' ORDER BY idx)), ''
+    FROM crown WHERE n > 1 GROUP BY level, idx // 8
+), steps AS (
+    SELECT p.row_id, n.level, n.idx, n.hash, n.idx = p.idx // (8 ** n.level)::BIGINT AS own
+    FROM placed p JOIN nodes n ON n.tree = p.tree AND n.n > 1 AND n.idx // 8 = p.idx // (8 ** (n.level + 1))::BIGINT
+    UNION ALL
+    SELECT p.row_id, 1000 + c.level, c.idx, c.hash, c.idx = t.idx // (8 ** c.level)::BIGINT
+    FROM placed p JOIN crown t ON t.level = 0 AND t.tree = p.tree
+    JOIN crown c ON c.n > 1 AND c.idx // 8 = t.idx // (8 ** (c.level + 1))::BIGINT
+), sides AS (
+    SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY level) AS step,
+           coalesce(string_agg(hash, '' ORDER BY idx) FILTER (own_idx > idx), '') AS l,
+           coalesce(string_agg(hash, '' ORDER BY idx) FILTER (own_idx < idx), '') AS r
+    FROM (SELECT *, max(idx) FILTER (own) OVER (PARTITION BY row_id, level) AS own_idx FROM steps) GROUP BY row_id, level
+), folded AS (
+    SELECT row_id, 0::BIGINT AS step, coalesce(claimed, leaf) AS hash FROM placed
+    UNION ALL
+    SELECT f.row_id, s.step, sha256(concat(s.l, f.hash, s.r)) FROM folded f JOIN sides s ON s.row_id = f.row_id AND s.step = f.step + 1
+), proof AS (
+    SELECT row_id, string_agg(l || r, '' ORDER BY step) AS all_siblings FROM sides GROUP BY row_id
+), ends AS (
+    SELECT row_id, arg_max(hash, step) AS folded_root FROM folded GROUP BY row_id
+)
+SELECT doc_id, leaf, s.hash AS subroot, c.hash AS root, sha256(coalesce(all_siblings, '')) AS proof_sha256, folded_root,
+       folded_root = c.hash AS verified
+FROM placed p JOIN ends USING (row_id) LEFT JOIN proof USING (row_id)
+JOIN nodes s ON s.tree = p.tree AND s.n = 1 JOIN crown c ON c.n = 1
+"""
+
 ORACLE_SQL = {
     "op3_quality_rules": QUALITY_RULES,
     "op7_decontamination": DECONTAMINATION,
     "op10_tool_calls": TOOL_CALLS,
+    "op11_merkle_manifest": MERKLE,
 }
