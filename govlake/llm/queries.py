@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from govlake.llm import (
     decontaminate, importance, language_id, line_dedup, merkle, packing, pii, quality_rules, sharding, simhash,
-    token_counts, tool_calls,
+    token_counts, tool_calls, variants,
 )
 from govlake.llm.common import table
 from govlake.session import scratch_path
@@ -145,6 +145,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(merkle.build(table(spark, sf_dir, "documents"), claimed_text=F.when(tampered, lowered)))
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by way of a new cache, which holds every distinct text afterwards."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from govlake.llm import decontaminate, merkle, quality_rules
+from govlake.llm import decontaminate, merkle, quality_rules, variants
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -187,9 +187,49 @@ FROM placed p JOIN ends USING (row_id) LEFT JOIN proof USING (row_id)
 JOIN nodes s ON s.tree = p.tree AND s.n = 1 JOIN crown c ON c.n = 1
 """
 
+_BYTES = "flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END))"
+_LOWER_RUN = "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# One of two near words lacks a letter of the other, or both are equal without one letter at the same place.
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, {_LOWER_RUN} AS run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[{variants.LETTERS}]+')) AS run FROM documents)
+    WHERE length(run) >= {variants.MIN_LETTERS} GROUP BY ALL
+), checked AS (
+    SELECT *, {_crc32(_BYTES)} AS h FROM runs
+), counted AS (
+    SELECT CASE WHEN h % {variants.DROP_EVERY} = 0
+                THEN concat(run[1:(h % length(run))], run[(h % length(run)) + 2:]) ELSE run END AS word, sum(n)::BIGINT AS n
+    FROM checked GROUP BY word
+), words AS (
+    SELECT * FROM counted WHERE length(word) >= {variants.MIN_LETTERS} AND n >= {variants.MIN_COUNT}
+), cut AS (
+    SELECT word, n, 0 AS i, word AS spelling FROM words
+    UNION ALL
+    SELECT word, n, i, concat(word[1:i - 1], word[i + 1:]) FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words)
+), near AS (
+    SELECT DISTINCT a.word, b.word AS near, b.n AS near_n
+    FROM cut a JOIN cut b ON a.spelling = b.spelling AND a.word <> b.word AND (a.i = b.i OR a.i = 0 OR b.i = 0)
+), best AS (
+    SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near,
+           CASE WHEN near_n >= {variants.RATIO} * w.n THEN near END AS form,
+           CASE WHEN near_n >= {variants.RATIO} * w.n THEN near_n END AS form_n
+    FROM words w LEFT JOIN best USING (word)
+), led AS (
+    SELECT word, word AS root, 0 AS hops FROM formed
+    UNION ALL
+    SELECT led.word, f.form, hops + 1 FROM led JOIN formed f ON f.word = led.root WHERE f.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(root, hops) AS root FROM led GROUP BY word) USING (word)
+"""
+
 ORACLE_SQL = {
     "op3_quality_rules": QUALITY_RULES,
     "op7_decontamination": DECONTAMINATION,
     "op10_tool_calls": TOOL_CALLS,
     "op11_merkle_manifest": MERKLE,
+    "op12_spelling_variants": SPELLING_VARIANTS,
 }
