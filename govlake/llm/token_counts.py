@@ -158,5 +158,6 @@ def count_tokens(docs: DataFrame, cache: str, path: str | None = None, limit: in
     keyed = stored(rows.select("doc_id", digest(F.col("text")).alias("digest"),
                                F.octet_length(content(F.col("text"))).cast("bigint").alias("n_bytes")), "digests")
     fill_cache(docs, keyed, cache, path, version)
-    counts = read_cache(spark, cache, version)
+    # Written first, so that the join may split a content that very many documents hold.
+    counts = stored(read_cache(spark, cache, version), "counts")
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
