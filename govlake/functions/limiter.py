@@ -85,43 +85,3 @@ def fold_sorted(batches: Iterable[pa.RecordBatch], keys: Sequence[str],
         offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * len(windows)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(passed.ravel()))
         yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "passed"])
-
-
-def fold_resumed(batches: Iterable[pa.RecordBatch], keys: Sequence[str],
-                 windows: Sequence[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    """Like ``fold_sorted``, continuing from remembered counters and handing them on.
-
-    Input rows have keys, slot, requests, counts and expires, sorted by keys and slot; a
-    row without slot is what a key remembers. Output adds ``kind``: one result per slot and
-    one memory row per key.
-    """
-    longs = pa.list_(pa.int64())
-    names = [*keys, "slot", "requests", "passed", "counts", "expires", "kind"]
-    key_types: list[pa.DataType] = []
-    current, counts, expires = None, [], []
-
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows))
-        types = [*key_types, pa.int64(), pa.int64(), longs, longs, longs, pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    for batch in batches:
-        key_types = [batch.column(k).type for k in keys]
-        out = []
-        for key, slot, n, old_counts, old_expires in zip(
-            zip(*(batch.column(k).to_pylist() for k in keys)),
-            *(batch.column(c).to_pylist() for c in ("slot", "requests", "counts", "expires")),
-        ):
-            if key != current:
-                if current is not None:
-                    out.append((*current, None, None, None, counts, expires, "memory"))
-                current = key
-                counts, expires = fresh(windows)
-            if slot is None:
-                counts, expires = old_counts, old_expires
-            else:
-                out.append((*key, slot, n, advance(slot, n, windows, counts, expires), None, None, "result"))
-        if out:
-            yield packed(out)
-    if current is not None:
-        yield packed([(*current, None, None, None, counts, expires, "memory")])

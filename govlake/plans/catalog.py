@@ -145,13 +145,9 @@ def usage_store_upsert(spark, sf_dir):
     """The rollup from a stored table: half of it written, the rest upserted (once again, too)."""
     costed, path = _costed(spark, sf_dir), scratch_path(spark, "store")
     part = F.col("request_id") % 4
-    sinks.write_usage(usage.usage_rollup(costed.where(part < 2)), path)
-    for batch, again in ((0, 1), (1, 2)):
-        for _ in range(again):
-            sinks.upsert_usage(spark, path, usage.usage_rollup(costed.where(part == 2 + batch)), batch)
-        if batch == 0:
-            sinks.fold_usage(spark, path)
-            sinks.upsert_usage(spark, path, usage.usage_rollup(costed), 0)
+    sinks.write_usage(spark, path, usage.usage_rollup(costed.where(part < 2)))
+    for batch in (0, 0, 1, 1, 0):
+        sinks.upsert_usage(spark, path, usage.usage_rollup(costed.where(part == 2 + batch)), batch)
     return sinks.read_usage(spark, path).select(
         "user_id", "period", "provider", "model", "requests", "tokens_in", "tokens_out", _usd(),
         _micros("updated_at", "updated_us"))
@@ -160,7 +156,7 @@ def usage_store_upsert(spark, sf_dir):
 @query
 def usage_store_swept(spark, sf_dir):
     path = scratch_path(spark, "store")
-    sinks.write_usage(_aged_usage(spark, sf_dir), path)
+    sinks.write_usage(spark, path, _aged_usage(spark, sf_dir))
     jobs.sweep_usage(spark, path, F.lit("2025-03-31").cast("date"), Policy(usage_retention_months=20))
     return sinks.read_usage(spark, path).select("user_id", "period", "provider", "model", "requests", _usd())
 
@@ -467,26 +463,31 @@ def stream_usage(spark, sf_dir):
 
 @query
 def stream_usage_late(spark, sf_dir):
-    """The same, from files that each span the whole time and repeat some of the others' events."""
+    """The same, from files that each span the whole time and repeat some of the others' events,
+    with a horizon that covers it."""
     exchange = sample.exchange(spark, sf_dir)
     part, folder = F.pmod(F.xxhash64("request_id"), F.lit(3)), scratch_path(spark, "mixed")
     for number in range(3):
         exchange.where((part == number) | ((F.col("request_id") % 10 == number) & (part < number))).write.mode("append").parquet(folder)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in exchange.schema.fields)
-    return stream_usage_rules.stream_usage(stream_table(spark, folder, schema, maxFilesPerTrigger="8")).select(
+    return stream_usage_rules.stream_usage(stream_table(spark, folder, schema, maxFilesPerTrigger="8"), horizon="40 days").select(
         "user_id", "period", "provider", "model", "requests", "tokens_in", "tokens_out", _usd())
 
 
 @query
 def stream_spend_alerts(spark, sf_dir):
     costed = usage.request_cost(requests.shape_requests(_exchange_stream(spark, sf_dir)))
-    return stream_usage_rules.spend_alerts(costed, sample.CAP_USD, _exempt(spark, sf_dir)).select("user_id", "period", "slot", _usd("spent_micros"))
+    alerts = stream_usage_rules.spend_alerts(costed, sample.CAP_USD, _exempt(spark, sf_dir), log=usage.request_cost(_events(spark, sf_dir)))
+    return alerts.select("user_id", "period", "slot", _usd("spent_micros"))
 
 
 @query
 def stream_rate_limits(spark, sf_dir):
-    governed = requests.governed(_exchange_stream(spark, sf_dir)).select("user_id", "ability_id", "ts")
-    decided = stream_limits.stream_rate_limits(governed, sample.RATE_WINDOWS)
+    def governed(exchange):
+        return requests.governed(exchange).select("user_id", "ability_id", "ts")
+
+    decided = stream_limits.stream_rate_limits(
+        governed(_exchange_stream(spark, sf_dir)), sample.RATE_WINDOWS, log=governed(sample.exchange(spark, sf_dir)))
     return decided.select("user_id", "ability_id", "tick", "requests", "allowed",
                           F.get("rejected", F.lit(0)).alias("over_hour"), F.get("rejected", F.lit(1)).alias("over_day"))
 

@@ -15,7 +15,7 @@ from govlake.operators import access, budget, guidelines, moderate, prompts, rat
 from govlake.operators.sizing import settled, spread
 from govlake.policy import Policy
 from govlake.session import scratch_path
-from govlake.sources.sinks import fold_usage, read_usage, remove_months
+from govlake.sources.sinks import read_usage, remove_months
 from govlake.sources.tables import local_rows
 
 
@@ -168,10 +168,9 @@ def effective_prompts(
 def sweep_usage(spark: SparkSession, path: str, today: Column, policy: Policy = Policy()) -> tuple[str, int]:
     """Remove the expired months of a stored rollup, in place; returns cutoff and rows removed.
 
-    Pending deltas are folded in first, so none brings an expired month back. Only the
-    folders of expired months are touched.
+    The log loses the expired months first, so none comes back. Only the folders of expired
+    months are touched.
     """
-    fold_usage(spark, path)
     swept = retention.usage_swept(read_usage(spark, path), today, policy.usage_retention_months).first()
     if policy.usage_retention_months > 0:
         remove_months(spark, path, swept["cutoff"])

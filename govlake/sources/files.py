@@ -36,9 +36,3 @@ def names(spark: SparkSession, path: str) -> list[str]:
     """Names of the entries of a folder; none if there is no folder."""
     system, where = _at(spark, path)
     return sorted(s.getPath().getName() for s in system.listStatus(where)) if system.exists(where) else []
-
-
-def mark(spark: SparkSession, path: str) -> None:
-    """An empty folder as a mark."""
-    system, where = _at(spark, path)
-    system.mkdirs(where)

@@ -1,4 +1,4 @@
-"""Table sinks on plain parquet: no in-place updates, so whole partitions are replaced."""
+"""Table sinks on plain parquet: append-only logs, and tables whose partitions are rebuilt from them."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ from govlake import schemas
 from govlake.operators.usage import add_usage
 from govlake.sources import files
 
-_DELTAS, _STAGED, _APPLIED = "_deltas", "_staged", "_applied"
+# Below a stored rollup: the deltas of every batch, by month. Readers of the months don't list it.
+_LOG = "_log"
+# The batch of a rollup that is loaded as a whole.
+LOADED = -1
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -17,84 +20,52 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_usage(usage: DataFrame, path: str, others: str = "dynamic") -> None:
-    """Write (or replace) the months present in ``usage``; other months stay, unless ``others``
-    is static. Adaptive execution sizes the tasks."""
-    (
-        usage.repartition("period", "user_id")
-        .write.mode("overwrite").option("partitionOverwriteMode", others)
-        .partitionBy("period").parquet(path)
-    )
-
-
 def read_usage(spark: SparkSession, path: str) -> DataFrame:
-    """The stored rollup with the deltas that aren't folded in yet; a filter on ``period``
-    prunes the months."""
-    months = _months(spark, path)
-    pending = _pending(spark, path)
-    return add_usage(months, _deltas(spark, path, pending)) if pending else months
-
-
-def _months(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rollup; a filter on ``period`` prunes the months."""
     return spark.read.schema(schemas.USAGE).parquet(path)
 
 
-def _deltas(spark: SparkSession, path: str, batches: list[int]) -> DataFrame:
-    stored = spark.read.schema(schemas.USAGE + ", batch_id BIGINT").parquet(f"{path}/{_DELTAS}")
-    return stored.where(F.col("batch_id").isin(batches)).select(_months(spark, path).columns)
-
+def write_usage(spark: SparkSession, path: str, usage: DataFrame) -> None:
+    """Load a rollup that exists already, as the first batch."""
+    upsert_usage(spark, path, usage, LOADED)
 
-def _applied(spark: SparkSession, path: str) -> int:
-    return max(files.numbered(spark, f"{path}/{_APPLIED}", "batch_id="), default=-1)
 
+def upsert_usage(spark: SparkSession, path: str, delta: DataFrame, batch_id: int) -> None:
+    """Add a delta to the stored rollup.
 
-def _pending(spark: SparkSession, path: str) -> list[int]:
-    applied = _applied(spark, path)
-    return [n for n in files.numbered(spark, f"{path}/{_DELTAS}", "batch_id=") if n > applied]
+    The delta goes to the log under its batch id, and the months it touches are rebuilt from
+    the log and replaced; other months are neither read nor written. Both steps give the same
+    result when they are done again, so a batch that broke off or comes twice is simply run again.
+    """
+    batch = f"{path}/{_LOG}/batch_id={batch_id}"
+    before = _months(spark, batch)
+    delta.write.mode("overwrite").partitionBy("period").parquet(batch)
+    months = sorted({*before, *_months(spark, batch)})
+    if months:
+        logged = spark.read.schema(schemas.USAGE + ", batch_id BIGINT").parquet(f"{path}/{_LOG}").where(F.col("period").isin(months))
+        _replace(add_usage(logged.drop("batch_id"), logged.drop("batch_id").where(F.lit(False))), path)
 
 
-def upsert_usage(spark: SparkSession, path: str, delta: DataFrame, batch_id: int) -> None:
-    """Add a delta to the stored rollup. Batch ids rise; a batch that is tried again replaces
-    itself, and one that is folded in already is left out, so none is added twice."""
-    if batch_id > _applied(spark, path):
-        write_usage_delta(delta, f"{path}/{_DELTAS}", batch_id)
+def _months(spark: SparkSession, path: str) -> list[str]:
+    return [name.removeprefix("period=") for name in files.names(spark, path) if name.startswith("period=")]
 
 
-def fold_usage(spark: SparkSession, path: str) -> None:
-    """Fold the pending deltas into the months they touch; the other months aren't read.
-
-    The new months are staged in full before any month is replaced, and the batch is marked
-    as applied after all are. A fold that broke off is completed from what it staged, or,
-    if that is not complete, from the untouched months; readers should wait for the end.
-    """
-    pending = _pending(spark, path)
-    if not pending:
-        return
-    upto = pending[-1]
-    for n in files.numbered(spark, f"{path}/{_STAGED}", "upto="):
-        if n in pending and files.exists(spark, f"{path}/{_STAGED}/upto={n}/_SUCCESS"):
-            upto = n
-    staged = f"{path}/{_STAGED}/upto={upto}"
-    if not files.exists(spark, f"{staged}/_SUCCESS"):
-        delta = _deltas(spark, path, [n for n in pending if n <= upto])
-        months = [row["period"] for row in delta.select("period").distinct().collect()]
-        state = _months(spark, path).where(F.col("period").isin(months))
-        write_usage(add_usage(state, delta), staged, others="static")
-    write_usage(_months(spark, staged), path)
-    files.mark(spark, f"{path}/{_APPLIED}/batch_id={upto}")
-    files.remove(spark, staged)
-    for n in pending:
-        if n <= upto:
-            files.remove(spark, f"{path}/{_DELTAS}/batch_id={n}")
-    if upto != pending[-1]:
-        fold_usage(spark, path)
+def _replace(usage: DataFrame, path: str) -> None:
+    """Replace the months present in ``usage``; adaptive execution sizes the tasks."""
+    (
+        usage.repartition("period", "user_id")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("period").parquet(path)
+    )
 
 
 def remove_months(spark: SparkSession, path: str, before: str) -> None:
-    """Remove the folders of the months before one."""
-    for name in files.names(spark, path):
-        if name.startswith("period=") and name.removeprefix("period=") < before:
-            files.remove(spark, f"{path}/{name}")
+    """Remove the months before one, from the log first, so that none can be rebuilt."""
+    log = f"{path}/{_LOG}"
+    for folder in [*(f"{log}/{name}" for name in files.names(spark, log)), path]:
+        for month in _months(spark, folder):
+            if month < before:
+                files.remove(spark, f"{folder}/period={month}")
 
 
 def write_usage_delta(usage: DataFrame, path: str, batch_id: int) -> None:

@@ -7,43 +7,48 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govlake.functions.limiter import MICROS, fold_resumed
+from govlake.functions.limiter import MICROS, advance, fresh
 from govlake.operators.ratelimit import KEYS, enabled, key_columns, tick_of
 from govlake.policy import DEFAULT_RATE_WINDOWS, RateWindow
-from govlake.streaming.ordered import SlotFold, drain_fold
+from govlake.streaming.keyed import SlotRule, drain_slots
 
-SCHEMA = ("user_id BIGINT, ability_id STRING, slot BIGINT, requests BIGINT, passed ARRAY<BIGINT>, "
-          "counts ARRAY<BIGINT>, expires ARRAY<BIGINT>")
+KEY_SCHEMA = "user_id BIGINT, ability_id STRING"
 
 
 def ticks(requests: DataFrame, tick_seconds: int = 1) -> DataFrame:
-    """One row per request: its key, as in the batch replay, and its clock tick."""
-    return requests.select(*key_columns(), tick_of(F.col("ts"), tick_seconds).alias("slot"), F.lit(1).cast("bigint").alias("requests"))
+    """One row per request: its key, as in the batch replay, its time and its clock tick."""
+    return requests.select(
+        *key_columns(), "ts", tick_of(F.col("ts"), tick_seconds).alias("slot"), F.lit(1).cast("bigint").alias("value")
+    )
 
 
-def counters(windows: Sequence[RateWindow], tick_seconds: int = 1) -> SlotFold:
-    """Continue the counters of every key; counters that have run out can be forgotten."""
+def counters(windows: Sequence[RateWindow], tick_seconds: int = 1) -> SlotRule:
+    """Continue the counters of every key until the last of them has expired."""
     pairs = [(w.ttl_seconds * MICROS, w.limit) for w in enabled(windows)]
     if not pairs:
         raise ValueError("no rate window is enabled")
 
-    def fold(slots: DataFrame, memory: DataFrame) -> DataFrame:
-        together = memory.unionByName(slots, allowMissingColumns=True)
-        # Memory has no slot and sorts before the slots of its key.
-        ordered = together.repartition(*KEYS).sortWithinPartitions(*KEYS, F.col("slot").asc_nulls_first())
-        return ordered.mapInArrow(lambda batches: fold_resumed(batches, KEYS, pairs), f"{SCHEMA}, kind STRING")
+    def fold(tick: int, requests: int, memory: list[int]) -> tuple[list[int], list[int]]:
+        counts, expires = (memory[:len(pairs)], memory[len(pairs):]) if memory else fresh(pairs)
+        passed = advance(tick, requests, pairs, counts, expires)
+        return counts + expires, passed
 
-    return SlotFold(KEYS, "requests", tick_seconds * MICROS, SCHEMA, fold, lambda latest: F.array_max("expires") > latest)
+    return SlotRule(KEYS, KEY_SCHEMA, tick_seconds * MICROS, fold, lambda last, memory: max(memory[len(pairs):], default=0))
 
 
-def stream_rate_limits(requests: DataFrame, windows: Sequence[RateWindow] = DEFAULT_RATE_WINDOWS,
-                       delay_seconds: int = 60, tick_seconds: int = 1) -> DataFrame:
+def stream_rate_limits(requests: DataFrame, windows: Sequence[RateWindow] = DEFAULT_RATE_WINDOWS, delay: str = "60 seconds",
+                       tick_seconds: int = 1, root: str | None = None, log: DataFrame | None = None) -> DataFrame:
     """Drain a request stream: per key and clock tick, requests, how many were allowed and
-    how many each window rejected. Every request counts, late ones included."""
-    plan = counters(windows, tick_seconds)
-    folded = drain_fold(requests, lambda batch: ticks(batch, tick_seconds), plan, "limits", delay_seconds * MICROS)
-    before = F.concat(F.array("requests"), F.slice("passed", F.lit(1), F.size("passed") - 1))
+    how many each window rejected.
+
+    A tick is decided when the watermark, ``delay`` behind the latest request, has passed it.
+    ``log`` is the log of the same requests as a table: with it, keys that had requests after
+    the watermark, or whose last ticks are still open, are decided from the log.
+    """
+    logged = None if log is None else ticks(log, tick_seconds).drop("ts")
+    folded = drain_slots(ticks(requests, tick_seconds), counters(windows, tick_seconds), delay, root, logged)
+    before = F.concat(F.array("value"), F.slice("folded", F.lit(1), F.size("folded") - 1))
     return folded.select(
-        *KEYS, F.col("slot").alias("tick"), "requests", F.element_at("passed", -1).alias("allowed"),
-        F.zip_with(before, "passed", lambda a, b: a - b).alias("rejected"),
+        *KEYS, F.col("slot").alias("tick"), F.col("value").alias("requests"), F.element_at("folded", -1).alias("allowed"),
+        F.zip_with(before, "folded", lambda a, b: a - b).alias("rejected"),
     )

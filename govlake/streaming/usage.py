@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlake.functions.limiter import MICROS
@@ -12,102 +14,84 @@ from govlake.operators.ordered import time_bucket
 from govlake.operators.requests import shape_requests
 from govlake.operators.usage import request_cost, usage_rollup
 from govlake.session import scratch_path
-from govlake.sources import files
 from govlake.sources.sinks import read_usage_deltas, write_usage_delta
-from govlake.streaming.ordered import MEMORY, RESULT, SlotFold, drain_fold
-from govlake.streaming.run import to_batches
+from govlake.streaming.keyed import SlotRule, drain_slots
+from govlake.streaming.run import stateful, to_batches
+
+# How long after an event it may be delivered, once or again.
+HORIZON = "7 days"
 
 
-def unseen(batch: DataFrame, n: int, path: str) -> DataFrame:
-    """The events of micro-batch n that no batch before it had, and their ids put on record.
+def once(exchange: DataFrame, horizon: str = HORIZON) -> DataFrame:
+    """Each event of a stream once, by request_id; events without an id all count.
 
-    Ids are recorded by day of the event, and only the days of the batch are looked up, so
-    an event that is delivered again counts once however late it comes. Batch n replaces
-    its own record when it is replayed. Events without an id all count.
+    Ids are kept for ``horizon`` of event time, so the state is as large as the traffic of that
+    time. What comes later than that behind the latest event is not taken any more.
     """
-    spark = batch.sparkSession
-    dated = batch.withColumn("_day", F.to_date("ts"))
-    days = [r[0] for r in dated.select("_day").distinct().collect()]
-    once = dated.where("request_id is not null").dropDuplicates(["request_id"])
-    if files.exists(spark, path):
-        known = spark.read.schema("request_id BIGINT, _day DATE, batch_id BIGINT").parquet(path).where(
-            F.col("_day").isin(days) & (F.col("batch_id") < n)
-        )
-        once = once.join(known.select("request_id"), "request_id", "left_anti")
-    record = f"{path}/batch_id={n}"
-    once.select("request_id", "_day").write.mode("overwrite").partitionBy("_day").parquet(record)
-    return once.select(batch.columns).unionByName(batch.where("request_id is null"))
-
-
-def stream_usage(exchange: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    marked = exchange.withWatermark("ts", horizon).withColumn("_once", F.coalesce(F.col("request_id").cast("string"), F.uuid()))
+    return marked.dropDuplicatesWithinWatermark(["_once"]).drop("_once")
+
+
+def stream_usage(exchange: DataFrame, path: str | None = None, checkpoint: str | None = None, horizon: str = HORIZON) -> DataFrame:
     """Drain an exchange stream into rollup deltas and return them added up.
 
     Each micro-batch is rolled up on its own and stored under its batch id, so a batch
     that is replayed after a failure overwrites itself and counts once. Sums don't mind the
-    order, so late events count like any other.
+    order, so events within the horizon count whenever they come.
     """
     spark = exchange.sparkSession
     root = scratch_path(spark, "usage")
     path, checkpoint = path or f"{root}/deltas", checkpoint or f"{root}/checkpoint"
 
     def write(batch: DataFrame, n: int) -> None:
-        batch = batch.persist()
-        write_usage_delta(usage_rollup(request_cost(shape_requests(unseen(batch, n, f"{path}_ids")))), path, n)
-        batch.unpersist()
+        write_usage_delta(usage_rollup(request_cost(shape_requests(batch))), path, n)
 
-    to_batches(exchange, write, checkpoint).awaitTermination()
+    with stateful(spark):
+        query = to_batches(once(exchange, horizon), write, checkpoint)
+    query.awaitTermination()
     return read_usage_deltas(spark, path)
 
 
-SPENT_SCHEMA = "user_id BIGINT, period STRING, slot BIGINT, usd_micros BIGINT, spent_micros BIGINT"
+SPEND_KEYS = ("user_id", "period")
 
 
 def spend_slots(costed: DataFrame, slot_seconds: int = 60) -> DataFrame:
-    """Spend per event with its user, month and time slot."""
+    """Spend per event with its user, month, time and time slot."""
     slot = time_bucket(F.col("ts"), slot_seconds)
-    return costed.where("usd_micros > 0").select(
-        "user_id", period(F.timestamp_micros(slot)).alias("period"), slot.alias("slot"), "usd_micros"
+    return costed.where("usd_micros > 0 AND user_id IS NOT NULL").select(
+        "user_id", period(F.timestamp_micros(slot)).alias("period"), "ts", slot.alias("slot"), F.col("usd_micros").alias("value")
     )
 
 
-def crossings(cap_usd: str | float, slot_seconds: int = 60) -> SlotFold:
-    """Continue the month's spend per user; a crossing is a result, a past month forgotten."""
-    cap = micros_of(cap_usd)
-    keys = ("user_id", "period")
-    in_order = Window.partitionBy(*keys).orderBy(F.col("slot").asc_nulls_first())
-
-    def fold(slots: DataFrame, memory: DataFrame) -> DataFrame:
-        carried = memory.select(*keys, "slot", F.col("spent_micros").alias("usd_micros"))
-        summed = carried.unionByName(slots).withColumn("spent_micros", F.sum("usd_micros").over(in_order)).withColumn(
-            "_last", F.lead(F.lit(1)).over(in_order).isNull()
-        )
-        crossing = (
-            F.lit(cap > 0) & F.col("slot").isNotNull()
-            & (F.col("spent_micros") >= cap) & (F.col("spent_micros") - F.col("usd_micros") < cap)
-        )
-        return summed.select(
-            "*", F.explode(F.array_compact(F.array(
-                F.when(crossing, F.lit(RESULT)), F.when(F.col("_last"), F.lit(MEMORY))
-            ))).alias("kind"),
-        ).select(
-            *keys, F.when(F.col("kind") == RESULT, F.col("slot")).alias("slot"), "usd_micros", "spent_micros", "kind",
-        )
-
-    def alive(latest: int):
-        return F.col("period") >= period(F.timestamp_micros(F.lit(latest)))
-
-    return SlotFold(keys, "usd_micros", slot_seconds * MICROS, SPENT_SCHEMA, fold, alive)
-
-
-def spend_alerts(costed: DataFrame, cap_usd: str | float, exempt_users: DataFrame | None = None,
-                 delay_seconds: int = 60, slot_seconds: int = 60) -> DataFrame:
+def month_end(slot: int) -> int:
+    """The first moment, in micros, after the month of a slot."""
+    day = datetime.fromtimestamp(slot // MICROS, timezone.utc)
+    after = datetime(day.year + day.month // 12, day.month % 12 + 1, 1, tzinfo=timezone.utc)
+    return int(after.timestamp()) * MICROS
+
+
+def month_spend(slot_seconds: int = 60) -> SlotRule:
+    """Continue the month's spend per user until the month is over."""
+    def fold(slot: int, spent: int, memory: list[int]) -> tuple[list[int], list[int]]:
+        total = sum(memory) + spent
+        return [total], [total]
+
+    return SlotRule(SPEND_KEYS, "user_id BIGINT, period STRING", slot_seconds * MICROS, fold, lambda last, memory: month_end(last))
+
+
+def spend_alerts(costed: DataFrame, cap_usd: str | float, exempt_users: DataFrame | None = None, delay: str = "60 seconds",
+                 slot_seconds: int = 60, root: str | None = None, log: DataFrame | None = None) -> DataFrame:
     """Drain costed events: one row per user and month, the slot in which spend reached the cap.
 
-    ``exempt_users`` (user_id) raise no alert. Redelivered events must be gone (``unseen``
-    in the query that writes the events).
+    ``exempt_users`` (user_id) raise no alert. Redelivered events must be gone (``once``).
+    Events without a user belong to nobody's budget. ``log`` is the log of the same events as a
+    table, against which late events and open slots are settled.
     """
-    plan = crossings(cap_usd, slot_seconds)
-    alerts = drain_fold(costed, lambda batch: spend_slots(batch, slot_seconds), plan, "alerts", delay_seconds * MICROS)
+    cap = micros_of(cap_usd)
+    logged = None if log is None else spend_slots(log, slot_seconds).drop("ts")
+    spent = drain_slots(spend_slots(costed, slot_seconds), month_spend(slot_seconds), delay, root, logged)
+    spent = spent.select(*SPEND_KEYS, "slot", "value", F.get("folded", F.lit(0)).alias("spent_micros"))
+    alerts = spent.where(F.lit(cap > 0) & (F.col("spent_micros") >= cap) & (F.col("spent_micros") - F.col("value") < cap))
     if exempt_users is not None:
         alerts = alerts.join(exempt_users.select("user_id"), "user_id", "left_anti")
     return alerts.select("user_id", "period", "slot", "spent_micros")
