@@ -3,13 +3,13 @@
 Lines are hashed once, and so are the windows of a document: the least runs of lines that hold
 enough words, from each line on and up to each line. Whatever block of enough words a document
 shares with an earlier one, each of its lines lies in a window inside the block, so it is
-enough to look at the earliest holder of every window. A window that few documents hold is rare:
-each later holder is paired with the earliest one, the two line sequences are aligned by
-patience diff, and common blocks of enough words are deleted from the later document. A
-window that many documents hold proposes no pairs and is deleted from its later holders as it
-stands. Both ways lead to one result. So the number of comparisons grows with the lines, never
-with the square of a group, and no line is left out. Documents are ordered by id (a null id
-comes first), then by a hash of the text.
+enough to meet the earliest holder of every window. Windows that few documents hold propose the
+first pairs: each later holder and the earliest one. Windows that many hold propose the pair
+of a document and their first holder where the first alignments have not covered them. Each
+pair's line sequences are aligned by patience diff, and the common blocks of enough words, no
+other lines, are deleted from the later document. So the number of alignments grows with the
+lines, never with the square of a group, and no line is left out. Documents are ordered by id
+(a null id comes first), then by a hash of the text.
 
 Lines are compared by 64-bit hashes of their content without surrounding white space.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from govlake.llm.common import BATCH_ROWS, map_batches, own_columns, stored, utf8
 
-# Times a window may occur for it to count as rare, and words a deleted block has at least.
+# Times a window may occur to propose the first pairs, and words a deleted block has at least.
 RARE = 8
 MIN_BLOCK_WORDS = 5
 
@@ -115,28 +115,23 @@ def _increasing(places: Sequence[int]) -> list[int]:
     return chain[::-1]
 
 
-def align(later: Sequence[int | None], earlier: Sequence[int], later_ids: Sequence[int] | None = None,
-          earlier_ids: Sequence[int] | None = None) -> list[tuple[int, int, int]]:
+def align(later: Sequence[int], earlier: Sequence[int], anchors: Sequence[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
     """Common blocks (start in later, start in earlier, lines) of a patience diff.
 
-    Lines unique in both are anchors (with ids, which number equal lines, the n-th occurrence
-    meets the n-th, or else the first), their longest increasing chain is kept, and every anchor grows over equal
-    neighbours as long as the order is kept. Blank lines (hash 0) are no anchors but may lie
-    inside a block; lines taken out before are None and end a block.
+    Anchors are places of equal lines, at most one for a place in ``later``, in its order; if
+    none are given, the lines that occur once on both sides. Their longest increasing chain is
+    kept, and every anchor grows over equal neighbours as long as the order is kept. Blank
+    lines (hash 0) are no anchors but may lie inside a block.
     """
-    def unique(lines: Sequence[int | None]) -> dict[int, int]:
+    def unique(lines: Sequence[int]) -> dict[int, int]:
         places: dict[int, int] = {}
         for place, line in enumerate(lines):
             places[line] = -1 if line in places else place
         return {line: place for line, place in places.items() if place >= 0 and line}
 
-    if later_ids is None or earlier_ids is None:
+    if anchors is None:
         there = unique(earlier)
         anchors = sorted((place, there[line]) for line, place in unique(later).items() if line in there)
-    else:
-        there = unique(earlier_ids)  # the first of equal lines has its hash as id
-        pairs = ((place, there.get(later_ids[place], there.get(line))) for place, line in enumerate(later) if line)
-        anchors = [(a, b) for a, b in pairs if b is not None]
     anchors = [anchors[i] for i in _increasing([b for _, b in anchors])]
     blocks: list[tuple[int, int, int]] = []
     free_a = free_b = 0
@@ -157,35 +152,55 @@ def deleted_lines(later: Sequence[int], words: Sequence[int], ids: Sequence[int]
                   earlier_ids: Sequence[int], min_words: int) -> list[int]:
     """Positions in the later document that aligned blocks of at least ``min_words`` words cover.
 
-    Blocks are taken out and the rest is aligned again, which finds passages that stand in
-    another order, until nothing is left; lines that occur several times come then, the
-    n-th occurrence against the n-th. Windows both documents hold come last: a line that
-    went with one block may have left too few words of another.
+    The first alignment is anchored on lines that occur once on both sides. Common windows that
+    it has not covered are the anchors of further ones: the n-th of equal windows meets the
+    n-th, or else the last; anchors in another order, as those of moved passages, fall into
+    several increasing chains, and each chain is aligned. Windows that blocks cover in part
+    are anchors again, until no common window is left.
     """
-    left: list[int | None] = list(later)
-    numbered = False
-    while True:
-        blocks = align(left, earlier, ids, earlier_ids) if numbered else align(left, earlier)
-        found = [b for b in blocks if sum(words[b[0]:b[0] + b[2]]) >= min_words]
-        for start, _, length in found:
-            left[start:start + length] = [None] * length
-        if not found and numbered:
-            break
-        numbered = numbered or not found
+    covered = bytearray(len(later))
+
+    def take(blocks: Sequence[tuple[int, int, int]]) -> None:
+        for start, _, n in blocks:
+            if sum(words[start:start + n]) >= min_words:
+                covered[start:start + n] = b"\x01" * n
+
+    take(align(later, earlier))
     known = dict(zip(later, words))  # a line the later document lacks ends any window
-    there = {id_ for id_, _, _ in windows(earlier, [known.get(line, min_words) if line else 0 for line in earlier], min_words)}
-    spans = [(first, last) for id_, first, last in windows(later, words, min_words) if id_ in there]
-    return sorted({place for place, line in enumerate(left) if line is None}.union(covered(spans)))
-
-
-def covered(spans: Sequence[tuple[int, int]]) -> list[int]:
-    """The places from first to last of any span, each once."""
-    out: list[int] = []
-    free = 0
-    for first, last in sorted(spans):
-        out += range(max(first, free), last + 1)
-        free = max(free, last + 1)
-    return out
+    there: dict[int, list[int]] = {}
+    for id_, first, _ in sorted(windows(earlier, [known.get(line, min_words) if line else 0 for line in earlier], min_words), key=lambda w: w[1]):
+        there.setdefault(id_, []).append(first)
+    seen: dict[int, int] = {}
+    left = []
+    for first, last, id_ in sorted((first, last, id_) for id_, first, last in windows(later, words, min_words) if id_ in there):
+        places, n = there[id_], seen.get(id_, 0)
+        seen[id_] = n + 1
+        left.append((first, last, places[min(n, len(places) - 1)]))
+    before = -1
+    while before != sum(covered):
+        before = sum(covered)
+        left = [window for window in left if 0 in covered[window[0]:window[1] + 1]]
+        anchors: dict[int, int] = {}
+        for first, _, partner in left:
+            anchors.setdefault(first, partner)
+        for chain in increasing_chains(list(anchors.items())):
+            take(align(later, earlier, chain))
+    return [place for place, gone in enumerate(covered) if gone]
+
+
+def increasing_chains(anchors: Sequence[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The fewest chains of increasing second places that hold all anchors, by patience sorting."""
+    tails: list[int] = []  # ascending, the last place of the chain at the same position
+    chains: list[list[tuple[int, int]]] = []
+    for a, b in anchors:
+        at = bisect.bisect_left(tails, b) - 1
+        if at < 0:
+            tails.insert(0, b)
+            chains.insert(0, [(a, b)])
+        else:
+            tails[at] = b
+            chains[at].append((a, b))
+    return chains
 
 
 def document_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
@@ -227,13 +242,20 @@ def _aligned(pairs: DataFrame, min_words: int) -> DataFrame:
     return map_batches(pairs, run, "key bigint, deleted array<int>")
 
 
-def _covered(spans: DataFrame) -> DataFrame:
+def _uncovered(held: DataFrame) -> DataFrame:
+    """(key, owner) of rows whose spans the deleted lines do not cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [covered([(s["first"], s["last"]) for s in held]) for held in batch.column("spans").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.int32()))], names=["key", "deleted"])
+            keep = []
+            for spans, deleted in zip(batch.column("spans").to_pylist(), batch.column("deleted").to_pylist()):
+                covered = bytearray(max(s["last"] for s in spans) + 1)
+                for place in deleted or ():
+                    if place < len(covered):
+                        covered[place] = 1
+                keep.append(any(0 in covered[s["first"]:s["last"] + 1] for s in spans))
+            yield batch.select(["key", "owner"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(spans, run, "key bigint, deleted array<int>")
+    return map_batches(held.select("key", "owner", "spans", "deleted"), run, "key bigint, owner bigint")
 
 
 def lines_to_delete(docs: DataFrame, rare: int = RARE, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
@@ -250,13 +272,19 @@ def lines_to_delete(docs: DataFrame, rare: int = RARE, min_words: int = MIN_BLOC
     holders = stored(holders, "holders")
     held = places.select("key", "id", "first", "last").join(holders, "id").where("key != owner")
 
-    pairs = held.where(F.col("n") <= rare).select("key", "owner").distinct()
-    pairs = pairs.join(lines.select("key", "hashes", "words", "ids"), "key").join(
-        lines.select(F.col("key").alias("owner"), F.col("hashes").alias("earlier"), F.col("ids").alias("earlier_ids")), "owner"
-    ).select("key", "hashes", "words", "ids", "earlier", "earlier_ids")
-    spans = held.where(F.col("n") > rare).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    deleted = _aligned(pairs, min_words).unionByName(_covered(spans)).where(F.size("deleted") > 0)
-    return deleted.groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("deleted")))).alias("deleted"))
+    def aligned(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(lines.select("key", "hashes", "words", "ids"), "key").join(
+            lines.select(F.col("key").alias("owner"), F.col("hashes").alias("earlier"), F.col("ids").alias("earlier_ids")), "owner"
+        ).select("key", "hashes", "words", "ids", "earlier", "earlier_ids")
+        found = _aligned(met, min_words).where(F.size("deleted") > 0)
+        return found.groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("deleted")))).alias("deleted"))
+
+    first = stored(aligned(held.where(F.col("n") <= rare).select("key", "owner").distinct()), "aligned")
+    common = held.where(F.col("n") > rare).groupBy("key", "owner").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    # Written first, so that the join may split the documents that meet one owner.
+    left = stored(_uncovered(common.join(first, "key", "left")), "uncovered")
+    both = first.unionByName(aligned(left))
+    return both.groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("deleted")))).alias("deleted"))
 
 
 def _without(texts: pd.Series, deleted: pd.Series) -> pd.Series:

@@ -242,6 +242,44 @@ def test_with_no_least_size_every_common_line_goes(later, earlier):
     assert gone == [i for i, line in enumerate(later) if line in set(earlier)]
 
 
+def test_every_deletion_comes_from_an_alignment(monkeypatch):
+    lines, words = [11, 12, 13, 14], [5, 5, 5, 5]
+    assert line_dedup.deleted_lines(lines, words, lines, [1, *lines], [1, *lines], 5) == [0, 1, 2, 3]
+    monkeypatch.setattr(line_dedup, "align", lambda *_: [])
+    assert line_dedup.deleted_lines(lines, words, lines, [1, *lines], [1, *lines], 5) == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 5)), max_size=14), st.lists(st.tuples(st.integers(0, 6), st.integers(0, 5)), max_size=14))
+def test_alignments_cover_all_common_blocks(later, earlier):
+    """Lines (content, words) with many repeats, blank ones included, against a search of all runs."""
+    size = {line: 1 + line % 4 for line in range(1, 7)} | {0: 0}
+    a, b = [line for line, _ in later], [line for line, _ in earlier]
+    gone = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(size[line] for line in a[i:i + n]) >= 5:
+                gone |= set(range(i, i + n))
+    assert line_dedup.deleted_lines(a, [size[line] for line in a], a, b, b, 5) == sorted(gone)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=30))
+def test_chains_increase_and_hold_all(places):
+    anchors = list(enumerate(places))
+    chains = line_dedup.increasing_chains(anchors)
+    assert sorted(x for chain in chains for x in chain) == anchors
+    assert all(x[1] < y[1] and x[0] < y[0] for chain in chains for x, y in zip(chain, chain[1:]))
+    # As few chains as the longest run that never increases is long.
+    longest = [1] * len(places)
+    for i, place in enumerate(places):
+        longest[i] = 1 + max((longest[j] for j in range(i) if places[j] >= place), default=0)
+    assert len(chains) == max(longest, default=0)
+
+
 # --- sharding ----------------------------------------------------------------------
 
 def assert_law(rows, docs, n_shards):
