@@ -1,15 +1,20 @@
 """Language identification: averaged embeddings of hashed subwords under a linear softmax.
 
 Subwords are runs of three to five bytes of the lower-cased letters of a word. The model is
-trained by stochastic gradient descent in numpy on a bounded sample of labelled documents;
-a temperature fitted on labelled documents outside that training set calibrates the score,
-and a document whose score is below the calibrated threshold is rejected. Since the
-softmax is linear in the average, prediction needs one table of scores per bucket and
+trained by stochastic gradient descent in numpy on a bounded sample of labelled documents.
+Since the softmax is linear in the average, prediction needs one table of scores per bucket and
 language, which is what is broadcast.
+
+A softmax is as sure of a text in none of its languages as of one in any, so the score also
+looks at how typical the text's subwords are of the predicted language. A logistic function of
+typicality and margin is fitted on labelled documents outside the training set: right predictions
+against their letters shuffled, and against the same documents with their language left out.
+The score is its value; a document below the calibrated threshold is rejected.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,6 +29,8 @@ from govlake.llm.common import BLOCK_BYTES, map_batches, own_columns
 UNKNOWN = "und"
 # Labelled documents per language that training and calibration may see.
 ROWS_PER_LANGUAGE = 800
+# Remainder of the id's checksum by 4 that is kept out of training and calibrates.
+CALIBRATION = 3
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 SIZES = (3, 4, 5)
@@ -31,6 +38,11 @@ EPOCHS = 12
 RATE = 2.0
 # Share of rightly predicted calibration documents that the threshold may reject.
 REJECTED_SHARE = 0.001
+# Subwords of a document that count towards what is typical; mass of a bucket never seen.
+TYPICAL_SUBWORDS = 2000
+UNSEEN = 0.1
+# Penalty on the weights of the calibration, for samples that it separates without an error.
+RIDGE = 0.01
 
 _NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
@@ -71,19 +83,23 @@ def subwords(words: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.
 def segments(texts: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Texts joined into blocks of about ``BLOCK_BYTES``: bytes, text numbers, where they begin.
 
-    A longer text is cut between words into several segments.
+    A longer text is cut between words into several segments, never inside a word.
     """
     held, numbers, size = [], [], 0
     for number, text in enumerate(texts):
-        while text:
-            cut = len(text) if len(text) <= BLOCK_BYTES else text.rfind(b" ", 1, BLOCK_BYTES) + 1 or BLOCK_BYTES
-            piece, text = text[:cut], text[cut - 1:] if cut < len(text) else b""
+        start = 0
+        while start < len(text):
+            end = len(text)
+            if end - start > BLOCK_BYTES:
+                end = (text.rfind(b" ", start + 1, start + BLOCK_BYTES) + 1) or (text.find(b" ", start + BLOCK_BYTES) + 1)
+            piece = text[start:end]
             if held and size + len(piece) > BLOCK_BYTES:
                 yield _block(held, numbers)
                 held, numbers, size = [], [], 0
             held.append(piece)
             numbers.append(number)
             size += len(piece)
+            start = end - 1 if end < len(text) else end  # the space is around both words
     if held:
         yield _block(held, numbers)
 
@@ -93,13 +109,27 @@ def _block(held: list[bytes], numbers: list[int]) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(b"".join(held), np.uint8), np.array(numbers), starts
 
 
+def shuffled(text: bytes) -> bytes:
+    """Words of the same lengths from the same letters in another order, the same for equal texts."""
+    places = list(text.decode())
+    at = [i for i, letter in enumerate(places) if letter != " "]
+    order = np.random.default_rng(zlib.crc32(text)).permutation(len(at))
+    moved = [places[at[i]] for i in order]
+    for i, letter in zip(at, moved):
+        places[i] = letter
+    return "".join(places).encode()
+
+
 @dataclass(frozen=True)
 class Model:
-    """``table`` holds the score of each bucket and language, bias included in the average."""
+    """``table`` holds the score of each bucket and language, bias included in the average;
+    ``typical`` how much likelier a bucket is in a language than by chance, as a logarithm;
+    ``weights`` are those of constant, typicality and margin."""
 
     languages: tuple[str, ...]
     table: np.ndarray
-    temperature: float
+    typical: np.ndarray
+    weights: np.ndarray
     threshold: float
 
     def predict(self, texts: Sequence[str | None]) -> tuple[list[str], list[float]]:
@@ -107,44 +137,93 @@ class Model:
         n_languages = len(self.languages)
         if not n_languages:
             return [UNKNOWN] * len(plain), [0.0] * len(plain)
-        sums, counts = np.zeros((len(plain), n_languages)), np.zeros(len(plain))
+        both = np.concatenate([self.table, self.typical], axis=1)
+        sums, counts = np.zeros((len(plain), 2 * n_languages)), np.zeros(len(plain))
         for block, numbers, starts in segments(plain):
             bucket, at = subwords(block, len(self.table))
             owner = numbers[np.searchsorted(starts, at, side="right") - 1]
             counts += np.bincount(owner, minlength=len(plain))
-            for k in range(n_languages):
-                sums[:, k] += np.bincount(owner, weights=self.table[:, k][bucket], minlength=len(plain))
-        logits = sums / np.maximum(counts, 1)[:, None] / self.temperature
-        shares = _softmax(logits)
-        best = shares.argmax(1)
+            for k in range(2 * n_languages):
+                sums[:, k] += np.bincount(owner, weights=both[:, k][bucket], minlength=len(plain))
+        means = sums / np.maximum(counts, 1)[:, None]
+        best, features = evidence(means[:, :n_languages], means[:, n_languages:])
+        scores = _sigmoid(features @ self.weights)
         known = [bool(p) for p in plain]
         return (
             [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, known)],
-            [float(shares[i, b]) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, known))],
+            [float(score) if ok else 0.0 for score, ok in zip(scores, known)],
         )
 
     def rejects(self, language: str, score: float) -> bool:
         return language == UNKNOWN or score < self.threshold
 
 
+def evidence(logits: np.ndarray, typicality: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best language of each row, and the features of its score: constant, typicality and margin."""
+    best = logits.argmax(1)
+    rows = np.arange(len(logits))
+    others = logits.copy()
+    others[rows, best] = -np.inf
+    second = others.max(1) if logits.shape[1] > 1 else logits[rows, best]
+    margin = logits[rows, best] - np.where(np.isfinite(second), second, logits[rows, best])
+    return best, np.stack([np.ones(len(logits)), typicality[rows, best], margin], axis=1)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
     raised = np.exp(logits - logits.max(axis=-1, keepdims=True))
     return raised / raised.sum(axis=-1, keepdims=True)
 
 
-def fit(samples: Sequence[tuple[np.ndarray, np.ndarray, str, bool]], buckets: int = BUCKETS, seed: int = 7) -> Model:
-    """Train on (buckets, counts, language, for_calibration) rows."""
+def typicality(rows: Sequence[tuple], n_languages: int, buckets: int) -> np.ndarray:
+    """log of each bucket's share in each language over an even share, from (buckets, shares, language, n) rows."""
+    seen = np.full((buckets, n_languages), UNSEEN)
+    for bucket, share, language, n in rows:
+        np.add.at(seen[:, language], bucket, share * min(n, TYPICAL_SUBWORDS))
+    return np.log(seen / seen.sum(0) * buckets)
+
+
+def calibrate(right: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+    """Weights of a logistic function that tells the features of right from wrong rows, both kinds
+    with half of the weight, by Newton's method."""
+    if not len(right) or not len(wrong):
+        return np.array([0.0, 1.0, 0.0])
+    rows = np.concatenate([right, wrong])
+    target = np.repeat([1.0, 0.0], [len(right), len(wrong)])
+    share = np.repeat([0.5 / len(right), 0.5 / len(wrong)], [len(right), len(wrong)])
+    middle, spread = rows.mean(0), np.maximum(rows.std(0), 1e-9)
+    middle[0], spread[0] = 0.0, 1.0
+    rows = (rows - middle) / spread
+    penalty = RIDGE * np.diag([1e-6, 1.0, 1.0])
+    weights = np.zeros(3)
+    for _ in range(50):
+        guess = _sigmoid(rows @ weights)
+        slope = rows.T @ (share * (guess - target)) + penalty @ weights
+        curve = (rows * (share * guess * (1 - guess))[:, None]).T @ rows + penalty
+        weights -= np.linalg.solve(curve, slope)
+    plain = weights / spread
+    plain[0] -= (plain[1:] * middle[1:]).sum()
+    return plain
+
+
+def fit(samples: Sequence[tuple[np.ndarray, np.ndarray, str, bool]], nonsense: Sequence[tuple[np.ndarray, np.ndarray]] = (),
+        buckets: int = BUCKETS, seed: int = 7) -> Model:
+    """Train on (buckets, counts, language, for_calibration) rows; ``nonsense`` are (buckets, counts)
+    of texts in no language."""
     languages = tuple(sorted({language for _, _, language, _ in samples}))
     if not languages:
-        return Model((), np.zeros((buckets, 0)), 1.0, 0.0)
+        return Model((), np.zeros((buckets, 0)), np.zeros((buckets, 0)), np.array([0.0, 1.0, 0.0]), 0.0)
     index = {language: k for k, language in enumerate(languages)}
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (buckets, DIMENSIONS)).astype(np.float32)
     weights = np.zeros((DIMENSIONS, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
-    rows = [(b, (c / c.sum()).astype(np.float32), index[lang], held) for b, c, lang, held in samples if len(b)]
-    train = [row for row in rows if not row[3]] or rows
-    held = [row for row in rows if row[3]] or train
+    rows = [(b, (c / c.sum()).astype(np.float32), index[lang], c.sum(), held) for b, c, lang, held in samples if len(b)]
+    train = [row[:4] for row in rows if not row[4]] or [row[:4] for row in rows]
+    held = [row[:4] for row in rows if row[4]] or train
     for epoch in range(EPOCHS):
         rate = np.float32(RATE * (1 - epoch / EPOCHS))
         for i in rng.permutation(len(train)):
@@ -156,20 +235,29 @@ def fit(samples: Sequence[tuple[np.ndarray, np.ndarray, str, bool]], buckets: in
             weights -= rate * np.outer(mean, error)
             bias -= rate * error
             vectors[bucket] -= (rate * share)[:, None] * push
-    table = vectors @ weights + bias
+    table = (vectors @ weights + bias).astype(np.float64)
+    typical = typicality(train, len(languages), buckets)
+
+    def means(part: Sequence[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.array([share @ of[bucket] for bucket, share, *_ in part]).reshape(len(part), -1) for of in (table, typical))
+
     if not held:
-        return Model(languages, table, 1.0, 0.0)
-    logits = np.array([share @ table[bucket] for bucket, share, _, _ in held])
+        return Model(languages, table, typical, calibrate(np.empty((0, 3)), np.empty((0, 3))), 0.0)
+    logits, typed = means(held)
     targets = np.array([target for _, _, target, _ in held])
-    grid = np.geomspace(0.05, 20, 60)
-    losses = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(targets)), targets], 1e-12)).mean() for t in grid]
-    temperature = float(grid[int(np.argmin(losses))])
-    shares = _softmax(logits / temperature)
-    right = shares.argmax(1) == targets
-    scores = shares.max(1)[right]
-    # Never above a plain majority, so that an easy calibration set doesn't reject short texts.
+    best, features = evidence(logits, typed)
+    right = features[best == targets]
+    wrong = [features[best != targets]]
+    if len(languages) > 1:  # the same documents where their language is not known
+        logits[np.arange(len(targets)), targets] = -np.inf
+        wrong.append(evidence(logits, typed)[1])
+    strange = [(b, c / c.sum()) for b, c in nonsense if len(b)]
+    if strange:
+        wrong.append(evidence(*means(strange))[1])
+    calibration = calibrate(right, np.concatenate(wrong))
+    scores = _sigmoid(right @ calibration)
     threshold = float(min(np.quantile(scores, REJECTED_SHARE), 0.5)) if len(scores) else 0.0
-    return Model(languages, table, temperature, threshold)
+    return Model(languages, table, typical, calibration, threshold)
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
@@ -178,7 +266,8 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     Only documents whose crc32(doc_id) mod 4 is not 2 and whose language is known are looked
     at: remainder 3 calibrates, the others train. About ``rows_per_language`` of each
     language are taken, chosen by a hash of the id; the sample comes to the driver as
-    subword counts, so what is collected is bounded by that number, not by the table.
+    counts of at most ``BUCKETS`` subwords a document (256 kB, twice that where it calibrates),
+    so what is collected is bounded by the number of languages, not by the table or its texts.
     """
     rows = own_columns(docs, "doc_id", "lang", "text").withColumn("part", F.crc32(F.col("doc_id").cast("string")) % 4)
     rows = rows.where("lang is not null and doc_id is not null and part != 2")
@@ -192,23 +281,23 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            features = []
-            for text in batch.column("text").to_pylist():
-                found = [subwords(block)[0] for block, _, _ in segments([letters(text)])]
-                features.append(np.unique(np.concatenate(found), return_counts=True) if found else ([], []))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("part"),
-                 *[pa.array([f[i] for f in features], pa.list_(pa.int32())) for i in (0, 1)]],
-                names=["lang", "part", "bucket", "n"],
-            )
+            rows = []
+            for text, lang, part in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "part"))):
+                plain = letters(text)
+                for words, of in [(plain, lang)] + [(shuffled(plain), None)] * (part == CALIBRATION):
+                    found = [subwords(block)[0] for block, _, _ in segments([words])]
+                    rows.append((of, part, *(np.unique(np.concatenate(found), return_counts=True) if found else ([], []))))
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["lang", "part", "bucket", "n"])
 
     counted = map_batches(sample.select("text", "lang", "part"), count, "lang string, part bigint, bucket array<int>, n array<int>")
-    samples = [
-        (np.array(r["bucket"], np.int32), np.array(r["n"], np.int32), r["lang"], r["part"] == 3)
+    found = [
+        (np.array(r["bucket"], np.int32), np.array(r["n"], np.int32), r["lang"], r["part"] == CALIBRATION)
         for r in counted.toLocalIterator()
     ]
-    samples.sort(key=lambda s: (s[2], len(s[0]), s[0].tobytes()))
-    return fit(samples)
+    found.sort(key=lambda s: (s[2] or "", len(s[0]), s[0].tobytes()))
+    return fit([s for s in found if s[2] is not None], [s[:2] for s in found if s[2] is None])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -236,7 +325,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents the model does not reject, with all their columns."""
+    """The documents the model does not reject, with all their columns.
+
+    Null texts, texts without a letter and texts that are typical of no learned language go;
+    repeated rows are judged alike. An empty table stays empty, and a model that has seen no
+    language keeps nothing.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

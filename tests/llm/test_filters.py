@@ -92,12 +92,81 @@ def test_language_learns_only_from_allowed_rows(spark):
     assert one.languages == two.languages == ("xx", "yy") and np.array_equal(one.table, two.table)
 
 
+def verdicts(model, texts):
+    languages, scores = model.predict(texts)
+    return np.array([model.rejects(*pair) for pair in zip(languages, scores)]), languages
+
+
+def test_rejection_rejects_what_is_in_no_language(spark):
+    """Held-out documents pass; shuffled letters, other scripts and languages left out do not."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs)
+    held = [r for r in docs.where("crc32(cast(doc_id as string)) % 4 = 2").collect() if language_id.letters(r["text"])]
+    rejected, languages = verdicts(model, [r["text"] for r in held])
+    right = np.array([r["lang"] == found for r, found in zip(held, languages)])
+    assert right.mean() > 0.97 and rejected[right].mean() <= 0.02
+    shuffled, _ = verdicts(model, [language_id.shuffled(language_id.letters(r["text"])).decode() for r in held])
+    assert shuffled.mean() >= 0.9
+    foreign = ["Съешь ещё этих мягких французских булок, да выпей чаю", "いろはにほへと ちりぬるを わかよたれそ", "hyvää huomenta kaikille ystäville täällä tänään",
+               "bugün hava çok güzel ve biz dışarıda yürüyoruz", "dzień dobry wszystkim przyjaciołom których tutaj widzę"]
+    assert verdicts(model, foreign)[0].all()
+    for lang in ("de", "en"):
+        without = language_id.train(docs.where(F.col("lang") != lang))
+        left_out, _ = verdicts(without, [r["text"] for r in held if r["lang"] == lang])
+        kept, _ = verdicts(without, [r["text"] for r in held if r["lang"] != lang])
+        assert left_out.mean() >= 0.9 and kept.mean() <= 0.05
+
+
+def plain_subwords(text):
+    """Buckets of the runs of 3 to 5 bytes of each word with its spaces, one by one."""
+    out = []
+    for word in language_id.letters(text).split():
+        data = b" " + word + b" "
+        for size in (3, 4, 5):
+            for i in range(len(data) - size + 1):
+                code = data[i]
+                for byte in data[i + 1:i + size]:
+                    code = (code * 0x01000193 + byte + 1) % (1 << 32)
+                out.append((code * 0x9E3779B1 % (1 << 32)) >> 17)
+    return out
+
+
+def test_prediction_equals_a_plain_version(spark, sf_dir, monkeypatch):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs)
+    texts = [r["text"] for r in docs.limit(40).collect()] + ["a", "x" * 400 + " yes", "été à la plage", None, "12 !"]
+    monkeypatch.setattr(language_id, "BLOCK_BYTES", 300)
+    for text, language, score in zip(texts, *model.predict(texts)):
+        found = plain_subwords(text)
+        if not found:
+            assert (language, score) == ("und", 0.0)
+            continue
+        logits, typical = (np.array([sum(of[b, k] for b in found) / len(found) for k in range(len(model.languages))]) for of in (model.table, model.typical))
+        best = int(logits.argmax())
+        margin = logits[best] - max(logits[k] for k in range(len(logits)) if k != best)
+        z = model.weights[0] + model.weights[1] * typical[best] + model.weights[2] * margin
+        assert language == model.languages[best] and score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_calibration_finds_the_better_weights():
+    rng = np.random.default_rng(4)
+    right, wrong = (np.c_[np.ones(400), rng.normal(m, 1, 400), rng.normal(0, 1, 400)] for m in (1, -1))
+    weights = language_id.calibrate(right, wrong)
+    assert weights[1] == pytest.approx(2, abs=0.5) and abs(weights[2]) < 0.4 and abs(weights[0]) < 0.4
+    assert np.isfinite(language_id.calibrate(right + [0, 50, 0], wrong)).all()
+
+
 def test_subwords_of_cut_texts_are_those_of_the_whole(monkeypatch):
     text = language_id.letters(prose(7, 3000))
     whole = np.sort(language_id.subwords(np.frombuffer(text, np.uint8))[0])
     monkeypatch.setattr(language_id, "BLOCK_BYTES", 500)
     cut = np.sort(np.concatenate([language_id.subwords(b)[0] for b, _, _ in language_id.segments([text])]))
     assert np.array_equal(whole, cut)
+    for words in ("x" * 1700, "ab " + "y" * 900 + " cd " + "z" * 501 + " e", "z" * 499, "z" * 498 + " " + "q" * 498):
+        text = language_id.letters(words)
+        whole = np.sort(language_id.subwords(np.frombuffer(text, np.uint8))[0])
+        cut = np.sort(np.concatenate([language_id.subwords(b)[0] for b, _, _ in language_id.segments([text])]))
+        assert np.array_equal(whole, cut)
 
 
 # --- decontamination ---------------------------------------------------------------
