@@ -13,6 +13,7 @@ narrowing the bin that holds it, so no task sorts the corpus.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -46,16 +47,23 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse for a block, and which bytes are white space."""
     gap = np.zeros(256, bool)
     gap[[9, 10, 11, 12, 13, 32]] = True
-    return _powers(2 * BLOCK_BYTES, _BASE), _powers(2 * BLOCK_BYTES, pow(_BASE, -1, 1 << 64)), gap
+    return (*_power_pair(2 * BLOCK_BYTES), gap)
 
 
-def grams(block: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def _power_pair(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(n, _BASE), _powers(n, pow(_BASE, -1, 1 << 64))
+
+
+def grams(block: np.ndarray, starts: np.ndarray, carried: np.ndarray | None = None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the one- and two-word grams of texts joined in a block, and their text numbers.
 
-    Texts begin at ``starts`` and are set apart by white space. A word's hash is a polynomial
-    in its bytes, taken from the difference of two running sums.
+    Texts begin at ``starts`` and are set apart by white space. The first word of a ``carried``
+    text was counted with the piece before; it is there for the two-word gram alone. A word's
+    hash is a polynomial in its bytes, taken from the difference of two running sums.
     """
     forward, backward, is_gap = worker_memory("gram tables", _tables)
+    if len(block) > len(forward):  # a word longer than a block
+        forward, backward = _power_pair(len(block))
     gap = is_gap[block]
     edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
     first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -67,37 +75,56 @@ def grams(block: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> tupl
     owner = np.searchsorted(starts, first, side="right") - 1
     pair = word[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (word[1:] + np.uint64(0x7F4A7C15))
     same = owner[1:] == owner[:-1]
-    hashed = np.concatenate([word, pair[same]]) * np.uint64(0xD6E8FEB86659FD93)
+    own = np.ones(len(word), bool)
+    if carried is not None:
+        own = ~(np.concatenate([[True], ~same]) & carried[owner])
+    hashed = np.concatenate([word[own], pair[same]]) * np.uint64(0xD6E8FEB86659FD93)
     shift = np.uint64(64 - buckets.bit_length() + 1)
-    return (hashed >> shift).astype(np.int64), np.concatenate([owner, owner[1:][same]])
+    return (hashed >> shift).astype(np.int64), np.concatenate([owner[own], owner[1:][same]])
+
+
+_GAPS = b"\t\n\x0b\x0c\r "
+_GAP = re.compile(rb"[\t-\r ]")
+
+
+def pieces(text: bytes) -> Iterator[tuple[bytes, bool]]:
+    """A text in pieces of about ``BLOCK_BYTES``, cut at white space; every piece but the first
+    begins with the last word before it, which is marked."""
+    start = end = 0
+    while end < len(text):
+        gap = _GAP.search(text, end + BLOCK_BYTES)
+        cut = gap.start() if gap else len(text)
+        yield text[start:cut], start < end
+        words = text[start:cut].rstrip(_GAPS)
+        # White space alone leaves no word to carry.
+        start = start + 1 + max(words.rfind(bytes([c])) for c in _GAPS) if words else cut
+        end = cut
 
 
-def blocks(texts: Sequence[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts joined to blocks of bounded size: bytes, starts, text numbers.
+def blocks(texts: Sequence[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts joined to blocks of bounded size: bytes, starts, text numbers, whether the first word is carried.
 
-    A text longer than a block is cut between words; no two-word gram spans a cut.
+    A text longer than a block comes in pieces that share a word, so grams are those of the
+    whole text; only a word longer than a block makes a longer one.
     """
-    held, numbers, size = [], [], 0
+    held: list[bytes] = []
+    numbers, carried, size = [], [], 0
     for number, text in enumerate(texts):
-        text = text or b""
-        while text:
-            cut = len(text)
-            if cut > BLOCK_BYTES:
-                cut = max(text.rfind(b" ", 0, BLOCK_BYTES), text.rfind(b"\n", 0, BLOCK_BYTES)) + 1 or BLOCK_BYTES
-            if held and size + cut > BLOCK_BYTES:
-                yield _joined(held, numbers)
-                held, numbers, size = [], [], 0
-            held.append(text[:cut])
+        for piece, again in pieces(text or b""):
+            if held and size + len(piece) > BLOCK_BYTES:
+                yield _joined(held, numbers, carried)
+                held, numbers, carried, size = [], [], [], 0
+            held.append(piece)
             numbers.append(number)
-            size += cut + 1
-            text = text[cut:]
+            carried.append(again)
+            size += len(piece) + 1
     if held:
-        yield _joined(held, numbers)
+        yield _joined(held, numbers, carried)
 
 
-def _joined(held: list[bytes], numbers: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(held: list[bytes], numbers: list[int], carried: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts = np.cumsum([0, *[len(t) + 1 for t in held]])[:-1]
-    return np.frombuffer(b" ".join(held), np.uint8), starts, np.array(numbers)
+    return np.frombuffer(b" ".join(held), np.uint8), starts, np.array(numbers), np.array(carried, bool)
 
 
 def model_counts(docs: DataFrame, target_ids: Sequence, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +136,8 @@ def model_counts(docs: DataFrame, target_ids: Sequence, buckets: int = BUCKETS)
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
             good = np.array([i in wanted.value for i in batch.column("doc_id").to_pylist()], bool)
-            for block, starts, numbers in blocks(utf8(batch.column("text"))):
-                found, owner = grams(block, starts, buckets)
+            for block, starts, numbers, carried in blocks(utf8(batch.column("text"))):
+                found, owner = grams(block, starts, carried, buckets)
                 raw += np.bincount(found, minlength=buckets)
                 target += np.bincount(found[good[numbers[owner]]], minlength=buckets)
         used = np.flatnonzero(raw)
@@ -149,8 +176,8 @@ def importance(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
         table = shipped.value
         for batch in batches:
             counts, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for block, starts, numbers in blocks(utf8(batch.column("text"))):
-                found, owner = grams(block, starts, len(table))
+            for block, starts, numbers, carried in blocks(utf8(batch.column("text"))):
+                found, owner = grams(block, starts, carried, len(table))
                 text = numbers[owner]
                 counts += np.bincount(text, minlength=batch.num_rows)
                 sums += np.bincount(text, weights=table[found], minlength=batch.num_rows)

@@ -305,6 +305,29 @@ def test_importance_equals_plain_counts(spark, no_docs, awkward):
     assert importance.resample(awkward, labels.limit(0)).where("log_importance != 0").count() == 0
 
 
+GAPS = st.sampled_from([" ", "\t", "\n", "  ", " \t\r ", "\x0b\x0c", " " * 30])
+PIECES = st.lists(st.one_of(GAPS, st.text(alphabet="abé\x00\x1c", min_size=1, max_size=40)), max_size=60).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, max_size=4), st.sampled_from([1, 7, 16, 64]))
+def test_grams_do_not_depend_on_the_block_size(texts, size):
+    """Texts and words longer than a block, cut at any white space, against the whole text."""
+    def all_grams(block_bytes):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(importance, "BLOCK_BYTES", block_bytes)
+            out = [[] for _ in texts]
+            for block, starts, numbers, carried in importance.blocks([t.encode() for t in texts]):
+                found, owner = importance.grams(block, starts, carried)
+                for bucket, text in zip(found.tolist(), numbers[owner].tolist()):
+                    out[text].append(bucket)
+        return [sorted(found) for found in out]
+
+    whole = all_grams(1 << 18)
+    assert all_grams(size) == whole
+    assert [len(found) for found in whole] == [max(0, 2 * len(t.encode().split()) - 1) for t in texts]
+
+
 def test_threshold_narrows_to_the_kth_key(spark, monkeypatch):
     monkeypatch.setattr(importance, "SORTED_ROWS", 3)
     monkeypatch.setattr(importance, "BINS", 4)
