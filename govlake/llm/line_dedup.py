@@ -261,7 +261,8 @@ def _uncovered(held: DataFrame) -> DataFrame:
 def lines_to_delete(docs: DataFrame, rare: int = RARE, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(key, deleted): sorted positions of the lines to delete, for documents that have any."""
     stored_lines = stored(document_lines(docs, min_words), "lines")
-    lines = stored_lines.dropDuplicates(["key"])
+    # Written too, so that the joins with lines may split an owner or a document of very many pairs.
+    lines = stored(stored_lines.select("key", "hashes", "words", "ids").dropDuplicates(["key"]), "distinct-lines")
     places = stored_lines.select("doc_id", "key", F.explode(F.arrays_zip(F.col("windows").alias("id"), "first", "last")).alias("at"))
     places = places.select("doc_id", "key", "at.*")
     # Repeated rows of a document are one holder: their windows are equal.
