@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from govlake.functions.limit_buckets import FRESH, Bucket, Table
 from govlake.functions.limiter import MICROS, fold_sorted
 from govlake.operators.ordered import time_bucket
+from govlake.operators.sizing import settled
 from govlake.policy import DEFAULT_RATE_WINDOWS, RateWindow
 
 KEYS = ("user_id", "ability_id")
@@ -55,6 +59,64 @@ def fold_ticks(ticks: DataFrame, windows: Sequence[RateWindow]) -> DataFrame:
     return ordered.mapInArrow(lambda batches: fold_sorted(batches, KEYS, pairs), schema)
 
 
+# Length of a bucket in times to live: what can enter a bucket is a small part of its ticks.
+BUCKET_TTLS = 16
+KEY_SCHEMA = "user_id BIGINT, ability_id STRING"
+
+
+def fold_buckets(ticks: DataFrame, windows: Sequence[RateWindow], bucket_ttls: int = BUCKET_TTLS) -> DataFrame:
+    """The result of ``fold_ticks``, with every key cut into buckets of time that are folded apart.
+
+    What passes a window doesn't depend on the windows after it, so they are taken one after
+    the other. For each, a task turns a bucket into the table of its counter's transitions, a
+    second chains the tables of a key (a lookup for each bucket), and a third decides a bucket
+    from the counter that enters it. Only the short tables of a key ever meet in one task.
+    """
+    start = ticks.select(*KEYS, "tick", "requests", F.col("requests").alias("left"), F.array().cast("array<bigint>").alias("passed"))
+    at = settled(start, "ticks")
+    for window in enabled(windows):
+        at = settled(_fold_window(at, window.ttl_seconds * MICROS, window.limit, bucket_ttls), "decided")
+    return at.select(*KEYS, "tick", "requests", "passed")
+
+
+def _fold_window(at: DataFrame, ttl: int, limit: int, bucket_ttls: int) -> DataFrame:
+    """Rows of ticks with what passes one more window; ``left`` is what has passed those before."""
+    keys, width = list(KEYS), bucket_ttls * ttl
+    bucketed = at.withColumn("bucket", F.floor(F.col("tick") / F.lit(width)))
+    arrays = ["times", "time_counts", "time_expires", "count_counts", "count_expires"]
+
+    def table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("tick")
+        made = Bucket(rows["tick"].to_numpy(), rows["left"].to_numpy(), ttl, limit).table(key[-1] * width)
+        return pd.DataFrame([(*key, *(getattr(made, name) for name in arrays))], columns=[*keys, "bucket", *arrays])
+
+    def chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        entering, out = FRESH, []
+        for bucket, *found in rows.sort_values("bucket")[["bucket", *arrays]].itertuples(index=False):
+            out.append((*key, bucket, *entering))
+            entering = Table(*map(np.asarray, found)).leave(*entering, limit)
+        return pd.DataFrame(out, columns=[*keys, "bucket", "count", "expires"])
+
+    def decide(rows: pd.DataFrame, entering: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("tick")
+        asked = rows["left"].to_numpy()
+        passed = np.zeros(len(rows), np.int64)
+        some = asked > 0
+        if some.any():
+            count, expires = int(entering["count"].iloc[0]), int(entering["expires"].iloc[0])
+            passed[some] = Bucket(rows["tick"].to_numpy()[some], asked[some], ttl, limit).passed(count, expires)
+        rows["passed"] = [[*before, n] for before, n in zip(rows["passed"], passed.tolist())]
+        rows["left"] = passed
+        return rows[[*keys, "tick", "requests", "left", "passed"]]
+
+    lists = ", ".join(f"{name} ARRAY<BIGINT>" for name in arrays)
+    asking = bucketed.where("left > 0").select(*keys, "bucket", "tick", "left")
+    tables = asking.groupBy(*keys, "bucket").applyInPandas(table, f"{KEY_SCHEMA}, bucket BIGINT, {lists}")
+    entries = tables.groupBy(*keys).applyInPandas(chain, f"{KEY_SCHEMA}, bucket BIGINT, count BIGINT, expires BIGINT")
+    schema = f"{KEY_SCHEMA}, tick BIGINT, requests BIGINT, left BIGINT, passed ARRAY<BIGINT>"
+    return bucketed.groupBy(*keys, "bucket").cogroup(entries.groupBy(*keys, "bucket")).applyInPandas(decide, schema)
+
+
 def decision(rank: Column, passed: Column, windows: Sequence[RateWindow]) -> Column:
     """``allowed``, or the name of the window that turns the request away."""
     verdict = F.when(F.lit(False), F.lit(""))
@@ -72,12 +134,24 @@ def rejection_message(window_name: Column, windows: Sequence[RateWindow]) -> Col
 
 
 def rate_limit_replay(requests: DataFrame, windows: Sequence[RateWindow] = DEFAULT_RATE_WINDOWS,
-                      tick_seconds: int = 1) -> DataFrame:
-    """Add ``rate_decision`` to every request (request_id, user_id, ability_id, ts, ...)."""
+                      tick_seconds: int = 1, hot_ticks: int | None = None) -> DataFrame:
+    """Add ``rate_decision`` to every request (request_id, user_id, ability_id, ts, ...).
+
+    Keys are walked in one task each. With ``hot_ticks`` keys of more ticks than that are cut
+    into buckets of time that are folded apart, with the same result.
+    """
     if not enabled(windows):
         return requests.withColumn("rate_decision", F.lit("allowed"))
     hidden = [f"_{k}" for k in KEYS]
-    folded = fold_ticks(tick_counts(requests, tick_seconds), windows)
+    ticks = tick_counts(requests, tick_seconds)
+    if hot_ticks is None:
+        folded = fold_ticks(ticks, windows)
+    else:
+        ticks = settled(ticks, "ticks")
+        hot = ticks.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_ticks).select(*KEYS)
+        hot = settled(hot, "hot-keys")
+        walked = fold_ticks(ticks.join(hot, list(KEYS), "left_anti"), windows)
+        folded = walked.unionByName(fold_buckets(ticks.join(hot, list(KEYS), "left_semi"), windows))
     folded = folded.select(*[F.col(k).alias(f"_{k}") for k in KEYS], F.col("tick").alias("_tick"), "passed")
     in_tick = Window.partitionBy(*hidden, "_tick").orderBy("ts", "request_id")
     ranked = requests.select("*", *key_columns(*hidden), tick_of(F.col("ts"), tick_seconds).alias("_tick")).withColumn(

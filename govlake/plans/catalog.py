@@ -222,6 +222,13 @@ def rate_limit_replay(spark, sf_dir):
         ratelimit.rejection_message(F.col("rate_decision"), sample.RATE_WINDOWS).alias("message"))
 
 
+@query
+def rate_limit_shared(spark, sf_dir):
+    """All callers as one that is not logged in: few keys hold the whole log and are folded by buckets of time."""
+    narrow = requests.governed(sample.exchange(spark, sf_dir)).select("request_id", F.lit(None).cast("bigint").alias("user_id"), "ability_id", "ts")
+    return ratelimit.rate_limit_replay(narrow, sample.SHARED_WINDOWS, hot_ticks=200).select("request_id", "ability_id", "rate_decision")
+
+
 @query
 def window_counts(spark, sf_dir):
     return ratelimit.window_counts(_events(spark, sf_dir), "1 hour", 1).select(

@@ -143,6 +143,17 @@ _CTES = {
         FROM (SELECT b.request_id, b.user_id, b.ability_id, b.n, b.t, CASE WHEN b.t >= e1 THEN 0 ELSE c1 END AS l1, e1,
                 CASE WHEN b.t >= e2 THEN 0 ELSE c2 END AS l2, e2
               FROM walk a JOIN numbered b ON b.user_id = a.user_id AND b.ability_id = a.ability_id AND b.n = a.n + 1)""",
+    "shared": """SELECT request_id, ability_id, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS t,
+        row_number() OVER (PARTITION BY ability_id ORDER BY ts, request_id) AS n FROM rq""",
+    "shared_walk": """SELECT request_id, ability_id, n, t, 'allowed' AS rate_decision,
+          1 AS c1, t + 3600 AS e1, 1 AS c2, t + 86400 AS e2 FROM shared WHERE n = 1
+        UNION ALL SELECT request_id, ability_id, n, t,
+          CASE WHEN l1 >= 3 THEN 'hour' WHEN l2 >= 20 THEN 'day' ELSE 'allowed' END,
+          CASE WHEN l1 >= 3 THEN l1 ELSE l1 + 1 END, CASE WHEN l1 >= 3 THEN e1 ELSE t + 3600 END,
+          CASE WHEN l1 >= 3 OR l2 >= 20 THEN l2 ELSE l2 + 1 END, CASE WHEN l1 >= 3 OR l2 >= 20 THEN e2 ELSE t + 86400 END
+        FROM (SELECT b.request_id, b.ability_id, b.n, b.t, CASE WHEN b.t >= e1 THEN 0 ELSE c1 END AS l1, e1,
+                CASE WHEN b.t >= e2 THEN 0 ELSE c2 END AS l2, e2
+              FROM shared_walk a JOIN shared b ON b.ability_id = a.ability_id AND b.n = a.n + 1)""",
     "gates": """SELECT w.request_id, w.user_id, w.ability_id, w.rate_decision, c.ts, c.period, c.status, c.micros, u.manage_options,
         CASE w.ability_id WHEN 'ai/comment-moderation' THEN list_has_any(u.roles, ['administrator', 'editor'])
           WHEN 'ai/image-generation' THEN list_has_any(u.roles, ['administrator', 'editor'])
@@ -181,7 +192,7 @@ def _sql(*names: str, body: str) -> str:
         if name in names or uses:
             needed.insert(0, name)
             text += " " + _CTES[name]
-    recursive = "RECURSIVE " if "walk" in needed else ""
+    recursive = "RECURSIVE " if {"walk", "shared_walk"} & {*needed} else ""
     return f"WITH {recursive}" + ", ".join(f"{n} AS ({_CTES[n]})" for n in needed) + " " + body if needed else body
 
 
@@ -222,6 +233,7 @@ ORACLE_SQL = {
     "rate_limit_replay": _sql("numbered", body="""SELECT request_id, user_id, ability_id, rate_decision, CASE rate_decision
         WHEN 'hour' THEN 'AI rate limit exceeded (1 per hour).' WHEN 'day' THEN 'AI rate limit exceeded (2 per day).' END AS message
         FROM walk"""),
+    "rate_limit_shared": _sql("shared", body="SELECT request_id, ability_id, rate_decision FROM shared_walk"),
     "window_counts": _sql(body="""SELECT user_id, ability_id, epoch_us(date_trunc('hour', ts)) AS window_us, count(*) AS requests,
         count(*) > 1 AS exceeded FROM rq GROUP BY 1, 2, 3"""),
     "role_gate": _sql(body="""SELECT request_id, user_id, capability, CASE WHEN request_id % 10 <> 0 THEN ability_id END AS ability_id,

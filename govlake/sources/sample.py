@@ -15,6 +15,7 @@ from govlake.sources.tables import local_rows, sample_table
 SITES = 40
 CAP_USD = "0.10"
 RATE_WINDOWS = (RateWindow("hour", 3_600, 1), RateWindow("day", 86_400, 2))
+SHARED_WINDOWS = (RateWindow("hour", 3_600, 3), RateWindow("day", 86_400, 20))
 BANNED = ("", "Erblest", "ouche", "TION DE", "never said")
 DISABLED = ("AI/Image-Generation", "ai/summarization!")
 ROLE_MAP = {**DEFAULT_ROLE_MAP, "ai/editorial-notes": [], "ai/title-generation": ["administrator", "editor", "author"]}

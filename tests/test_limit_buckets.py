@@ -1,0 +1,76 @@
+"""The rate limiter over buckets of time, against the walk over all ticks."""
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from govlake.functions.limit_buckets import FRESH, Bucket
+from govlake.functions.limiter import advance, fresh
+from govlake.operators import ratelimit
+from govlake.policy import RateWindow
+
+TICKS = st.dictionaries(st.integers(0, 400), st.integers(1, 6), min_size=1, max_size=80)
+
+
+@settings(max_examples=400, deadline=None)
+@given(TICKS, st.sampled_from([1, 3, 10, 40, 150]), st.sampled_from([1, 2, 3, 7, 30]), st.sampled_from([5, 20, 60, 500]))
+def test_chained_buckets_equal_the_walk(requests, ttl, limit, width):
+    ticks = np.array(sorted(requests))
+    asked = np.array([requests[t] for t in ticks.tolist()])
+    counts, expires = fresh([(ttl, limit)])
+    expires = [-1000]
+    walked = [advance(t, n, [(ttl, limit)], counts, expires)[0] for t, n in zip(ticks.tolist(), asked.tolist())]
+    entering, passed = FRESH, []
+    for number in np.unique(ticks // width).tolist():
+        here = ticks // width == number
+        bucket = Bucket(ticks[here], asked[here], ttl, limit)
+        passed += bucket.passed(*entering).tolist()
+        entering = bucket.table(number * width).leave(*entering, limit)
+    assert passed == walked
+
+
+def log_of(spark, rows):
+    return spark.createDataFrame(rows, "request_id BIGINT, user_id BIGINT, ability_id STRING, s DOUBLE").select(
+        "request_id", "user_id", "ability_id", F.timestamp_micros((F.col("s") * 1e6).cast("bigint")).alias("ts"))
+
+
+WINDOWS = [RateWindow("minute", 60, 5), RateWindow("off", 10, 0), RateWindow("hour", 3600, 40)]
+
+
+@pytest.mark.parametrize("hot_ticks", [0, 300])
+def test_bucketed_replay_equals_the_replay(spark, hot_ticks):
+    """One key with nearly all of the traffic, busy and quiet hours, and small keys beside it."""
+    rng = random.Random(9)
+    rows = [(i, None, "a", 1.7e9 + rng.random() * 30_000 + (i % 3) * 90_000) for i in range(4000)]
+    rows += [(10_000 + i, rng.randint(1, 5), "b", 1.7e9 + rng.random() * 200_000) for i in range(300)]
+    log = log_of(spark, rows)
+    found, wanted = (
+        sorted(tuple(r) for r in ratelimit.rate_limit_replay(log, WINDOWS, hot_ticks=hot).select("request_id", "rate_decision").collect())
+        for hot in (hot_ticks, None)
+    )
+    assert found == wanted and len(found) == len(rows)
+    assert {d for _, d in found} == {"allowed", "minute", "hour"}
+
+
+def test_a_hot_key_is_folded_in_many_groups(spark):
+    """All traffic on one key: no group holds more than its bucket, and what is chained is far less."""
+    rows = [(i, 1, "a", 1.7e9 + i * 2.5) for i in range(8000)]
+    ticks = ratelimit.tick_counts(log_of(spark, rows))
+    minute = WINDOWS[:1]
+    folded = ratelimit.fold_buckets(ticks, minute).collect()
+    walked = {r["tick"]: r["passed"] for r in ratelimit.fold_ticks(ticks, minute).collect()}
+    assert {r["tick"]: r["passed"] for r in folded} == walked and len(folded) == 8000
+    width = ratelimit.BUCKET_TTLS * 60 * 1_000_000
+    sizes = ticks.groupBy(F.floor(F.col("tick") / width)).count().collect()
+    assert len(sizes) >= 20 and max(r["count"] for r in sizes) <= 8000 / 18
+    entering = Bucket(np.array(sorted(walked))[:384], np.ones(384, np.int64), 60_000_000, 5).table(min(walked))
+    assert len(entering.times) <= 25 and len(entering.count_counts) == 5
+
+
+def test_buckets_of_no_requests(spark):
+    empty = log_of(spark, [])
+    assert ratelimit.rate_limit_replay(empty, WINDOWS, hot_ticks=0).count() == 0
