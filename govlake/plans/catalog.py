@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlake.functions import money, outputs
+from govlake.functions import money, outputs, sql
 from govlake.operators import (
-    access, budget, guidelines, moderate, policies, prompts, ratelimit, redact, requests, retention, usage,
+    access, budget, guidelines, intervals, moderate, policies, prompts, ratelimit, redact, requests, retention,
+    usage,
 )
 from govlake.plans import jobs
 from govlake.policy import Policy
 from govlake.session import apply_runtime_conf, scratch_path
 from govlake.sources import sample, sinks
-from govlake.sources.tables import sample_stream, sample_table, stream_table
+from govlake.sources.tables import local_rows, sample_stream, sample_table, stream_table
 from govlake.streaming import ratelimit as stream_limits
 from govlake.streaming import scrub
 from govlake.streaming import usage as stream_usage_rules
@@ -361,6 +362,27 @@ def prompt_asof(spark, sf_dir):
     return prompts.prompt_asof(made, sample.prompt_edits(spark, sf_dir)).drop("ts")
 
 
+def _stored_history(spark, sf_dir):
+    """The edit log in three batches, the last first, one of them twice."""
+    edits, path = sample.prompt_edits(spark, sf_dir), scratch_path(spark, "history")
+    part = F.pmod(F.xxhash64("edit_id"), F.lit(3))
+    for batch in (2, 0, 1, 0):
+        sinks.record_edits(spark, path, edits.where(part == batch), batch)
+    return sinks.read_intervals(spark, path)
+
+
+@query
+def prompt_intervals(spark, sf_dir):
+    return _stored_history(spark, sf_dir).select("ability_id", "edit_id", "from_us", "to_us", "live", "mode", "template")
+
+
+@query
+def prompt_asof_stored(spark, sf_dir):
+    """The version in force at every call, looked up in the stored intervals."""
+    made = sample.calls(spark, sf_dir).select("request_id", "ability_id", "ts")
+    return intervals.interval_asof(made, _stored_history(spark, sf_dir)).drop("ts")
+
+
 @query
 def ability_catalog(spark, sf_dir):
     return policies.ability_catalog(sample.registered_abilities(spark, sf_dir), sample.sites(spark, sf_dir))
@@ -448,14 +470,44 @@ def guideline_audit(spark, sf_dir):
 
 # -- jobs and streams ----------------------------------------------------------------------
 
-@query
-def governance_replay(spark, sf_dir):
+def _replay(spark, sf_dir):
     answers = sample_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), "text")
     policy = Policy(rate_windows=sample.RATE_WINDOWS, monthly_user_cap_usd="0.05", banned_phrases=sample.BANNED)
     return jobs.governance_replay(
         sample.exchange(spark, sf_dir), sample.users(spark, sf_dir), sample.role_map(spark), answers, policy,
         sample.prices(spark),
-    ).select("request_id", "user_id", "ability_id", "stopped_by", _usd(), "output_blocked")
+    )
+
+
+@query
+def governance_replay(spark, sf_dir):
+    return _replay(spark, sf_dir).select("request_id", "user_id", "ability_id", "stopped_by", _usd(), "output_blocked")
+
+
+@query
+def governance_events(spark, sf_dir):
+    """How many requests were stopped, and by what, as counted while the replay was written."""
+    counts = jobs.write_replay(_replay(spark, sf_dir), scratch_path(spark, "replay"))
+    return local_rows(spark, sorted(counts.items()), "event STRING, n BIGINT")
+
+
+@query
+def sql_request_cost(spark, sf_dir):
+    """Cost of every request in SQL alone."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT e.request_id, coalesce(e.user_id, 0L) AS user_id, gov_period(e.ts) AS period, e.provider, e.model, e.status,
+             CASE WHEN e.status = 'success' THEN gov_price_micros(e.sent, e.received, p.rate_in, p.rate_out) ELSE 0L END / 1e6D AS usd_spent
+           FROM (SELECT *, gov_provider(uri) AS provider, gov_model(request_body) AS model, gov_status(error_message) AS status,
+                   gov_tokens_in(response_body) AS sent, gov_tokens_out(response_body) AS received FROM {exchange}) e
+           LEFT JOIN {prices} p ON p.provider = e.provider AND p.model = e.model""",
+        exchange=sample.exchange(spark, sf_dir), prices=sample.prices(spark))
+
+
+@query
+def sql_pii_redact(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql("SELECT doc_id, gov_redact(text) AS text FROM {documents}", documents=sample_table(spark, sf_dir, "documents"))
 
 
 def _exchange_stream(spark, sf_dir):

@@ -11,7 +11,7 @@ from govlake.functions import guidelines as gl
 from govlake.functions import outputs
 from govlake.functions.requests import CAPABILITY_PREFIX
 from govlake.functions.text import feature_key
-from govlake.operators import access, budget, guidelines, moderate, prompts, ratelimit, redact, requests, retention, usage
+from govlake.operators import access, budget, events, guidelines, moderate, prompts, ratelimit, redact, requests, retention, usage
 from govlake.operators.sizing import settled, spread
 from govlake.policy import Policy
 from govlake.session import scratch_path
@@ -66,6 +66,21 @@ def retain_log(log: DataFrame, now: Column, policy: Policy = Policy(), current_d
     return retention.log_retained(log, now, policy.log_retention_days, current_days)
 
 
+def sweep_log(log: DataFrame, now: Column, path: str, policy: Policy = Policy(), current_days: int = 90) -> dict[str, int]:
+    """Write the log without what is past its days to a new table; how many rows were kept and
+    removed, counted on the way."""
+    kept, seen = retention.log_swept(log, now, policy.log_retention_days, current_days)
+    kept.write.parquet(path)
+    return seen.get
+
+
+def write_replay(replay: DataFrame, path: str) -> dict[str, int]:
+    """Write a governance replay; how many requests were stopped, by what, and how many answers blocked."""
+    watched, seen = events.observed(replay, events.replay_metrics())
+    watched.write.parquet(path)
+    return seen.get
+
+
 def governance_replay(
     exchange: DataFrame,
     users: DataFrame,
@@ -86,9 +101,9 @@ def governance_replay(
     """
     spark = exchange.sparkSession
     governed = requests.governed(exchange).drop("ability_id")
-    events = requests.shape_requests(governed, policy.parse_usage_metadata)
+    shaped = requests.shape_requests(governed, policy.parse_usage_metadata)
     off = _feature_off(policy)
-    narrow = usage.request_cost(events, prices).select(
+    narrow = usage.request_cost(shaped, prices).select(
         "request_id", "ts", "user_id", "ability_id", "period", "status", "usd_micros",
         _model_refused(policy, model_kind).alias("refused"), off.alias("off"),
     )

@@ -335,5 +335,20 @@ ORACLE_SQL = {
     "stream_redact": _sql(body="SELECT doc_id, p AS text FROM redacted"),
 }
 ORACLE_SQL["usage_upsert"] = ORACLE_SQL["usage_store_upsert"] = ORACLE_SQL["usage_rollup"]
+ORACLE_SQL["prompt_asof_stored"] = ORACLE_SQL["prompt_asof"]
+ORACLE_SQL["sql_request_cost"] = ORACLE_SQL["request_cost"]
+ORACLE_SQL["sql_pii_redact"] = ORACLE_SQL["pii_redact"]
+ORACLE_SQL["prompt_intervals"] = _sql(body="""SELECT ability_id, edit_id, epoch_us(updated_at) AS from_us,
+        coalesce(epoch_us(lead(updated_at) OVER (PARTITION BY ability_id ORDER BY updated_at, edit_id)), 9223372036854775807) AS to_us,
+        action = 'put' AS live, CASE WHEN action = 'put' THEN mode END AS mode, CASE WHEN action = 'put' THEN template END AS template
+        FROM edits""")
+ORACLE_SQL["governance_events"] = f"""WITH r AS ({ORACLE_SQL["governance_replay"]}), counts AS (
+        SELECT count(*) AS requests, count(stopped_by) AS stopped, count(*) FILTER (WHERE output_blocked) AS output_blocked,
+          count(*) FILTER (WHERE stopped_by = 'feature') AS stopped_by_feature,
+          count(*) FILTER (WHERE stopped_by LIKE 'rate:%') AS stopped_by_rate,
+          count(*) FILTER (WHERE stopped_by = 'role') AS stopped_by_role, count(*) FILTER (WHERE stopped_by = 'model') AS stopped_by_model,
+          count(*) FILTER (WHERE stopped_by = 'budget') AS stopped_by_budget,
+          CAST(sum(CAST(round(usd_spent * 1000000) AS BIGINT)) AS BIGINT) AS usd_micros FROM r)
+        UNPIVOT counts ON COLUMNS(*) INTO NAME event VALUE n"""
 ORACLE_SQL["usage_store_swept"] = ORACLE_SQL["usage_retained"]
 ORACLE_SQL["stream_usage_late"] = ORACLE_SQL["stream_usage"]

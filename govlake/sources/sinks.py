@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govlake import schemas
+from govlake.operators.intervals import INTERVAL, edit_intervals
 from govlake.operators.usage import add_usage
 from govlake.sources import files
 
@@ -68,6 +69,31 @@ def remove_months(spark: SparkSession, path: str, before: str) -> None:
                 files.remove(spark, f"{folder}/period={month}")
 
 
+# Shards of a stored edit history: what a batch of edits makes the table rebuild.
+SHARDS = 16
+
+
+def record_edits(spark: SparkSession, path: str, edits: DataFrame, batch_id: int) -> None:
+    """Add a batch of edits to a stored history and rebuild the intervals of the abilities it touches.
+
+    The log keeps every edit under its batch id; the intervals of a shard follow from its log
+    alone, so batches may come in any order, late, or twice. Other shards are neither read nor written.
+    """
+    batch = f"{path}/{_LOG}/batch_id={batch_id}"
+    sharded = edits.withColumn("shard", F.pmod(F.xxhash64("ability_id"), F.lit(SHARDS)).cast("int"))
+    sharded.write.mode("overwrite").partitionBy("shard").parquet(batch)
+    touched = files.numbered(spark, batch, "shard=")
+    if touched:
+        logged = spark.read.schema(schemas.PROMPT_EDITS + ", batch_id BIGINT, shard INT").parquet(f"{path}/{_LOG}")
+        rebuilt = edit_intervals(logged.where(F.col("shard").isin(touched)), ["shard", "ability_id"])
+        rebuilt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+
+
+def read_intervals(spark: SparkSession, path: str) -> DataFrame:
+    """The stored intervals of all abilities."""
+    return spark.read.schema(INTERVAL + ", shard INT").parquet(path).drop("shard")
+
+
 def write_usage_delta(usage: DataFrame, path: str, batch_id: int) -> None:
     """Store one micro-batch of a stream; a replayed batch replaces itself."""
     usage.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
