@@ -18,7 +18,7 @@ from govlake.session import apply_runtime_conf, scratch_path
 from govlake.sources import sample, sinks
 from govlake.sources.tables import local_rows, sample_stream, sample_table, stream_table
 from govlake.streaming import ratelimit as stream_limits
-from govlake.streaming import scrub
+from govlake.streaming import asof, scrub
 from govlake.streaming import usage as stream_usage_rules
 from govlake.streaming.run import drain
 
@@ -551,6 +551,17 @@ def stream_rate_limits(spark, sf_dir):
                           F.get("rejected", F.lit(0)).alias("over_hour"), F.get("rejected", F.lit(1)).alias("over_day"))
 
 
+@query
+def stream_prompt_asof(spark, sf_dir):
+    """The version in force at every call, from a stream of calls and one of edits."""
+    def narrow(calls):
+        return calls.select("request_id", "ability_id", "ts")
+
+    return asof.stream_prompt_asof(
+        narrow(sample.calls_of(sample_stream(spark, sf_dir, "events"))), sample.prompt_edits_of(sample_stream(spark, sf_dir, "events")),
+        call_log=narrow(sample.calls(spark, sf_dir)), edit_log=sample.prompt_edits(spark, sf_dir))
+
+
 @query
 def stream_moderate(spark, sf_dir):
     answers = sample.outputs_of(sample_stream(spark, sf_dir, "conversations"))

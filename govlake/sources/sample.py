@@ -90,9 +90,13 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls_of(sample_table(spark, sf_dir, "events"))
+
+
+def calls_of(events: DataFrame) -> DataFrame:
     """Prompted calls with their payload."""
     ability = _ability(_ability_index())
-    return sample_table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("request_id"), "ts", "user_id", (F.col("user_id") % SITES).alias("site_id"),
         ability.alias("ability_id"),
         F.concat(F.lit(" \tDefault for "), ability, F.lit(".\n ")).alias("instruction"),
@@ -104,11 +108,15 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompt_edits_of(sample_table(spark, sf_dir, "events"))
+
+
+def prompt_edits_of(events: DataFrame) -> DataFrame:
     tail = pick(F.col("event_id") % 3, (
         "{post_title} {unknown} {current_date}", "{TONE} as {user_role}: {guidelines_copy}",
         "{ability} by {User_Login} for {site_name} {a-b}",
     ))
-    return sample_table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("edit_id"),
         _ability(F.col("user_id") % 12).alias("ability_id"),
         F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("action"),
