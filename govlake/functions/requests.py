@@ -67,6 +67,18 @@ def token_texts(response: Column, parse_usage_metadata: bool = False) -> tuple[C
     return F.coalesce(*sent), F.coalesce(*received)
 
 
+def variant_token_texts(response: Column, parse_usage_metadata: bool = False) -> tuple[Column, Column]:
+    """``token_texts`` of a response body that is a VARIANT."""
+    def field(path: str) -> Column:
+        return F.try_variant_get(response, f"$.{path}", "string")
+
+    sent, received = ["usage.prompt_tokens", "usage.input_tokens"], ["usage.completion_tokens", "usage.output_tokens"]
+    if parse_usage_metadata:
+        sent.append("usageMetadata.promptTokenCount")
+        received.append("usageMetadata.candidatesTokenCount")
+    return F.coalesce(*map(field, sent)), F.coalesce(*map(field, received))
+
+
 def token_count(text: Column) -> Column:
     return F.coalesce(lenient_bigint(text), F.lit(0).cast("bigint"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govlake.functions import requests as rq
@@ -13,15 +13,23 @@ def shape_requests(exchange: DataFrame, parse_usage_metadata: bool = False) -> D
 
     Host, body and count texts are columns of their own, so that each is read once per row.
     """
-    parsed = exchange.withColumns({
-        "_host": rq.host(F.col("uri")), "_response": rq.parse_response(F.col("response_body")),
-    })
-    sent, received = rq.token_texts(F.col("_response"), parse_usage_metadata)
-    return parsed.withColumns({"_sent": sent, "_received": received}).select(
+    parsed = exchange.withColumn("_response", rq.parse_response(F.col("response_body")))
+    return _events(parsed, rq.model(F.col("request_body")), *rq.token_texts(F.col("_response"), parse_usage_metadata))
+
+
+def shape_parsed(parsed: DataFrame, parse_usage_metadata: bool = False) -> DataFrame:
+    """The same events from exchanges whose bodies are VARIANT values (``sources.raw``)."""
+    model = F.coalesce(F.try_variant_get("request", "$.model", "string"), F.lit(""))
+    return _events(parsed, model, *rq.variant_token_texts(F.col("response"), parse_usage_metadata))
+
+
+def _events(parsed: DataFrame, model: Column, sent: Column, received: Column) -> DataFrame:
+    read = parsed.withColumn("_host", rq.host(F.col("uri"))).withColumns({"_model": model, "_sent": sent, "_received": received})
+    return read.select(
         "request_id", "ts", F.coalesce("user_id", F.lit(0).cast("bigint")).alias("user_id"),
         rq.ability_of_route(F.col("route")).alias("ability_id"),
         rq.provider_of_host(F.col("_host")).alias("provider"),
-        rq.model(F.col("request_body")).alias("model"),
+        F.col("_model").alias("model"),
         rq.duration_ms(F.col("ts"), F.col("end_ts")).alias("duration_ms"),
         rq.token_count(F.col("_sent")).alias("tokens_input"),
         rq.token_count(F.col("_received")).alias("tokens_output"),

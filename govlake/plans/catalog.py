@@ -15,7 +15,7 @@ from govlake.operators import (
 from govlake.plans import jobs
 from govlake.policy import Policy
 from govlake.session import apply_runtime_conf, scratch_path
-from govlake.sources import sample, sinks
+from govlake.sources import raw, sample, sinks
 from govlake.sources.tables import local_rows, sample_stream, sample_table, stream_table
 from govlake.streaming import ratelimit as stream_limits
 from govlake.streaming import asof, scrub
@@ -75,6 +75,19 @@ def shape_requests(spark, sf_dir):
     return _events(spark, sf_dir).withColumn("ts", F.unix_micros("ts"))
 
 
+@query
+def shape_raw_json(spark, sf_dir):
+    """The same events from a log of JSON lines, some of them broken, with bodies parsed once."""
+    path = scratch_path(spark, "raw")
+    exchange = sample.exchange(spark, sf_dir)
+    lines = exchange.select(F.to_json(F.struct(*exchange.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
+    broken = exchange.where("request_id % 50 = 0").select(F.concat(F.lit('{"request_id": '), F.col("route")).alias("value"))
+    lines.unionByName(broken).write.text(path)
+    parsed, rest = raw.read_exchange(spark, path)
+    events = requests.shape_parsed(parsed).unionByName(requests.shape_requests(raw.texts(rest)))
+    return events.withColumn("ts", F.unix_micros("ts"))
+
+
 @query
 def route_ability(spark, sf_dir):
     """Traffic per ability on governed routes, odd routes included."""

@@ -336,6 +336,7 @@ ORACLE_SQL = {
 }
 ORACLE_SQL["usage_upsert"] = ORACLE_SQL["usage_store_upsert"] = ORACLE_SQL["usage_rollup"]
 ORACLE_SQL["prompt_asof_stored"] = ORACLE_SQL["stream_prompt_asof"] = ORACLE_SQL["prompt_asof"]
+ORACLE_SQL["shape_raw_json"] = ORACLE_SQL["shape_requests"]
 ORACLE_SQL["sql_request_cost"] = ORACLE_SQL["request_cost"]
 ORACLE_SQL["sql_pii_redact"] = ORACLE_SQL["pii_redact"]
 ORACLE_SQL["prompt_intervals"] = _sql(body="""SELECT ability_id, edit_id, epoch_us(updated_at) AS from_us,
