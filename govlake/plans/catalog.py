@@ -15,7 +15,7 @@ from govlake.operators import (
 from govlake.plans import jobs
 from govlake.policy import Policy
 from govlake.session import apply_runtime_conf, scratch_path
-from govlake.sources import raw, sample, sinks
+from govlake.sources import colocated, raw, sample, sinks
 from govlake.sources.tables import local_rows, sample_stream, sample_table, stream_table
 from govlake.streaming import ratelimit as stream_limits
 from govlake.streaming import asof, scrub
@@ -167,6 +167,18 @@ def usage_store_upsert(spark, sf_dir):
         _micros("updated_at", "updated_us"))
 
 
+@query
+def usage_colocated(spark, sf_dir):
+    """The rollup from a table in buckets by user, upserted twice in place of its state."""
+    costed, part = _costed(spark, sf_dir), F.col("request_id") % 3
+    table = colocated.store(usage.usage_rollup(costed.where(part == 0)), 8)
+    for number in (1, 2):
+        table = colocated.upsert(spark, table, usage.usage_rollup(costed.where(part == number)))
+    return table.read(spark).select(
+        "user_id", "period", "provider", "model", "requests", "tokens_in", "tokens_out", _usd(),
+        _micros("updated_at", "updated_us"))
+
+
 @query
 def usage_store_swept(spark, sf_dir):
     path = scratch_path(spark, "store")

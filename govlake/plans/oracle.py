@@ -334,7 +334,7 @@ ORACLE_SQL = {
         FROM moderated"""),
     "stream_redact": _sql(body="SELECT doc_id, p AS text FROM redacted"),
 }
-ORACLE_SQL["usage_upsert"] = ORACLE_SQL["usage_store_upsert"] = ORACLE_SQL["usage_rollup"]
+ORACLE_SQL["usage_upsert"] = ORACLE_SQL["usage_colocated"] = ORACLE_SQL["usage_store_upsert"] = ORACLE_SQL["usage_rollup"]
 ORACLE_SQL["prompt_asof_stored"] = ORACLE_SQL["stream_prompt_asof"] = ORACLE_SQL["prompt_asof"]
 ORACLE_SQL["shape_raw_json"] = ORACLE_SQL["shape_requests"]
 ORACLE_SQL["sql_request_cost"] = ORACLE_SQL["request_cost"]
