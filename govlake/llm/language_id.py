@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -255,9 +256,21 @@ def fit(samples: Sequence[tuple[np.ndarray, np.ndarray, str, bool]], nonsense: S
     if strange:
         wrong.append(evidence(*means(strange))[1])
     calibration = calibrate(right, np.concatenate(wrong))
-    scores = _sigmoid(right @ calibration)
-    threshold = float(min(np.quantile(scores, REJECTED_SHARE), 0.5)) if len(scores) else 0.0
-    return Model(languages, table, typical, calibration, threshold)
+    return Model(languages, table, typical, calibration, rejection_threshold(right @ calibration))
+
+
+def rejection_threshold(evidence_of_right: np.ndarray) -> float:
+    """The score below which at most ``REJECTED_SHARE`` of right predictions should lie, a half at most.
+
+    A sample too small to show so rare cases is taken for normally distributed, with a spread
+    that is widened by what so few rows can hide; one row shows no spread and rejects nothing.
+    """
+    n = len(evidence_of_right)
+    if n < 2:
+        return 0.0
+    spread = NormalDist().inv_cdf(REJECTED_SHARE) * evidence_of_right.std(ddof=1) * (1 + 2 / n)
+    low = min(np.quantile(evidence_of_right, REJECTED_SHARE), evidence_of_right.mean() + spread, 0.0)
+    return float(_sigmoid(np.float64(low)))
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
