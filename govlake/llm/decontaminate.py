@@ -189,7 +189,11 @@ def _merged(passes: list[DataFrame]) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
-    """The documents without a benchmark window, with all their columns, in one pass per part."""
+    """The documents without a benchmark window, with all their columns, in one pass per part.
+
+    Null and empty texts hold no window and stay; repeated rows are judged alike; an empty table
+    stays empty, and an empty benchmark drops nothing.
+    """
     kept = docs
     for items in _parts(benchmark, words_per_pass):
         tables = docs.sparkSession.sparkContext.broadcast(build(items))

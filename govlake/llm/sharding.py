@@ -9,7 +9,8 @@ room for. The admitted share of a direction is a threshold on a hash, so no roun
 gathers anything larger than a table of shard pairs.
 
 The last step makes the counts exact: each shard keeps its first documents up to its quota,
-the others fill the gaps of the shards that have too few. Ranks come from counts per bucket
+linked units before those that nothing ties to it, and the others fill the gaps of the shards
+that have too few. Ranks come from counts per bucket
 and a row number inside a bucket. Everything is DataFrame expressions.
 """
 
@@ -102,14 +103,16 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROU
     shared = lines.groupBy("hub").agg(F.min("unit").alias("least"), F.max("unit").alias("most")).where("least != most").select("hub")
     shared = stored(shared, "shared")
     members = stored(lines.join(shared, "hub"), "members")
-    labels = propagate(members, weights, n_shards, rounds)
+    linked = members.select("unit", F.lit(True).alias("linked")).distinct()
+    labels = propagate(members, weights, n_shards, rounds).join(linked, "unit", "left")
 
     placed = stored(
-        rows.join(labels, "unit").select("doc_id", "size", "text_crc32", "text_key", "unit", "spread", "shard"), "placed"
+        rows.join(labels, "unit").select("doc_id", "size", "text_crc32", "text_key", "unit", "spread", "shard", F.coalesce("linked", F.lit(False)).alias("linked")), "placed"
     )
     n_docs = placed.count()
     quota = F.lit(n_docs // n_shards) + (F.col("shard") < n_docs % n_shards).cast("int")
-    bucket = F.pmod("unit", F.lit(BUCKETS))
+    # Units without a link come last in their shard, so they are the first to go where it is too full.
+    bucket = F.pmod("unit", F.lit(BUCKETS // 2)) + F.when(F.col("linked"), 0).otherwise(BUCKETS // 2)
     order = ["unit", "spread", "doc_id"]
     ranked = stored(with_rank(placed, ["shard"], order, bucket, "rank", few_buckets=True).withColumn("stays", F.col("rank") < quota), "ranked")
     kept = ranked.where("stays").withColumn("slot", F.col("rank"))

@@ -328,6 +328,50 @@ def test_rounds_go_on_while_units_move(spark):
     assert together() > together(rounds=4)
 
 
+def shared_hubs(docs):
+    """Texts and longer lines that several documents hold, with these."""
+    hubs = {}
+    for doc, text in docs:
+        for hub in {("text", text), *(("line", line) for line in text.split("\n") if len(line) >= 40)}:
+            hubs.setdefault(hub, set()).add(doc)
+    return [held for held in hubs.values() if len(held) > 1]
+
+
+def plain_shards(docs, n_shards):
+    """Label propagation one document after the other: to the shard that holds most of its hubs'
+    documents, as long as there is room."""
+    hubs, room = shared_hubs(docs), -(-len(docs) // n_shards)
+    of = {doc: [hub for hub in hubs if doc in hub] for doc, _ in docs}
+    place = {doc: number % n_shards for number, (doc, _) in enumerate(docs)}
+    for _ in range(16):
+        for doc, _ in docs:
+            votes = Counter(place[other] for hub in of[doc] for other in hub)
+            held = Counter(place.values())
+            for shard, n in votes.most_common():
+                if n <= votes[place[doc]]:
+                    break
+                if held[shard] < room:
+                    place[doc] = shard
+                    break
+    return place
+
+
+def test_few_links_are_cut(spark):
+    """Against a plain version in turns, with lines shared by groups, copies, and documents without links."""
+    long_line = lambda seed: " ".join(prose(seed, 11).split()) + " and forty characters of it"
+    docs = [(g * 100 + i, f"{long_line(1000 + g)}\n{long_line(g * 100 + i + 50_000)}") for g in range(50) for i in range(5)]
+    docs += [(20_000 + i, docs[i * 7][1]) for i in range(30)] + [(30_000 + i, prose(80_000 + i, 6)) for i in range(120)]
+    random.Random(2).shuffle(docs)
+    place = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(frame(spark, docs), 8).collect()}
+    hubs = shared_hubs(docs)
+
+    def cut(place):
+        return sum(len({place[doc] for doc in hub}) > 1 for hub in hubs)
+
+    assert cut(place) <= cut(plain_shards(docs, 8)) + len(hubs) // 20
+    assert cut(place) < len(hubs) // 5
+
+
 # --- packing -----------------------------------------------------------------------
 
 def assert_packed(rows, docs):
