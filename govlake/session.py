@@ -16,8 +16,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Narrow rows; whatever reads texts in Python asks for smaller batches itself.
+    # Many narrow rows at once, and never more bytes than this: a plan reads these settings when it
+    # runs, whatever was set when it was built.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 # Settings fixed when a session starts: no call-site capture per Column while plans are built.
