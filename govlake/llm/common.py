@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from govlake.session import scratch_path
+from govlake.session import RUNTIME_CONF, scratch_path
 
 # Rows of a batch sent to Python: with texts of 100 kB a batch is 25 MB.
 BATCH_ROWS = 256
@@ -24,8 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows."""
+    """``mapInArrow`` with batches of about ``BATCH_ROWS`` rows.
+
+    The plan reads the number of rows when it runs, so another query may have set another; the
+    bound in bytes is the same for all queries of the library and holds whatever the rows.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", RUNTIME_CONF["spark.sql.execution.arrow.maxBytesPerBatch"])
     return df.mapInArrow(function, schema)
 
 

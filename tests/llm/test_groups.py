@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from govlake.llm import components, line_dedup, packing, sharding, simhash, tool_calls
-from govlake.llm.common import table
+from govlake.llm.common import map_batches, table
 from govlake.llm.queries import QUERIES
 from govlake.llm.sql import ORACLE_SQL
+from govlake.session import apply_runtime_conf
 
 from .conftest import AWKWARD, LONG, frame, prose
 
@@ -39,6 +40,21 @@ class Sets:
         self.up[max(a, b)] = min(a, b)
 
 
+def test_batches_are_bounded_in_bytes_when_they_run(spark):
+    """Built here, run after another query has set its own number of rows."""
+    docs = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 200_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    built = map_batches(docs, sizes, "n bigint")
+    apply_runtime_conf(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    found = [r["n"] for r in built.collect()]
+    assert sum(found) > 600 * 200_000 and max(found) < 20 << 20
+
+
 # --- queries against SQL -----------------------------------------------------------
 
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
