@@ -6,6 +6,8 @@ expression with the Spark code.
 
 from __future__ import annotations
 
+# Fixed values, here and below: ability ids and labels, patterns, limits and the wording of messages and
+# guidelines, which have to equal those of the rules.
 _ABILITY = """(['ai/title-generation','ai/excerpt-generation','ai/meta-description','ai/summarization',
  'ai/content-classification','ai/content-resizing','ai/comment-moderation','ai/alt-text-generation',
  'ai/image-generation','ai/image-prompt-generation','ai/editorial-notes','ai/editorial-updates'])"""
