@@ -33,7 +33,7 @@ BLOCK_TOKENS = 1 << 20
 TEXT_BYTES = 4 << 20
 # Memory for the words a worker remembers, twice this with the older generation; what an entry
 # takes besides its bytes; bytes of a word beyond which it is not remembered.
-KEPT_BYTES = 128 << 20
+KEPT_BYTES = 32 << 20
 ENTRY_BYTES = 160
 LONG_WORD = 256
 STEP_TOKENS = 8 * 2048
