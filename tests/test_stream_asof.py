@@ -3,11 +3,12 @@
 import random
 from datetime import datetime, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from govlake.operators.prompts import prompt_asof
-from govlake.streaming.asof import asof_stream, stream_prompt_asof
+from govlake.streaming.asof import asof_stream, bucket_runs, stream_prompt_asof
 from govlake.streaming.run import stateful, to_table
 from test_streams_and_sinks import files, stream
 
@@ -62,3 +63,42 @@ def test_replaced_versions_are_forgotten(spark, logs, tmp_path):
     query.awaitTermination()
     kept = spark.read.format("statestore").option("path", str(tmp_path / "checkpoint")).option("stateVarName", "versions").option("flattenCollectionTypes", "true").load()
     assert 0 < kept.count() < edits.count() / 2
+
+
+def test_state_holds_one_version_of_an_ability(spark, logs, tmp_path):
+    """However many parts and edits there are, and no row of state for calls that wait."""
+    calls, edits = logs
+    files(calls, tmp_path / "calls", "ts")
+    files(edits, tmp_path / "edits", "updated_at")
+    with stateful(spark, 2):
+        query = to_table(asof_stream(stream(spark, calls, tmp_path / "calls"), stream(spark, edits, tmp_path / "edits")),
+                         str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    kept = spark.read.format("statestore").option("path", str(tmp_path / "checkpoint")).option("stateVarName", "versions").option("flattenCollectionTypes", "true").load()
+    assert kept.count() == edits.select("ability_id").distinct().count()
+
+
+def test_equal_times_and_missing_ids(spark, tmp_path):
+    """Calls at the time of edits, several edits at once, an unknown action and calls without an id."""
+    calls = [(None if i % 9 == 0 else i, "a", at(i * 7 % 400)) for i in range(120)]
+    edits = [(i, "a", ("put", "delete", None)[i % 3], "append", f"t{i}", 1, at(i // 2 * 14)) for i in range(50)]
+    calls = spark.createDataFrame(calls, "request_id BIGINT, ability_id STRING, ts TIMESTAMP").cache()
+    edits = spark.createDataFrame(edits, "edit_id BIGINT, ability_id STRING, action STRING, mode STRING, template STRING, updated_by BIGINT, updated_at TIMESTAMP").cache()
+    files(calls, tmp_path / "calls", "ts")
+    files(edits, tmp_path / "edits", "updated_at")
+    found = stream_prompt_asof(stream(spark, calls, tmp_path / "calls"), stream(spark, edits, tmp_path / "edits"), delay="1 second",
+                               root=str(tmp_path / "state"), call_log=calls, edit_log=edits)
+    assert rows(found) == rows(prompt_asof(calls, edits))
+    assert len(rows(spark.read.parquet(str(tmp_path / "state" / "table")))) >= 60
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_runs_of_a_bucket(parts):
+    events = [{"at": t, "request_id": t, "is_call": call, "edit_id": n, "live": True, "mode": "m", "template": f"t{n}"}
+              for t, call, n in [(5, True, 0), (1, True, 0), (2, False, 7), (2, False, 6), (3, False, 8), (3, True, 0), (4, False, 9)]]
+    alone = [{**events[0], "request_id": 70}]
+    batch = pa.RecordBatch.from_pylist([{"ability_id": "a", "bucket": 0, "events": events}, {"ability_id": "b", "bucket": 10, "events": alone}])
+    runs = bucket_runs(batch, parts, 10).to_pylist()
+    assert [(r["ability_id"], r["known"], r["last"], r["template"], r["calls"]) for r in runs] == [
+        ("a", False, False, None, [1]), ("a", True, False, "t8", [3]), ("a", True, True, "t9", [5]), ("b", False, False, None, [70])]
+    assert [r["part"] for r in runs] == [0, 1 if parts > 1 else 0, 0, 0]
