@@ -14,6 +14,9 @@ from govlake.streaming.keyed import SlotRule, drain_slots
 
 KEY_SCHEMA = "user_id BIGINT, ability_id STRING"
 
+# Callers that are not logged in share user 0, so its abilities have states of their own.
+APART = "CASE WHEN user_id = 0 THEN ability_id ELSE '' END"
+
 
 def ticks(requests: DataFrame, tick_seconds: int = 1) -> DataFrame:
     """One row per request: its key, as in the batch replay, its time and its clock tick."""
@@ -33,7 +36,7 @@ def counters(windows: Sequence[RateWindow], tick_seconds: int = 1) -> SlotRule:
         passed = advance(tick, requests, pairs, counts, expires)
         return counts + expires, passed
 
-    return SlotRule(KEYS, KEY_SCHEMA, tick_seconds * MICROS, fold, lambda last, memory: max(memory[len(pairs):], default=0))
+    return SlotRule(KEYS, KEY_SCHEMA, tick_seconds * MICROS, fold, lambda last, memory: max(memory[len(pairs):], default=0), APART)
 
 
 def stream_rate_limits(requests: DataFrame, windows: Sequence[RateWindow] = DEFAULT_RATE_WINDOWS, delay: str = "60 seconds",

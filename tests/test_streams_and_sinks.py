@@ -136,6 +136,19 @@ def test_a_stopped_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert per_tick(limits.stream_rate_limits(stream(spark, log, source), WINDOWS, root=root, log=log)) == wanted
 
 
+def test_abilities_of_a_user_share_a_state(spark, tmp_path):
+    """A state for each user, however many abilities they use; callers that aren't logged in have one for each ability."""
+    rows = [(i, i % 5, f"ability {i % 7}", 1_700_000_000_000 + i * 100) for i in range(700)]
+    log = spark.createDataFrame(rows, "request_id BIGINT, user_id BIGINT, ability_id STRING, ms BIGINT").withColumn("ts", F.timestamp_millis("ms"))
+    files(log, tmp_path / "in", "ts")
+    with stateful(spark, 2):
+        query = to_table(folded_stream(limits.ticks(stream(spark, log, tmp_path / "in")), limits.counters(WINDOWS), "60 seconds"),
+                         str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    kept = spark.read.format("statestore").option("path", str(tmp_path / "checkpoint")).option("stateVarName", "counter").load()
+    assert kept.count() == 4 + 7
+
+
 @pytest.mark.parametrize("order", ["ts", "provider"])
 def test_stream_alerts_equal_the_crossings(spark, exchange, tmp_path, order):
     costed = usage.request_cost(requests.shape_requests(exchange)).cache()
