@@ -149,6 +149,12 @@ def test_abilities_of_a_user_share_a_state(spark, tmp_path):
     assert kept.count() == 4 + 7
 
 
+def test_costs_are_worked_out_once(spark, exchange):
+    """No filter on the cost is pushed to the source, which would parse the bodies again for each of its parts."""
+    plan = live.spend_slots(usage.request_cost(requests.shape_requests(exchange)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
 @pytest.mark.parametrize("order", ["ts", "provider"])
 def test_stream_alerts_equal_the_crossings(spark, exchange, tmp_path, order):
     costed = usage.request_cost(requests.shape_requests(exchange)).cache()
