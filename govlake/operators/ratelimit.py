@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,51 +70,66 @@ def fold_buckets(ticks: DataFrame, windows: Sequence[RateWindow], bucket_ttls: i
     What passes a window doesn't depend on the windows after it, so they are taken one after
     the other. For each, a task turns a bucket into the table of its counter's transitions, a
     second chains the tables of a key (a lookup for each bucket), and a third decides a bucket
-    from the counter that enters it. Only the short tables of a key ever meet in one task.
+    from the counter that enters it. A task holds the numbers of one bucket, as arrays, or one of
+    the short tables of a key; a bucket has no more rows than it has ticks.
     """
-    start = ticks.select(*KEYS, "tick", "requests", F.col("requests").alias("left"), F.array().cast("array<bigint>").alias("passed"))
+    start = ticks.select(*KEYS, "tick", "requests", F.col("requests").alias("left"))
     at = settled(start, "ticks")
     for window in enabled(windows):
         at = settled(_fold_window(at, window.ttl_seconds * MICROS, window.limit, bucket_ttls), "decided")
-    return at.select(*KEYS, "tick", "requests", "passed")
+    passed = [F.col(f"passed_{i}") for i in range(len(enabled(windows)))]
+    return at.select(*KEYS, "tick", "requests", F.array(*passed).alias("passed"))
 
 
 def _fold_window(at: DataFrame, ttl: int, limit: int, bucket_ttls: int) -> DataFrame:
-    """Rows of ticks with what passes one more window; ``left`` is what has passed those before."""
+    """Rows of ticks with what passes one more window; ``left`` is what has passed those before.
+
+    What passes is a column for each window, since a list for each tick takes many times its numbers.
+    """
     keys, width = list(KEYS), bucket_ttls * ttl
     bucketed = at.withColumn("bucket", F.floor(F.col("tick") / F.lit(width)))
     arrays = ["times", "time_counts", "time_expires", "count_counts", "count_expires"]
 
-    def table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("tick")
-        made = Bucket(rows["tick"].to_numpy(), rows["left"].to_numpy(), ttl, limit).table(key[-1] * width)
-        return pd.DataFrame([(*key, *(getattr(made, name) for name in arrays))], columns=[*keys, "bucket", *arrays])
-
-    def chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        entering, out = FRESH, []
-        for bucket, *found in rows.sort_values("bucket")[["bucket", *arrays]].itertuples(index=False):
-            out.append((*key, bucket, *entering))
-            entering = Table(*map(np.asarray, found)).leave(*entering, limit)
-        return pd.DataFrame(out, columns=[*keys, "bucket", "count", "expires"])
-
-    def decide(rows: pd.DataFrame, entering: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("tick")
+    def table(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.select(["tick", "left"]).sort_by("tick")
+        made = Bucket(rows["tick"].to_numpy(), rows["left"].to_numpy(), ttl, limit).table(key[-1].as_py() * width)
+        lists = [pa.array([getattr(made, name)], pa.list_(pa.int64())) for name in arrays]
+        return pa.table([*[pa.array([k.as_py()], k.type) for k in key], *lists], [*keys, "bucket", *arrays])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, leaving = None, FRESH
+        for batch in batches:
+            entering = []
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            for row, key in enumerate(own):
+                if key != current:
+                    current, leaving = key, FRESH
+                entering.append(leaving)
+                made = Table(*(batch.column(name)[row].values.to_numpy() for name in arrays))
+                leaving = made.leave(*leaving, limit)
+            counters = [pa.array([counter[i] for counter in entering], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in [*keys, "bucket"]], *counters], names=[*keys, "bucket", "count", "expires"])
+
+    def decide(rows: pa.Table, entering: pa.Table) -> pa.Table:
+        rows = rows.sort_by("tick")
         asked = rows["left"].to_numpy()
         passed = np.zeros(len(rows), np.int64)
         some = asked > 0
         if some.any():
-            count, expires = int(entering["count"].iloc[0]), int(entering["expires"].iloc[0])
+            count, expires = entering["count"][0].as_py(), entering["expires"][0].as_py()
             passed[some] = Bucket(rows["tick"].to_numpy()[some], asked[some], ttl, limit).passed(count, expires)
-        rows["passed"] = [[*before, n] for before, n in zip(rows["passed"], passed.tolist())]
-        rows["left"] = passed
-        return rows[[*keys, "tick", "requests", "left", "passed"]]
+        return rows.select([*keys, "tick", "requests", *before]).append_column("left", pa.array(passed))
 
+    before = [c for c in at.columns if c.startswith("passed_")]
     lists = ", ".join(f"{name} ARRAY<BIGINT>" for name in arrays)
     asking = bucketed.where("left > 0").select(*keys, "bucket", "tick", "left")
-    tables = asking.groupBy(*keys, "bucket").applyInPandas(table, f"{KEY_SCHEMA}, bucket BIGINT, {lists}")
-    entries = tables.groupBy(*keys).applyInPandas(chain, f"{KEY_SCHEMA}, bucket BIGINT, count BIGINT, expires BIGINT")
-    schema = f"{KEY_SCHEMA}, tick BIGINT, requests BIGINT, left BIGINT, passed ARRAY<BIGINT>"
-    return bucketed.groupBy(*keys, "bucket").cogroup(entries.groupBy(*keys, "bucket")).applyInPandas(decide, schema)
+    tables = asking.groupBy(*keys, "bucket").applyInArrow(table, f"{KEY_SCHEMA}, bucket BIGINT, {lists}")
+    # A task reads the tables of a key one after the other.
+    ordered = tables.repartition(*keys).sortWithinPartitions(*keys, "bucket")
+    entries = ordered.mapInArrow(chain, f"{KEY_SCHEMA}, bucket BIGINT, count BIGINT, expires BIGINT")
+    columns = ", ".join(f"{c} BIGINT" for c in ["tick", "requests", *before, "left"])
+    decided = bucketed.groupBy(*keys, "bucket").cogroup(entries.groupBy(*keys, "bucket")).applyInArrow(decide, f"{KEY_SCHEMA}, {columns}")
+    return decided.withColumn(f"passed_{len(before)}", F.col("left"))
 
 
 def decision(rank: Column, passed: Column, windows: Sequence[RateWindow]) -> Column:

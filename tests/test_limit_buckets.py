@@ -74,3 +74,15 @@ def test_a_hot_key_is_folded_in_many_groups(spark):
 def test_buckets_of_no_requests(spark):
     empty = log_of(spark, [])
     assert ratelimit.rate_limit_replay(empty, WINDOWS, hot_ticks=0).count() == 0
+
+
+def test_a_bucket_is_folded_as_numbers(spark, monkeypatch):
+    """No list for a tick and no pandas frame: a task holds a few numbers of each tick of its bucket."""
+    written = []
+    monkeypatch.setattr(ratelimit, "settled", lambda df, label: written.append(df) or df)
+    rows = [(i, 1, "a", 1.7e9 + i * 2.5) for i in range(50)]
+    ratelimit.fold_buckets(ratelimit.tick_counts(log_of(spark, rows)), WINDOWS)
+    assert len(written) == 3
+    for df in written:
+        assert {kind for name, kind in df.dtypes if name not in ratelimit.KEYS} == {"bigint"}
+        assert "InPandas" not in df._jdf.queryExecution().executedPlan().toString()
